@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tallydesk import rules, schemas
 from tallydesk.functions.clock import minutes_between, snapshot_column
 from tallydesk.functions.text import KeywordRules, first_rule, ticket_text
-from tallydesk.plans.ordered import paged_lists
+from tallydesk.plans.ordered import in_order, paged_lists
 from tallydesk.plans.skew import DEFAULT_SPREAD, Spread, join_to_one, key_counts
 
 PlanSla = Mapping[str, Mapping[str, int]]
@@ -102,11 +102,13 @@ def with_accounts(
     )
 
 
-def _contract_targets(contract_sla: DataFrame) -> DataFrame:
-    """One row per account with its minutes by severity; the tightest of contradicting targets holds."""
-    tightest = contract_sla.groupBy("account_id", "severity").agg(F.min("minutes").alias("minutes"))
-    return tightest.groupBy("account_id").agg(
-        F.map_from_entries(F.collect_list(F.struct("severity", "minutes"))).alias("_contract")
+def _contract_targets(contract_sla: DataFrame, levels: list[str]) -> DataFrame:
+    """One row per account, one column per severity; the tightest of contradicting targets holds."""
+    return contract_sla.groupBy("account_id").agg(
+        *[
+            F.min(F.when(F.col("severity") == level, F.col("minutes"))).alias(f"_contract_{place}")
+            for place, level in enumerate(levels)
+        ]
     )
 
 
@@ -130,18 +132,20 @@ def ticket_insights(
         tickets, "ticket_id", "account_id", "subject", "description", "status", "created_at", frame="tickets"
     )
     schemas.require(accounts, "account_id", "account_name", "plan", frame="accounts")
+    levels = [name for name, _ in severities] + [rules.DEFAULT_SEVERITY]
     opened = open_tickets(tickets)
     counts = key_counts(opened, ["account_id"])
     known = (
         counts.filter(F.col("account_id").isNotNull())
         .join(_account_side(accounts, tickets.columns), "account_id", "left")
         .join(key_counts(accounts, ["account_id"], "_copies"), "account_id", "left")
-        .join(_contract_targets(contract_sla), "account_id", "left")
+        .join(_contract_targets(contract_sla, levels), "account_id", "left")
         .withColumn("_many", F.col("_rows") * F.coalesce("_copies", F.lit(1)) > 1)
         .drop("_rows", "_copies")
     )
     clock = snapshot_column(snapshot)
     age = minutes_between(F.col("created_at"), clock)
+    severity = F.col("inferred_severity")
     joined = (
         join_to_one(opened, known, ["account_id"], ["ticket_id"], spread, counts)
         .withColumn("inferred_severity", severity_of(F.col("subject"), F.col("description"), severities))
@@ -149,8 +153,8 @@ def ticket_insights(
         .withColumn(
             "sla_target_minutes",
             F.coalesce(
-                F.try_element_at("_contract", F.col("inferred_severity")),
-                plan_target(F.col("plan"), F.col("inferred_severity"), plan_sla),
+                *[F.when(severity == level, F.col(f"_contract_{place}")) for place, level in enumerate(levels)],
+                plan_target(F.col("plan"), severity, plan_sla),
             ),
         )
     )
@@ -188,12 +192,15 @@ def known_issue_clusters(insights: DataFrame, page_size: int = 10_000) -> DataFr
     ``page_size`` entries: one row per issue and page, a single page 0 for all but huge clusters.
     Read in order, the pages are the whole list. ``ticket_count`` counts the whole cluster.
     """
-    tagged = issue_tickets(insights).filter(F.col("ticket_id").isNotNull())
-    names = (
-        tagged.filter(F.col("account_name").isNotNull()).select("known_issue_match", "account_name").distinct()
+    tagged = in_order(
+        issue_tickets(insights).filter(F.col("ticket_id").isNotNull()),
+        "known_issue_match",
+        ["sla_rank", "ticket_id"],
     )
-    tickets = paged_lists(tagged, "known_issue_match", ["sla_rank"], "ticket_id", page_size)
-    accounts = paged_lists(names, "known_issue_match", [], "account_name", page_size)
+    named = tagged.filter(F.col("account_name").isNotNull()).select("known_issue_match", "account_name")
+    names = in_order(named.distinct(), "known_issue_match", ["account_name"])
+    tickets = paged_lists(tagged, "known_issue_match", "ticket_id", page_size)
+    accounts = paged_lists(names, "known_issue_match", "account_name", page_size)
     # A page of names exists only where there is a page of tickets: names never outnumber tickets.
     return (
         tickets.withColumnRenamed("values", "affected_tickets")

@@ -106,15 +106,11 @@ def _lookup_records(
         .withColumn("error", F.when(F.col("_found").isNull(), F.format_string(not_found, wanted)))
         .drop("_found", "_id")
     )
-    listed = join_many(
-        lists, rows.drop("_found", "_id"), ["account_id"], ["request_id"], [id_column], spread
-    )
-    owners = key_counts(records, ["account_id"], "_records")
-    empty = join_to_one(lists, owners, ["account_id"], ["request_id"], spread).filter(
-        F.col("_records").isNull()
-    )
+    owners = key_counts(records, ["account_id"])
+    listed = join_many(lists, records, ["account_id"], ["request_id"], [id_column], spread, owners)
+    empty = join_to_one(lists, owners, ["account_id"], ["request_id"], spread).filter(F.col("_rows").isNull())
     return single.unionByName(listed, allowMissingColumns=True).unionByName(
-        empty.drop("_records"), allowMissingColumns=True
+        empty.drop("_rows"), allowMissingColumns=True
     )
 
 

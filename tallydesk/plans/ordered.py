@@ -13,27 +13,25 @@ from tallydesk.plans.checkpoints import checkpointed
 _ROW_BITS = 33
 
 
+def in_order(df: DataFrame, group: str, order: Sequence[str]) -> DataFrame:
+    """The rows with their place ``_pos`` in one range sort by group and ``order``, checkpointed.
+
+    The checkpoint lets later steps read the rows more than once and agree on their places.
+    """
+    return checkpointed(
+        df.orderBy(group, *order).withColumn("_pos", F.monotonically_increasing_id())
+    )
+
+
 def paged_lists(
-    df: DataFrame,
-    group: str,
-    order: Sequence[str],
-    value: str,
-    page_size: int,
-    separator: str = ", ",
+    placed: DataFrame, group: str, value: str, page_size: int, separator: str = ", "
 ) -> DataFrame:
-    """(group, page, values, total): the values of a group joined in order, page by page.
+    """(group, page, values, total) of rows from ``in_order``: each group's values, joined page by page.
 
-    One range sort puts the rows in order; positions within a group then follow from the number of
-    rows that earlier partitions hold, so no task ever sees a whole group. The sorted rows are
-    checkpointed because they are read twice and both reads must agree on the partitions.
+    The rank of a row in its group follows from the number of rows that earlier partitions hold, so
+    no task ever sees a whole group.
     """
-    part = F.shiftright("_pos", _ROW_BITS).alias("_part")
-    rows = checkpointed(
-        df.select(group, *order, value)
-        .orderBy(group, *order, value)
-        .select(group, value, F.monotonically_increasing_id().alias("_pos"))
-    ).select(group, value, "_pos", part)
-
+    rows = placed.select(group, value, "_pos", F.shiftright("_pos", _ROW_BITS).alias("_part"))
     # One row per partition and group in it: sorted by group first, so partitions + groups at most.
     pieces = rows.groupBy(group, "_part").agg(
         F.min("_pos").alias("_first"), F.count(F.lit(1)).alias("_rows")
@@ -47,11 +45,11 @@ def paged_lists(
         F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_before"),
         F.sum("_rows").over(whole).alias("total"),
     )
-    placed = rows.join(F.broadcast(offsets), [group, "_part"]).withColumn(
+    ranked = rows.join(F.broadcast(offsets), [group, "_part"]).withColumn(
         "_rank", F.col("_before") + F.col("_pos") - F.col("_first")
     )
     return (
-        placed.withColumn("page", F.floor(F.col("_rank") / F.lit(page_size)))
+        ranked.withColumn("page", F.floor(F.col("_rank") / F.lit(page_size)))
         .groupBy(group, "page")
         .agg(
             F.expr(f"listagg(CAST(`{value}` AS STRING), '{separator}') WITHIN GROUP (ORDER BY _rank)").alias("values"),

@@ -89,10 +89,15 @@ def join_many(
     left_by: Sequence[str],
     right_by: Sequence[str],
     spread: Spread = DEFAULT_SPREAD,
+    right_counts: DataFrame | None = None,
 ) -> DataFrame:
-    """Inner join of two sides that may both have hot keys: a hot key becomes a grid of slots."""
+    """Inner join of two sides that may both have hot keys: a hot key becomes a grid of slots.
+
+    ``right_counts`` may hand over rows per key (``_rows``) of the right side.
+    """
     keys = list(keys)
-    both = key_counts(left, keys, "_lrows").join(key_counts(right, keys, "_rrows"), keys)
+    right_rows = right_counts if right_counts is not None else key_counts(right, keys)
+    both = key_counts(left, keys, "_lrows").join(right_rows.withColumnRenamed("_rows", "_rrows"), keys)
     hot = (
         both.filter(F.greatest("_lrows", "_rrows") > spread.rows_per_slot)
         .orderBy(F.desc(F.greatest("_lrows", "_rrows")), *keys)
@@ -123,10 +128,15 @@ def join_head_and_tail(
 ) -> DataFrame:
     """Inner join for keys of a falling-off frequency, such as words.
 
-    The ``head_size`` heaviest rows of ``lookup`` (unique on ``key``) are broadcast and serve most
-    facts without a shuffle. Only facts with a rarer key are shuffled, and a rarer key has few rows.
+    ``lookup`` is unique on ``key`` and ``weight`` tells how many rows share the key. Keys with more
+    than 1/head_size of the total weight, of which there are fewer than ``head_size``, are broadcast
+    and serve most facts without a shuffle. Only facts with a rarer key are shuffled.
     """
-    head = lookup.orderBy(F.desc(weight), key).limit(head_size)
+    total = lookup.select(F.sum(weight)).scalar()
+    is_head = F.col(weight) * F.lit(head_size) > total
+    head = lookup.filter(is_head)
     common = facts.join(F.broadcast(head), key, "inner")
-    rare = facts.join(F.broadcast(head.select(key)), key, "left_anti").join(lookup, key, "inner")
+    rare = facts.join(F.broadcast(head.select(key)), key, "left_anti").join(
+        lookup.filter(~is_head), key, "inner"
+    )
     return common.unionByName(rare)

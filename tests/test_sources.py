@@ -1,0 +1,113 @@
+from datetime import datetime
+
+import pytest
+
+from conftest import tuples
+from tallydesk import schemas
+from tallydesk.sources import documents, sinks, tables
+
+
+def test_bad_times_become_null(spark):
+    df = spark.createDataFrame([("2026-01-02 03:04",), ("soon",), (None,)], "at string")
+    got = tables.coerce_timestamps(df, ["at"])
+    assert dict(got.dtypes)["at"] == "timestamp_ntz"
+    assert tuples(got) == [(datetime(2026, 1, 2, 3, 4),), (None,), (None,)]
+
+
+def test_csv_has_declared_types_and_passes_extras_through(spark, tmp_path):
+    path = tmp_path / "orders.csv"
+    path.write_text(
+        "order_id,account_id,status,booked_at,pickup_window_start,pickup_window_end,"
+        "pickup_actual_at,cancellation_requested_at,carrier\n"
+        "O-1,A-1,BOOKED,2026-01-01 08:00,2026-01-01 09:00,bad,,,ACME\n"
+    )
+    got = tables.read_orders(spark, str(path), "csv")
+    types = dict(got.dtypes)
+    assert {types[name] for name in schemas.ORDER_TIMES} == {"timestamp_ntz"}
+    row = got.first()
+    assert row["booked_at"] == datetime(2026, 1, 1, 8) and row["pickup_window_end"] is None
+    assert row["carrier"] == "ACME"
+
+
+def test_parquet_round_trip(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "Acme", "Growth", "x")], "account_id int, account_name string, plan string, tier string")
+    sinks.write_table(rows, str(tmp_path / "accounts"))
+    got = tables.read_accounts(spark, str(tmp_path / "accounts"))
+    assert dict(got.dtypes) == {"account_id": "string", "account_name": "string", "plan": "string", "tier": "string"}
+
+
+def test_missing_column_is_named(spark):
+    with pytest.raises(ValueError, match="plan"):
+        tables.account_directory(spark.createDataFrame([("a", "b")], "account_id string, account_name string"))
+
+
+def test_snapshot_is_the_first_entry_without_its_zone(spark):
+    meta = spark.createDataFrame(
+        [
+            (2, "Dataset snapshot", "1999-01-01 00:00 Asia/Kolkata"),
+            (0, "Prepared by", "ops"),
+            (1, "Dataset snapshot", "2024-01-30 06:30 America/New_York"),
+        ],
+        schemas.META,
+    )
+    assert tuples(tables.snapshot_clock(meta)) == [(datetime(2024, 1, 30, 6, 30),)]
+
+
+def test_directory_keeps_the_last_of_equal_labels(spark):
+    rows = [("A-1", "Acme", "Growth", 0), ("A-1", "Acme", "Growth", 1), ("A-2", "Acme", "Growth", 2)]
+    accounts = spark.createDataFrame(rows, "account_id string, account_name string, plan string, row_ord int")
+    got = sorted(tuples(tables.account_directory(accounts, "row_ord")))
+    assert got == [("Acme (A-1, Growth)", "A-1"), ("Acme (A-2, Growth)", "A-2")]
+
+
+def test_first_account_row(spark):
+    rows = [("A-1", "late", 2), ("A-1", "early", 1), (None, "none", 3)]
+    accounts = spark.createDataFrame(rows, "account_id string, account_name string, row_ord int")
+    assert ("A-1", "early", 1) in tuples(tables.first_accounts(accounts, "row_ord"))
+    assert ("A-1", "early", 1) in tuples(tables.first_accounts(accounts))
+
+
+def test_pages_join_in_order_and_null_pages_are_empty_lines(spark):
+    pages = spark.createDataFrame([("d", 10, "c"), ("d", 2, None), ("d", 1, "a")], schemas.PAGES)
+    assert tuples(documents.join_pages(pages)) == [("d", "a\n\nc")]
+
+
+def test_chunks_follow_registry_and_section_order(spark):
+    docs = spark.createDataFrame(
+        [("p", "Policy\n1. Scope\nall\n2. Limits\nnone"), ("c", "Contract"), ("unlisted", "x")],
+        "doc_id string, text string",
+    )
+    registry = spark.createDataFrame(
+        [
+            (0, "p", "policy", "current", None, "Policy"),
+            (1, "c", "contract", "current", "A-1", "Agreement"),
+            (2, "gone", "sop", "current", None, "No text"),
+        ],
+        schemas.REGISTRY,
+    )
+    got = documents.build_chunks(docs, registry).orderBy("chunk_ord")
+    assert tuples(got, "chunk_ord", "title", "section", "account_id") == [
+        (0, "Policy", "Policy", None),
+        (1, "Policy", "1. Scope", None),
+        (2, "Policy", "2. Limits", None),
+        (1 << documents.SECTION_BITS, "Agreement", "Contract", "A-1"),
+    ]
+    assert dict(got.dtypes).keys() == set(schemas.CHUNKS.names)
+
+
+def test_header_pattern_is_a_parameter(spark):
+    docs = spark.createDataFrame([("p", "intro\n# One\n# Two")], "doc_id string, text string")
+    registry = spark.createDataFrame([(0, "p", "policy", "current", None, "P")], schemas.REGISTRY)
+    got = documents.build_chunks(docs, registry, header=r"\n(?=# )")
+    assert [row["section"] for row in got.orderBy("chunk_ord").collect()] == ["intro", "# One", "# Two"]
+
+
+def test_json_leaves_nulls_out(spark):
+    df = spark.createDataFrame([(1, None, "x")], "a int, b string, c string")
+    assert tuples(sinks.as_json(df, keep=["a"])) == [(1, '{"a":1,"c":"x"}')]
+
+
+def test_stage_writes_and_reads_back(spark, tmp_path):
+    stage = sinks.parquet_stage(spark, str(tmp_path))
+    got = stage(spark.range(5), "numbers")
+    assert got.count() == 5 and (tmp_path / "numbers").exists()
