@@ -1,0 +1,150 @@
+import json
+from datetime import datetime
+
+import pytest
+
+from conftest import tuples
+from tallydesk import rules, schemas
+from tallydesk.operators import lookup
+from tallydesk.plans.skew import Spread
+
+NOW = datetime(2026, 7, 14, 12, 0)
+
+
+def at(hour, minute=0):
+    return datetime(2026, 7, 14, hour, minute)
+
+
+@pytest.fixture(scope="module")
+def orders(spark):
+    rows = [
+        ("O-1", "A", "PICKED_UP", at(6), at(8), at(10), at(9, 30), None),
+        ("O-2", "A", "BOOKED", at(6), at(8), at(10), None, None),
+        ("O-3", "A", "CANCELLED", at(6), at(8), at(10), None, at(6, 45)),
+        ("O-4", "B", "BOOKED", at(6), at(8), None, None, None),
+        ("O-5", "B", "BOOKED", at(6), at(8), at(13), None, None),
+    ]
+    return spark.createDataFrame(rows, schemas.ORDERS)
+
+
+@pytest.fixture(scope="module")
+def tickets(spark):
+    rows = [
+        ("T-1", "A", "s", "d", "closed", at(11), None, "refund given"),
+        ("T-2", "A", "s", "d", "open", None, None, None),
+    ]
+    return spark.createDataFrame(rows, schemas.TICKETS)
+
+
+@pytest.fixture(scope="module")
+def accounts(spark):
+    return spark.createDataFrame([("A", "Acme", "Growth"), ("B", "Birch", None)], schemas.ACCOUNTS)
+
+
+@pytest.fixture(scope="module")
+def requests(spark):
+    rows = [
+        ("own order", "A", "orders", "O-1"),
+        ("foreign order", "A", "orders", "O-4"),
+        ("missing order", "A", "orders", "O-9"),
+        ("all orders", "A", "orders", ""),
+        ("no orders", "C", "orders", None),
+        ("own ticket", "A", "tickets", "T-1"),
+        ("foreign ticket", "B", "tickets", "T-1"),
+        ("all tickets", "A", "tickets", None),
+        ("account", "A", "account", "B"),
+        ("unknown account", "C", "account", None),
+        ("nobody", None, "orders", None),
+        ("invoices", "A", "invoices", None),
+    ]
+    return spark.createDataFrame(rows, "request_id string, account_id string, table_name string, record_id string")
+
+
+def by(df, key="order_id"):
+    return {row[key]: row for row in df.collect()}
+
+
+def test_order_times(orders):
+    got = by(lookup.enrich_orders(orders, NOW))
+    assert {row["minutes_since_booking"] for row in got.values()} == {360.0}
+    assert got["O-1"]["pickup_delay_vs_window_end_minutes"] == -30.0
+    late = "minutes_past_pickup_window_end_if_still_not_picked_up"
+    assert [got[f"O-{n}"][late] for n in range(1, 6)] == [None, 120.0, None, None, -60.0]
+    cancelled = "minutes_between_booking_and_cancellation_request"
+    assert [got[f"O-{n}"][cancelled] for n in range(1, 6)] == [None, None, 45.0, None, None]
+    assert got["O-1"]["booked_at"] == "2026-07-14T06:00:00"
+
+
+def test_ticket_age_and_warning(tickets):
+    got = by(lookup.enrich_tickets(tickets, NOW), "ticket_id")
+    assert got["T-1"]["ticket_age_minutes"] == 60.0 and got["T-1"]["_warning"] == rules.RESOLUTION_WARNING
+    assert got["T-2"]["ticket_age_minutes"] is None and got["T-2"]["_warning"] is None
+
+
+def test_tickets_without_resolution_column(tickets):
+    got = lookup.enrich_tickets(tickets.drop("historical_resolution"), NOW)
+    assert {row["_warning"] for row in got.collect()} == {None}
+
+
+def test_orders_of_the_caller_only(requests, orders):
+    got = lookup.lookup_orders(requests, orders, NOW)
+    assert sorted(tuples(got, "request_id", "order_id", "error"), key=str) == sorted(
+        [
+            ("own order", "O-1", None),
+            ("foreign order", None, "No order O-4 found for this account."),
+            ("missing order", None, "No order O-9 found for this account."),
+            ("all orders", "O-1", None),
+            ("all orders", "O-2", None),
+            ("all orders", "O-3", None),
+            ("no orders", None, None),
+            ("nobody", None, None),
+        ],
+        key=str,
+    )
+
+
+def test_foreign_and_missing_records_look_alike(requests, orders):
+    got = by(lookup.lookup_orders(requests, orders, NOW), "request_id")
+    foreign, missing = got["foreign order"].asDict(), got["missing order"].asDict()
+    for row in (foreign, missing):
+        row["error"] = row["error"].replace(row["record_id"], "")
+        del row["request_id"], row["record_id"]
+    assert foreign == missing
+
+
+@pytest.mark.parametrize("rows_per_slot", [1, 2])
+def test_hot_accounts_change_nothing(requests, orders, rows_per_slot):
+    plain = lookup.lookup_orders(requests, orders, NOW)
+    spread = lookup.lookup_orders(requests, orders, NOW, Spread(rows_per_slot))
+    assert sorted(map(str, tuples(spread))) == sorted(map(str, tuples(plain)))
+
+
+def test_account_ignores_the_record_asked_for(requests, accounts):
+    got = by(lookup.lookup_account(requests, accounts), "request_id")
+    assert got["account"]["account_name"] == "Acme" and got["account"]["error"] is None
+    assert got["unknown account"]["error"] == rules.ACCOUNT_NOT_FOUND
+
+
+def test_all_tables_in_one_frame(requests, accounts, orders, tickets):
+    answers = lookup.lookup(requests, accounts, orders, tickets, NOW)
+    got = {}
+    for row in answers.collect():
+        got.setdefault(row["request_id"], []).append(row)
+    assert set(got) == {row["request_id"] for row in requests.collect()}
+    assert json.loads(got["account"][0]["result"]) == {"account_id": "A", "account_name": "Acme", "plan": "Growth"}
+    order = json.loads(got["own order"][0]["result"])
+    assert order["order_id"] == "O-1" and order["account_id"] == "A"
+    assert "minutes_between_booking_and_cancellation_request" not in order  # does not apply
+    assert got["no orders"][0]["result"] is None and got["no orders"][0]["error"] is None
+    assert len(got["all tickets"]) == 2
+    assert got["invoices"][0]["error"] == "Unknown table invoices"
+    errors = {row["request_id"] for row in lookup.lookup_errors(answers).collect()}
+    assert errors == {
+        "foreign order", "missing order", "foreign ticket", "unknown account", "invoices",
+    }
+
+
+def test_requests_must_name_their_account(spark, orders):
+    bare = spark.createDataFrame([("r", "orders", "O-1")], "request_id string, table_name string, record_id string")
+    with pytest.raises(ValueError, match="account_id"):
+        lookup.lookup_orders(bare, orders, NOW)

@@ -1,0 +1,85 @@
+"""Joins and lists under hot keys: the same rows as a plain join, in many small tasks."""
+
+import pytest
+from pyspark.sql import functions as F
+
+from conftest import tuples
+from tallydesk.plans import skew
+from tallydesk.plans.ordered import in_order, paged_lists
+
+HOT = skew.Spread(rows_per_slot=100, max_hot_keys=50)
+
+
+@pytest.fixture(scope="module")
+def facts(spark):
+    """9,000 rows; a third has one key, a ninth has none."""
+    key = F.when(F.col("id") % 3 == 0, F.lit(7)).when(F.col("id") % 9 == 1, F.lit(None).cast("int")).otherwise(
+        (F.col("id") % 1000).cast("int")
+    )
+    return spark.range(9000).select(F.col("id").alias("fact"), key.alias("k"))
+
+
+@pytest.fixture(scope="module")
+def dim(spark):
+    return spark.range(500).select(F.col("id").cast("int").alias("k"), (F.col("id") * 2).alias("v"))
+
+
+def sorted_rows(df):
+    return sorted(map(str, tuples(df)))
+
+
+def test_join_to_one_is_a_left_join(facts, dim):
+    got = skew.join_to_one(facts, dim, ["k"], ["fact"], HOT)
+    assert sorted_rows(got.select("fact", "k", "v")) == sorted_rows(facts.join(dim, "k", "left").select("fact", "k", "v"))
+
+
+def test_hot_rows_are_spread(facts, dim, settings):
+    settings(
+        spark__sql__autoBroadcastJoinThreshold="-1",
+        spark__sql__shuffle__partitions="64",
+        spark__sql__adaptive__coalescePartitions__enabled="false",
+    )
+    got = skew.join_to_one(facts, dim, ["k"], ["fact"], HOT)
+    largest = got.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+    plain = facts.join(dim, "k", "left").groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+    assert plain >= 3000 and largest < 700
+
+
+def test_hot_keys_beyond_the_limit_are_joined_all_the_same(facts, dim):
+    few = skew.Spread(rows_per_slot=5, max_hot_keys=1)
+    got = skew.join_to_one(facts, dim, ["k"], ["fact"], few)
+    assert got.count() == 9000
+
+
+def test_join_many_is_an_inner_join(spark, facts):
+    other = spark.range(400).select(
+        F.col("id").alias("other"), F.when(F.col("id") % 4 == 0, 7).otherwise(F.col("id").cast("int")).alias("k")
+    )
+    got = skew.join_many(facts, other, ["k"], ["fact"], ["other"], skew.Spread(rows_per_slot=20))
+    plain = facts.join(other, "k")
+    assert got.count() == plain.count() > 300_000
+    for side in ("fact", "other"):
+        mine = got.groupBy(side).count().exceptAll(plain.groupBy(side).count())
+        assert mine.count() == 0
+
+
+def test_head_and_tail_is_an_inner_join(facts, dim):
+    lookup = facts.filter("k IS NOT NULL").groupBy("k").agg(F.count("fact").alias("n"))
+    for head in (1, 3, 10_000):
+        got = skew.join_head_and_tail(facts, lookup, "k", "n", head_size=head)
+        assert sorted_rows(got.select("fact", "k", "n")) == sorted_rows(
+            facts.join(lookup, "k").select("fact", "k", "n")
+        )
+
+
+def test_pages_of_a_hot_group(spark, facts, settings):
+    settings(spark__sql__adaptive__coalescePartitions__enabled="false")
+    rows = facts.filter("k IS NOT NULL").select(F.coalesce("k", F.lit(0)).alias("k"), "fact").repartition(16)
+    placed = in_order(rows, "k", ["fact"])
+    assert placed.filter("k = 7").select(F.spark_partition_id()).distinct().count() > 1
+    pages = paged_lists(placed, "k", "fact", page_size=250).filter("k = 7").orderBy("page").collect()
+    expected = [str(row["fact"]) for row in facts.filter("k = 7").orderBy("fact").collect()]
+    assert [len(row["values"].split(", ")) for row in pages[:-1]] == [250] * (len(pages) - 1)
+    assert ", ".join(row["values"] for row in pages) == ", ".join(expected)
+    assert [row["page"] for row in pages] == list(range(len(pages)))
+    assert {row["total"] for row in pages} == {len(expected)}
