@@ -76,10 +76,10 @@ VIEWS = {
                CASE WHEN source IN ('src0', 'src1', 'src2', 'src3') THEN doc_id % 15 END AS account_id,
                lang AS section
         FROM {documents}""",
-    # The added query has no hit.
+    # The queries made from regions have no hit.
     "v_queries": """
         SELECT item_id AS query_id, text AS query_text, item_id % 15 AS account_id FROM {benchmark}
-        UNION ALL SELECT -1 AS query_id, 'zqxj vwkq' AS query_text, 0 AS account_id""",
+        UNION ALL SELECT CAST(-1 - r_regionkey AS BIGINT), 'zqxj' || CAST(r_regionkey AS STRING) || ' vwkq', r_regionkey FROM {region}""",
     # For every order: its own record, a foreign record, the list of orders, of tickets, the account,
     # an unknown account and an unknown table.
     "v_requests": """
