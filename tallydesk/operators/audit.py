@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from tallydesk import schemas
 from tallydesk.functions.arguments import parsed_arguments
-from tallydesk.sources.tables import latest_by
 
 CALL_KEYS = ("conv_id", "tool_call_id")
 
@@ -35,10 +34,11 @@ def tool_calls(messages: DataFrame) -> DataFrame:
 def tool_results(messages: DataFrame) -> DataFrame:
     """(conv_id, tool_call_id, result): the last answer given to each call."""
     schemas.require(messages, "conv_id", "turn", "role", "content", "tool_call_id", frame="messages")
-    answers = messages.filter((F.col("role") == "tool") & F.col("tool_call_id").isNotNull())
-    return latest_by(
-        answers.select(*CALL_KEYS, F.col("content").alias("result"), "turn"), CALL_KEYS, "turn"
-    ).drop("turn")
+    return (
+        messages.filter((F.col("role") == "tool") & F.col("tool_call_id").isNotNull())
+        .groupBy(*CALL_KEYS)
+        .agg(F.max_by("content", "turn").alias("result"))
+    )
 
 
 def tool_call_audit(

@@ -120,6 +120,7 @@ def ticket_insights(
     severities: KeywordRules = rules.SEVERITY_KEYWORDS,
     issues: KeywordRules = rules.ISSUE_KEYWORDS,
     plan_sla: PlanSla = rules.PLAN_SLA_MINUTES,
+    default_severity: str = rules.DEFAULT_SEVERITY,
     ordered: bool = True,
     spread: Spread = DEFAULT_SPREAD,
 ) -> DataFrame:
@@ -132,7 +133,7 @@ def ticket_insights(
         tickets, "ticket_id", "account_id", "subject", "description", "status", "created_at", frame="tickets"
     )
     schemas.require(accounts, "account_id", "account_name", "plan", frame="accounts")
-    levels = [name for name, _ in severities] + [rules.DEFAULT_SEVERITY]
+    levels = [name for name, _ in severities] + [default_severity]
     opened = open_tickets(tickets)
     counts = key_counts(opened, ["account_id"])
     known = (
@@ -148,7 +149,9 @@ def ticket_insights(
     severity = F.col("inferred_severity")
     joined = (
         join_to_one(opened, known, ["account_id"], ["ticket_id"], spread, counts)
-        .withColumn("inferred_severity", severity_of(F.col("subject"), F.col("description"), severities))
+        .withColumn(
+            "inferred_severity", severity_of(F.col("subject"), F.col("description"), severities, default_severity)
+        )
         .withColumn("_age", age)
         .withColumn(
             "sla_target_minutes",

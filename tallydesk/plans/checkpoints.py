@@ -20,3 +20,8 @@ def use_checkpoint_folder(spark: SparkSession) -> None:
 def checkpointed(df: DataFrame) -> DataFrame:
     use_checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def checkpoint_stage(df: DataFrame, name: str) -> DataFrame:
+    """A stage for tables that are read more than once; ``name`` only matters to stages with files."""
+    return checkpointed(df)

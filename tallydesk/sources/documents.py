@@ -2,17 +2,27 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallydesk import rules, schemas
 from tallydesk.functions.text import sections
+from tallydesk.sources.tables import read_table
 
 # A Spark string ends at 2^31 bytes and a section takes five of them ("\n1. A") at the least, so
 # the sections of one document always fit into this many bits.
 SECTION_BITS = 29
 
 
+def read_registry(spark: SparkSession, path: str, source_format: str = "parquet") -> DataFrame:
+    """What is known of each document: place, type, status, owner and title."""
+    return read_table(spark, path, schemas.REGISTRY, source_format)
+
+
+def read_pages(spark: SparkSession, path: str, source_format: str = "parquet") -> DataFrame:
+    return read_table(spark, path, schemas.PAGES, source_format)
+
+
 def join_pages(pages: DataFrame) -> DataFrame:
     """(doc_id, text): the pages of a document in order, one per line; a null page is an empty line."""
     schemas.require(pages, "doc_id", "page_no", "text", frame="pages")

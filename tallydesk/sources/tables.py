@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -46,6 +47,30 @@ def read_tickets(spark: SparkSession, path: str, source_format: str = "parquet")
     return read_table(spark, path, schemas.TICKETS, source_format)
 
 
+@dataclass(frozen=True)
+class Desk:
+    """The tables of one snapshot and its clock."""
+
+    accounts: DataFrame
+    orders: DataFrame
+    tickets: DataFrame
+    snapshot_time: DataFrame
+
+
+def read_desk(spark: SparkSession, folder: str, source_format: str = "parquet") -> Desk:
+    """The tables ``accounts``, ``orders``, ``tickets`` and ``meta`` of a folder; persist what is used often."""
+
+    def path(name: str) -> str:
+        return f"{folder.rstrip('/')}/{name}"
+
+    return Desk(
+        read_accounts(spark, path("accounts"), source_format),
+        read_orders(spark, path("orders"), source_format),
+        read_tickets(spark, path("tickets"), source_format),
+        snapshot_clock(read_table(spark, path("meta"), schemas.META, source_format)),
+    )
+
+
 def snapshot_clock(meta: DataFrame, key: str = rules.SNAPSHOT_KEY) -> DataFrame:
     """One row with ``snapshot_time``: the first entry under the key, read without its zone name."""
     first = meta.filter(F.col("key") == key).orderBy("row_ord").limit(1)
@@ -76,13 +101,3 @@ def first_accounts(accounts: DataFrame, order_by: str | None = None) -> DataFram
         .agg(F.min_by(whole, ranked_by).alias("_first"))
         .select("_first.*")
     )
-
-
-def latest_by(df: DataFrame, keys: Sequence[str], order_by: str) -> DataFrame:
-    """One row per key: the last by ``order_by``, pre-aggregated on the map side."""
-    rest = [name for name in df.columns if name not in keys]
-    return (
-        df.groupBy(*keys)
-        .agg(F.max_by(F.struct(*rest), F.col(order_by)).alias("_last"))
-        .select(*keys, "_last.*")
-    )

@@ -4,6 +4,7 @@ import pytest
 
 from conftest import tuples
 from tallydesk import schemas
+from tallydesk.operators import insights
 from tallydesk.sources import documents, sinks, tables
 
 
@@ -36,6 +37,30 @@ def test_parquet_round_trip(spark, tmp_path):
     assert dict(got.dtypes) == {"account_id": "string", "account_name": "string", "plan": "string", "tier": "string"}
 
 
+def test_a_folder_is_read_as_one_snapshot(spark, tmp_path):
+    frames = {
+        "accounts": ([("A-1", "Acme", "Growth")], schemas.ACCOUNTS),
+        "orders": ([("O-1", "A-1", "BOOKED", None, None, None, None, None)], schemas.ORDERS),
+        "tickets": ([("T-1", "A-1", "late", "csv", "open", datetime(2026, 1, 1), None, None)], schemas.TICKETS),
+        "meta": ([(0, "Dataset snapshot", "2026-01-01 01:00 Asia/Kolkata")], schemas.META),
+    }
+    for name, (rows, schema) in frames.items():
+        sinks.write_table(spark.createDataFrame(rows, schema), str(tmp_path / name))
+    desk = tables.read_desk(spark, str(tmp_path))
+    found = insights.ticket_insights(
+        desk.tickets, desk.accounts, insights.contract_sla_table(spark), desk.snapshot_time
+    )
+    assert tuples(found, "ticket_id", "age_minutes", "sla_status") == [("T-1", 60.0, "OK")]
+    registry = [(0, "d", "policy", "current", None, "Policy")]
+    sinks.write_table(spark.createDataFrame(registry, schemas.REGISTRY), str(tmp_path / "registry"))
+    sinks.write_table(spark.createDataFrame([("d", 1, "a")], schemas.PAGES), str(tmp_path / "pages"))
+    pages = documents.read_pages(spark, str(tmp_path / "pages"))
+    chunks = documents.build_chunks(
+        documents.join_pages(pages), documents.read_registry(spark, str(tmp_path / "registry"))
+    )
+    assert tuples(chunks, "title", "section") == [("Policy", "a")]
+
+
 def test_missing_column_is_named(spark):
     with pytest.raises(ValueError, match="plan"):
         tables.account_directory(spark.createDataFrame([("a", "b")], "account_id string, account_name string"))

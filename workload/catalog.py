@@ -195,37 +195,23 @@ def tickets_with_accounts(t: Tables) -> DataFrame:
     return insights.with_accounts(t.v_tickets, t.v_accounts.withColumn("status", status))
 
 
-@_register(
-    _INSIGHTS
-    + f"""
-    SELECT known_issue_match, 0 AS page,
-           string_agg(CAST(ticket_id AS STRING), ', ' ORDER BY {_SLA_RANK}, ticket_id) AS affected_tickets,
-           string_agg(DISTINCT account_name, ', ' ORDER BY account_name) AS affected_accounts,
-           COUNT(ticket_id) AS ticket_count
-    FROM insights WHERE known_issue_match IS NOT NULL
-    GROUP BY known_issue_match ORDER BY ticket_count DESC, known_issue_match"""
-)
-def known_issue_clusters(t: Tables) -> DataFrame:
-    # One page per issue, as the SQL has it: no list can be longer than a BIGINT counts.
-    return insights.known_issue_clusters(_insights(t), page_size=2**62)
-
-
-@_register(
-    _INSIGHTS
-    + f"""
+def _cluster_pages(page_size: int) -> str:
+    return (
+        _INSIGHTS
+        + f"""
     , placed AS (
-        SELECT known_issue_match, ticket_id,
-               (ROW_NUMBER() OVER (PARTITION BY known_issue_match ORDER BY {_SLA_RANK}, ticket_id) - 1) // 500 AS page
+        SELECT known_issue_match, ticket_id, {_SLA_RANK} AS sla_rank,
+               (ROW_NUMBER() OVER (PARTITION BY known_issue_match ORDER BY {_SLA_RANK}, ticket_id) - 1) // {page_size} AS page
         FROM insights WHERE known_issue_match IS NOT NULL),
     named AS (
         SELECT known_issue_match, account_name,
-               (ROW_NUMBER() OVER (PARTITION BY known_issue_match ORDER BY account_name) - 1) // 500 AS page
+               (ROW_NUMBER() OVER (PARTITION BY known_issue_match ORDER BY account_name) - 1) // {page_size} AS page
         FROM (SELECT DISTINCT known_issue_match, account_name FROM insights
               WHERE known_issue_match IS NOT NULL AND account_name IS NOT NULL) d),
     ticket_pages AS (
-        SELECT p.known_issue_match, p.page,
-               string_agg(CAST(p.ticket_id AS STRING), ', ' ORDER BY {_SLA_RANK}, p.ticket_id) AS affected_tickets
-        FROM placed p JOIN insights i ON p.ticket_id = i.ticket_id GROUP BY p.known_issue_match, p.page),
+        SELECT known_issue_match, page,
+               string_agg(CAST(ticket_id AS STRING), ', ' ORDER BY sla_rank, ticket_id) AS affected_tickets
+        FROM placed GROUP BY known_issue_match, page),
     name_pages AS (
         SELECT known_issue_match, page, string_agg(account_name, ', ' ORDER BY account_name) AS affected_accounts
         FROM named GROUP BY known_issue_match, page),
@@ -234,8 +220,17 @@ def known_issue_clusters(t: Tables) -> DataFrame:
     SELECT k.known_issue_match, k.page, k.affected_tickets, n.affected_accounts, c.ticket_count
     FROM ticket_pages k
     LEFT JOIN name_pages n ON k.known_issue_match = n.known_issue_match AND k.page = n.page
-    JOIN totals c ON k.known_issue_match = c.known_issue_match"""
-)
+    JOIN totals c ON k.known_issue_match = c.known_issue_match
+    ORDER BY c.ticket_count DESC, k.known_issue_match, k.page"""
+    )
+
+
+@_register(_cluster_pages(10_000))
+def known_issue_clusters(t: Tables) -> DataFrame:
+    return insights.known_issue_clusters(_insights(t))
+
+
+@_register(_cluster_pages(500))
 def known_issue_cluster_pages(t: Tables) -> DataFrame:
     return insights.known_issue_clusters(_insights(t), page_size=500)
 
@@ -449,7 +444,7 @@ def index_norms(t: Tables) -> DataFrame:
 
 @_register(_INDEX + "SELECT chunk_ord, term, tf, ROUND(weight, 9) AS weight, is_contract, owner FROM postings")
 def index_postings(t: Tables) -> DataFrame:
-    return search.weighted_postings(*_terms(t)).withColumn("weight", F.round("weight", 9))
+    return search.build_index(t.v_chunks, STOP_WORDS).postings.withColumn("weight", F.round("weight", 9))
 
 
 @_register(_HITS + "SELECT * FROM hits")
