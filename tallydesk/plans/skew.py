@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 class Spread:
     """A key with more rows than ``rows_per_slot`` is hot; at most ``max_hot_keys`` are spread."""
 
-    rows_per_slot: int = 2_000_000
+    rows_per_slot: int = 500_000
     max_hot_keys: int = 10_000
 
 

@@ -28,7 +28,7 @@ def typed(df: DataFrame, schema: T.StructType) -> DataFrame:
 def read_table(
     spark: SparkSession, path: str, schema: T.StructType, source_format: str = "parquet"
 ) -> DataFrame:
-    """Read a Parquet, ORC, JSON or CSV table; its types are declared here, never inferred by a scan."""
+    """Read a Parquet, ORC or CSV table; its types are declared, no scan infers them."""
     reader = spark.read.format(source_format)
     if source_format == "csv":
         reader = reader.option("header", True)

@@ -13,7 +13,7 @@ from tallydesk.operators import actions, insights, lookup, search
 from tallydesk.plans.skew import Spread
 
 few = hypothesis_settings(
-    max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture]
+    max_examples=5, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture]
 )
 NOW = datetime(2026, 7, 14, 12, 0)
 ACCOUNT = st.sampled_from(["A", "B", "C", None])
