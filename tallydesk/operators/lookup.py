@@ -2,11 +2,16 @@
 
 The account of a request comes from the session that sent it and is part of every join key, so a
 record of another account is indistinguishable from one that does not exist.
+
+A batch of requests is usually small next to the records. Then, after a check of its size, its keys
+are broadcast and sift the records where they lie, so that only records someone asks for are
+shuffled. The join proper spreads hot accounts; it is the same for small and large batches.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -22,6 +27,17 @@ REQUEST_COLUMNS = ("request_id", "account_id", "table_name", "record_id")
 TABLES = ("account", "orders", "tickets")
 
 
+@dataclass(frozen=True)
+class LookupLimits:
+    """Requests whose keys may be broadcast, and how hot accounts are spread."""
+
+    broadcast_requests: int = 500_000
+    spread: Spread = DEFAULT_SPREAD
+
+
+DEFAULT_LIMITS = LookupLimits()
+
+
 def _times_as_text(df: DataFrame) -> DataFrame:
     times = [field.name for field in df.schema if isinstance(field.dataType, T.TimestampNTZType)]
     return df.withColumns({name: iso_text(F.col(name)) for name in times}) if times else df
@@ -75,69 +91,103 @@ def _asks_for_one() -> Column:
     return F.coalesce(F.col("record_id").cast("string"), F.lit("")) != ""
 
 
+def _is_small(requests: DataFrame, limits: LookupLimits) -> bool:
+    return requests.count() <= limits.broadcast_requests
+
+
 def lookup_account(
     requests: DataFrame,
     accounts: DataFrame,
     order_by: str | None = None,
-    spread: Spread = DEFAULT_SPREAD,
+    limits: LookupLimits = DEFAULT_LIMITS,
 ) -> DataFrame:
     """The caller's own account row, whatever record was asked for."""
+    mine = _requests_for(requests, "account")
+    return _account_answers(mine, accounts, order_by, limits, _is_small(mine, limits))
+
+
+def _account_answers(
+    mine: DataFrame, accounts: DataFrame, order_by: str | None, limits: LookupLimits, small: bool
+) -> DataFrame:
+    if small:
+        accounts = _of_requests(accounts, mine, ["account_id"])
     found = first_accounts(accounts, order_by).withColumn("_found", F.lit(True))
-    joined = join_to_one(_requests_for(requests, "account"), found, ["account_id"], ["request_id"], spread)
+    joined = join_to_one(mine, found, ["account_id"], ["request_id"], limits.spread)
     error = F.when(F.col("_found").isNull(), F.lit(rules.ACCOUNT_NOT_FOUND))
     return joined.withColumn("error", error).drop("_found")
 
 
+def _of_requests(records: DataFrame, requests: DataFrame, keys: list[str]) -> DataFrame:
+    """The records some request of a small batch asks for; they are not shuffled."""
+    return records.join(F.broadcast(requests.select(*keys).distinct()), keys, "left_semi")
+
+
 def _lookup_records(
-    requests: DataFrame, records: DataFrame, id_column: str, not_found: str, spread: Spread
+    requests: DataFrame,
+    records: DataFrame,
+    enrich: Callable[[DataFrame], DataFrame],
+    id_column: str,
+    not_found: str,
+    limits: LookupLimits,
+    small: bool,
 ) -> DataFrame:
     """One row per request and record found.
 
     A request for one record matches on account and record id at once. Only requests for a list
     match on the account alone. A list without records gives one row that is empty but no error.
     """
+    key, owner = ["account_id", "_id"], ["account_id"]
     wanted = F.col("record_id").cast("string")
     one = requests.filter(_asks_for_one()).withColumn("_id", wanted)
     lists = requests.filter(~_asks_for_one())
-    rows = records.withColumn("_id", F.col(id_column).cast("string")).withColumn("_found", F.lit(True))
+    by_id = records.withColumn("_id", F.col(id_column).cast("string"))
+    by_owner = records
+    if small:
+        by_id = _of_requests(by_id, one, key)
+        by_owner = _of_requests(by_owner, lists, owner)
 
+    found = enrich(by_id).withColumn("_found", F.lit(True))
     single = (
-        join_to_one(one, rows, ["account_id", "_id"], ["request_id"], spread)
+        join_to_one(one, found, key, ["request_id"], limits.spread)
         .withColumn("error", F.when(F.col("_found").isNull(), F.format_string(not_found, wanted)))
         .drop("_found", "_id")
     )
-    owners = key_counts(records, ["account_id"])
-    listed = join_many(lists, records, ["account_id"], ["request_id"], [id_column], spread, owners)
-    empty = join_to_one(lists, owners, ["account_id"], ["request_id"], spread).filter(F.col("_rows").isNull())
+    owned = key_counts(by_owner, owner)
+    listed = join_many(lists, enrich(by_owner), owner, ["request_id"], [id_column], limits.spread, owned)
+    empty = join_to_one(lists, owned, owner, ["request_id"], limits.spread).filter(F.col("_rows").isNull())
     return single.unionByName(listed, allowMissingColumns=True).unionByName(
         empty.drop("_rows"), allowMissingColumns=True
     )
 
 
 def lookup_orders(
-    requests: DataFrame, orders: DataFrame, snapshot, spread: Spread = DEFAULT_SPREAD
+    requests: DataFrame, orders: DataFrame, snapshot, limits: LookupLimits = DEFAULT_LIMITS
 ) -> DataFrame:
     """The caller's order, or all of them, with derived times."""
-    return _lookup_records(
-        _requests_for(requests, "orders"),
-        enrich_orders(orders, snapshot),
-        "order_id",
-        rules.ORDER_NOT_FOUND,
-        spread,
-    )
+    mine = _requests_for(requests, "orders")
+    return _order_answers(mine, orders, snapshot, limits, _is_small(mine, limits))
+
+
+def _order_answers(mine: DataFrame, orders: DataFrame, snapshot, limits: LookupLimits, small: bool) -> DataFrame:
+    def enrich(rows: DataFrame) -> DataFrame:
+        return enrich_orders(rows, snapshot)
+
+    return _lookup_records(mine, orders, enrich, "order_id", rules.ORDER_NOT_FOUND, limits, small)
 
 
 def lookup_tickets(
-    requests: DataFrame, tickets: DataFrame, snapshot, spread: Spread = DEFAULT_SPREAD
+    requests: DataFrame, tickets: DataFrame, snapshot, limits: LookupLimits = DEFAULT_LIMITS
 ) -> DataFrame:
     """The caller's ticket, or all of them, with derived times."""
-    return _lookup_records(
-        _requests_for(requests, "tickets"),
-        enrich_tickets(tickets, snapshot),
-        "ticket_id",
-        rules.TICKET_NOT_FOUND,
-        spread,
-    )
+    mine = _requests_for(requests, "tickets")
+    return _ticket_answers(mine, tickets, snapshot, limits, _is_small(mine, limits))
+
+
+def _ticket_answers(mine: DataFrame, tickets: DataFrame, snapshot, limits: LookupLimits, small: bool) -> DataFrame:
+    def enrich(rows: DataFrame) -> DataFrame:
+        return enrich_tickets(rows, snapshot)
+
+    return _lookup_records(mine, tickets, enrich, "ticket_id", rules.TICKET_NOT_FOUND, limits, small)
 
 
 def _unknown_tables(requests: DataFrame) -> DataFrame:
@@ -160,25 +210,25 @@ def lookup(
     tickets: DataFrame,
     snapshot,
     account_order_by: str | None = None,
-    spread: Spread = DEFAULT_SPREAD,
+    limits: LookupLimits = DEFAULT_LIMITS,
 ) -> DataFrame:
     """All requests answered in one frame: (request, result as JSON, error), a row per record."""
 
-    def uniform(answer: DataFrame, table: str, id_column: str, record: DataFrame) -> DataFrame:
-        body: Callable[[], Column] = lambda: json_object(*record.columns)
-        empty = F.col(id_column).isNull() | F.col("error").isNotNull()
-        return answer.select(
+    def uniform(answers: DataFrame, table: str, id_column: str, record: DataFrame) -> DataFrame:
+        found = F.col(id_column).isNotNull() & F.col("error").isNull()
+        return answers.select(
             "request_id",
             "account_id",
             F.lit(table).alias("table_name"),
             "record_id",
-            F.when(~empty, body()).alias("result"),
+            F.when(found, json_object(*record.columns)).alias("result"),
             "error",
         )
 
-    by_account = lookup_account(requests, accounts, account_order_by, spread)
-    by_order = lookup_orders(requests, orders, snapshot, spread)
-    by_ticket = lookup_tickets(requests, tickets, snapshot, spread)
+    small = _is_small(requests, limits)
+    by_account = _account_answers(_requests_for(requests, "account"), accounts, account_order_by, limits, small)
+    by_order = _order_answers(_requests_for(requests, "orders"), orders, snapshot, limits, small)
+    by_ticket = _ticket_answers(_requests_for(requests, "tickets"), tickets, snapshot, limits, small)
     return (
         uniform(by_account, "account", "account_id", accounts)
         .unionByName(uniform(by_order, "orders", "order_id", enrich_orders(orders, snapshot)))

@@ -112,11 +112,22 @@ def test_foreign_and_missing_records_look_alike(requests, orders):
     assert foreign == missing
 
 
-@pytest.mark.parametrize("rows_per_slot", [1, 2])
-def test_hot_accounts_change_nothing(requests, orders, rows_per_slot):
-    plain = lookup.lookup_orders(requests, orders, NOW)
-    spread = lookup.lookup_orders(requests, orders, NOW, Spread(rows_per_slot))
-    assert sorted(map(str, tuples(spread))) == sorted(map(str, tuples(plain)))
+@pytest.mark.parametrize("rows_per_slot", [1, 2, 100])
+def test_large_batches_get_the_same_answers(requests, orders, accounts, rows_per_slot):
+    large = lookup.LookupLimits(broadcast_requests=0, spread=Spread(rows_per_slot))
+    for few, many in (
+        (lookup.lookup_orders(requests, orders, NOW), lookup.lookup_orders(requests, orders, NOW, large)),
+        (lookup.lookup_account(requests, accounts), lookup.lookup_account(requests, accounts, limits=large)),
+    ):
+        assert sorted(map(str, tuples(many, *few.columns))) == sorted(map(str, tuples(few)))
+
+
+def test_a_small_batch_sifts_the_records_before_the_shuffle(requests, orders, settings):
+    settings(spark__sql__autoBroadcastJoinThreshold="-1")
+    few = lookup.lookup_orders(requests, orders, NOW)._jdf.queryExecution().simpleString()
+    many = lookup.lookup_orders(requests, orders, NOW, lookup.LookupLimits(broadcast_requests=0))
+    assert few.count("LeftSemi, BuildRight") >= 2
+    assert "LeftSemi" not in many._jdf.queryExecution().simpleString()
 
 
 def test_account_ignores_the_record_asked_for(requests, accounts):
