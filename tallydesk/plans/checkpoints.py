@@ -10,11 +10,14 @@ from pyspark.sql import DataFrame, SparkSession
 def use_checkpoint_folder(spark: SparkSession) -> None:
     """Use the folder the session names; set one up only for a local session that names none."""
     context = spark.sparkContext
-    if spark.conf.get("spark.checkpoint.dir", None) or context._jsc.sc().getCheckpointDir().isDefined():
+    if context._jsc.sc().getCheckpointDir().isDefined():
         return
-    if not context.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-    context.setCheckpointDir(tempfile.mkdtemp(prefix="tallydesk-checkpoint-"))
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
+        folder = tempfile.mkdtemp(prefix="tallydesk-checkpoint-")
+    context.setCheckpointDir(folder)
 
 
 def checkpointed(df: DataFrame) -> DataFrame:

@@ -124,7 +124,7 @@ def join_head_and_tail(
     lookup: DataFrame,
     key: str,
     weight: str,
-    head_size: int = 100_000,
+    head_size: int = 500_000,
 ) -> DataFrame:
     """Inner join for keys of a falling-off frequency, such as words.
 
