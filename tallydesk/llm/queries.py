@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallydesk.llm import bpe
+from tallydesk.llm import bpe, decontamination, licenses, neardup, sharding
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -44,3 +44,96 @@ def op1_bpe(spark: SparkSession, folder: str) -> DataFrame:
         F.sha2(F.concat_ws(" ", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )
+
+
+@query
+def op10_minmax_neardup(spark: SparkSession, folder: str) -> DataFrame:
+    """Components of documents that share four fifths of their word pairs."""
+    return neardup.near_duplicates(table(spark, folder, "documents"), neardup.MinMax(width=2))
+
+
+@query
+def op3_shards(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's place in 16 shards whose counts are at most one apart."""
+    sharded = sharding.shard(table(spark, folder, "documents"), shards=16)
+    text = F.coalesce("text", F.lit(""))
+    return sharded.select(
+        "doc_id",
+        (F.octet_length(text) + 1).cast("long").alias("size"),
+        F.crc32(text.cast("binary")).alias("text_crc32"),
+        F.lit("rows").alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
+@query
+def op6_licenses(spark: SparkSession, folder: str) -> DataFrame:
+    """Licence phrases and statements of every document."""
+    scanned = licenses.scan(table(spark, folder, "documents").select("doc_id", "text"))
+    base = F.transform(F.filter("places", lambda place: place["is_base"]), lambda place: place["start"])
+    return scanned.select("doc_id", "n_words", base.alias("starts"), "base_labels", "labels", "score").select(
+        "doc_id",
+        "n_words",
+        F.size("starts").cast("long").alias("n_base"),
+        F.array_min("starts").alias("first_word"),
+        F.array_max("starts").alias("last_word"),
+        F.concat_ws(",", "base_labels").alias("base_labels"),
+        F.concat_ws(",", "labels").alias("labels"),
+        "score",
+    )
+
+
+@query
+def op9_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    """The benchmark items that documents hold."""
+    return decontamination.contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark")).drop("text_hash")
+
+
+ORACLES["op9_decontamination"] = """
+WITH d AS (SELECT doc_id, list_filter(string_split_regex(lower(text), '[^\\pL\\pN]+'), lambda x: x <> '') AS ws FROM documents),
+b AS (SELECT item_id, list_filter(string_split_regex(lower(text), '[^\\pL\\pN]+'), lambda x: x <> '') AS ws FROM benchmark),
+dn AS (SELECT doc_id, ws, unnest(generate_series(1, greatest(len(ws) - 4, 1))) AS i FROM d WHERE len(ws) > 0),
+bn AS (SELECT item_id, ws, unnest(generate_series(1, greatest(len(ws) - 4, 1))) AS i FROM b WHERE len(ws) > 0),
+ds AS (SELECT DISTINCT doc_id, array_to_string(ws[i:i + 4], ' ') AS s FROM dn),
+bs AS (SELECT DISTINCT item_id, array_to_string(ws[i:i + 4], ' ') AS s FROM bn),
+n AS (SELECT item_id, count(*) AS n_item FROM bs GROUP BY item_id),
+h AS (SELECT doc_id, item_id, count(*) AS n_shared FROM ds JOIN bs USING (s) GROUP BY doc_id, item_id)
+SELECT doc_id, item_id, n_item, n_shared, n_shared / n_item AS containment
+FROM h JOIN n USING (item_id) WHERE n_shared * 100 >= n_item * 80
+"""
+
+
+def _license_oracle() -> str:
+    """Every template word by word, at every place of the first word of its first phrase."""
+
+    def at(start: str, offset: int, phrase: list[str]) -> str:
+        wanted = ", ".join(f"'{word}'" for word in phrase)
+        return f"ws[{start} + {offset + 1}:{start} + {offset + len(phrase)}] = [{wanted}]"
+
+    selects, firsts = [], set()
+    for template in licenses.TEMPLATES:
+        place, (first, *_) = template.mandatory()[0]
+        firsts.add(first)
+        phrases = " AND ".join(at("s", *found) for found in template.mandatory())
+        source = f"(SELECT doc_id, ws, at - {place} AS s FROM hits WHERE w = '{first}')"
+        same = " + ".join(f"coalesce((ws[s + {n + 1}] = '{word}')::INT, 0)" for n, word in enumerate(template.words))
+        selects.append(
+            f"SELECT doc_id, '{template.label}' AS label, {str(template.base).lower()} AS is_base, s, "
+            f"({same})::DOUBLE / {len(template.words)} AS coverage, {template.percent} AS percent FROM {source} WHERE s >= 0 AND {phrases}"
+        )
+    return f"""
+WITH w AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '') AS ws FROM documents),
+starts AS (SELECT doc_id, ws, unnest(range(len(ws))) AS at FROM w),
+hits AS (SELECT doc_id, ws, at, ws[at + 1] AS w FROM starts WHERE ws[at + 1] IN ({', '.join(f"'{first}'" for first in sorted(firsts))})),
+places AS ({' UNION ALL '.join(selects)}),
+sums AS (SELECT doc_id, count(*) FILTER (is_base) AS n_base, min(s) FILTER (is_base) AS first_word, max(s) FILTER (is_base) AS last_word,
+  string_agg(DISTINCT label, ',' ORDER BY label) FILTER (is_base) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(coverage) AS score
+  FROM places WHERE coverage * 100 >= percent GROUP BY doc_id)
+SELECT doc_id, len(ws) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels,
+  coalesce(labels, '') AS labels, coalesce(score, 0.0) AS score FROM w LEFT JOIN sums USING (doc_id)
+"""
+
+
+ORACLES["op6_licenses"] = _license_oracle()
