@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallydesk.llm import bpe, decontamination, licenses, neardup, sharding
+from tallydesk.llm import bpe, decontamination, licenses, neardup, sharding, topk
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -117,7 +117,7 @@ def _license_oracle() -> str:
         place, (first, *_) = template.mandatory()[0]
         firsts.add(first)
         phrases = " AND ".join(at("s", *found) for found in template.mandatory())
-        source = f"(SELECT doc_id, ws, at - {place} AS s FROM hits WHERE w = '{first}')"
+        source = f"(SELECT doc_id, ws, p - {place} AS s FROM hits WHERE w = '{first}')"
         same = " + ".join(f"coalesce((ws[s + {n + 1}] = '{word}')::INT, 0)" for n, word in enumerate(template.words))
         selects.append(
             f"SELECT doc_id, '{template.label}' AS label, {str(template.base).lower()} AS is_base, s, "
@@ -125,8 +125,8 @@ def _license_oracle() -> str:
         )
     return f"""
 WITH w AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '') AS ws FROM documents),
-starts AS (SELECT doc_id, ws, unnest(range(len(ws))) AS at FROM w),
-hits AS (SELECT doc_id, ws, at, ws[at + 1] AS w FROM starts WHERE ws[at + 1] IN ({', '.join(f"'{first}'" for first in sorted(firsts))})),
+starts AS (SELECT doc_id, ws, unnest(range(len(ws))) AS p FROM w),
+hits AS (SELECT doc_id, ws, p, ws[p + 1] AS w FROM starts WHERE ws[p + 1] IN ({', '.join(f"'{first}'" for first in sorted(firsts))})),
 places AS ({' UNION ALL '.join(selects)}),
 sums AS (SELECT doc_id, count(*) FILTER (is_base) AS n_base, min(s) FILTER (is_base) AS first_word, max(s) FILTER (is_base) AS last_word,
   string_agg(DISTINCT label, ',' ORDER BY label) FILTER (is_base) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(coverage) AS score
@@ -137,3 +137,22 @@ SELECT doc_id, len(ws) AS n_words, coalesce(n_base, 0) AS n_base, first_word, la
 
 
 ORACLES["op6_licenses"] = _license_oracle()
+
+
+@query
+def op5_topk_products(spark: SparkSession, folder: str) -> DataFrame:
+    """The five largest whole-number products of every fiftieth vector with all others."""
+    return topk.top_products(table(spark, folder, "embeddings"), query_every=50, k=5)
+
+
+ORACLES["op5_topk_products"] = """
+WITH v AS (
+  SELECT DISTINCT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS x FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x) OR abs(256 * x::DOUBLE) >= 2147483648)) = 0),
+pairs AS (
+  SELECT q.vec_id AS query_id, c.vec_id AS vec_id, list_dot_product(q.x, c.x)::BIGINT AS score
+  FROM v q JOIN v c ON len(q.x) = len(c.x) AND q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM pairs)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
+"""
