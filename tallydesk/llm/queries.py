@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallydesk.llm import bpe, decontamination, licenses, neardup, sharding, topk
+from tallydesk.llm import bpe, decontamination, langid, licenses, neardup, sampling, sharding, topk, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -156,3 +156,21 @@ pairs AS (
 ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM pairs)
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
 """
+
+
+@query
+def op8_langid(spark: SparkSession, folder: str) -> DataFrame:
+    """The language of every document, learned from four of five folds."""
+    docs = table(spark, folder, "documents").select("doc_id", "text", "lang")
+    held_out = sampling.fold_of("doc_id", 5) == 0
+    model = langid.fit(docs.filter(~held_out))
+    return langid.predict(docs, model, keep=["doc_id"]).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+@query
+def op4_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    """Toxicity of every document, learned from three of four folds of the labels."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    held_out = sampling.fold_of("doc_id", 4) == 2
+    network = toxicity.fit(docs, table(spark, folder, "labels").filter(~held_out))
+    return toxicity.score(docs, network, keep=["doc_id"]).select("doc_id", held_out.alias("held_out"), "score", "predicted")
