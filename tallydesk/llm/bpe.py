@@ -14,6 +14,7 @@ from __future__ import annotations
 import json
 import os
 import zlib
+from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -72,8 +73,8 @@ def _unpacked(data: bytes, count: int) -> np.ndarray:
     return np.frombuffer(data, "<u2" if len(data) == 2 * count else "<u4").astype(np.int64)
 
 
-def encode(docs: DataFrame, definition: str, text: str = "text", ids: str = "ids", block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """The rows with their token ids as one more column.
+def encode(docs: DataFrame, definition: str, text: str = "text", ids: str = "ids", block_bytes: int = BLOCK_BYTES, keep: Sequence[str] | None = None) -> DataFrame:
+    """The rows (of the columns ``keep``, else all) with their token ids as one more column.
 
     ``definition`` is the text of a tokenizer file. A null or empty text has no ids. Rows that
     repeat are all kept. Other columns pass through, whatever their names; ``ids`` must be new.
@@ -116,7 +117,7 @@ def encode(docs: DataFrame, definition: str, text: str = "text", ids: str = "ids
             }
         )
 
-    kept = docs.columns
+    kept = [c for c in docs.columns if keep is None or c in keep]
 
     def join_back(left: pa.Table, right: pa.Table) -> pa.Table:
         texts = left.column(text).cast(pa.binary()).to_pylist()
@@ -143,7 +144,7 @@ def encode(docs: DataFrame, definition: str, text: str = "text", ids: str = "ids
 
     lists = in_block.groupBy(block).applyInArrow(list_words, "bucket long, block long, words binary")
     coded = lists.groupBy("bucket").applyInArrow(encode_words, "block long, bucket long, lengths binary, codes binary")
-    schema = T.StructType([*docs.schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType()))])
+    schema = T.StructType([*[docs.schema[c] for c in kept], T.StructField(ids, T.ArrayType(T.IntegerType()))])
     return in_block.groupBy(block).cogroup(coded.groupBy("block")).applyInArrow(join_back, schema)
 
 
