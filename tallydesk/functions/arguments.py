@@ -12,10 +12,16 @@ def is_one_json_value(text: Column) -> Column:
     """True for text holding exactly one JSON value.
 
     A lenient parser stops after the first value, so the text is tested inside brackets: anything
-    left over then breaks the array or adds a second element.
+    left over then breaks the array or adds a second element. Text that closes the brackets itself
+    can't close the braces of an object as well.
     """
     boxed = F.concat(F.lit("["), text, F.lit("]"))
-    return F.try_parse_json(boxed).isNotNull() & (F.coalesce(F.json_array_length(boxed), F.lit(0)) == 1)
+    named = F.concat(F.lit('{"a":'), text, F.lit("}"))
+    return (
+        F.try_parse_json(boxed).isNotNull()
+        & F.try_parse_json(named).isNotNull()
+        & (F.coalesce(F.json_array_length(boxed), F.lit(0)) == 1)
+    )
 
 
 def parsed_arguments(arguments: Column) -> Column:

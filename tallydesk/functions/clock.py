@@ -8,10 +8,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def known_moment(moment: Column) -> Column:
+    """The moment itself; fails where there is none."""
+    missing = F.raise_error(F.lit("the snapshot clock is missing or no time")).cast("timestamp_ntz")
+    return F.when(moment.isNotNull(), moment).otherwise(missing)
+
+
 def snapshot_column(snapshot: str | datetime | Column | DataFrame) -> Column:
-    """The clock all ages are measured against: a literal, a column, or a one-row frame."""
+    """The clock all ages are measured against: a literal, a column, or a one-row frame.
+
+    A frame without a moment fails instead of making all ages null.
+    """
     if isinstance(snapshot, DataFrame):
-        return snapshot.select(F.col(snapshot.columns[0]).cast("timestamp_ntz")).scalar()
+        return known_moment(snapshot.select(F.col(snapshot.columns[0]).cast("timestamp_ntz")).scalar())
     if isinstance(snapshot, Column):
         return snapshot
     return F.lit(str(snapshot)).cast("timestamp_ntz")

@@ -47,9 +47,10 @@ def first_proposal_per_turn(proposals: DataFrame, keys: Sequence[str] = ("conv_i
 
 
 def _one_decision(decisions: DataFrame) -> DataFrame:
-    """One decision per proposal; of contradicting ones the cancellation holds."""
+    """One decision per proposal; of contradicting ones the cancellation holds. Other words decide nothing."""
     schemas.require(decisions, "proposal_id", "decision", frame="decisions")
-    return decisions.groupBy("proposal_id").agg(F.min("decision").alias("decision"))
+    made = decisions.filter(F.col("decision").isin("confirmed", "cancelled"))
+    return made.groupBy("proposal_id").agg(F.min("decision").alias("decision"))
 
 
 def action_ledger(

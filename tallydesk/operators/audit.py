@@ -32,12 +32,17 @@ def tool_calls(messages: DataFrame) -> DataFrame:
 
 
 def tool_results(messages: DataFrame) -> DataFrame:
-    """(conv_id, tool_call_id, result): the last answer given to each call."""
+    """(conv_id, tool_call_id, result): the last answer given to each call.
+
+    Within a turn a column ``message_ord`` tells which is the last; without it, or at a tie, the
+    greatest text is taken, so that runs agree.
+    """
     schemas.require(messages, "conv_id", "turn", "role", "content", "tool_call_id", frame="messages")
+    order = ["message_ord"] if "message_ord" in messages.columns else []
     return (
         messages.filter((F.col("role") == "tool") & F.col("tool_call_id").isNotNull())
         .groupBy(*CALL_KEYS)
-        .agg(F.max_by("content", "turn").alias("result"))
+        .agg(F.max_by("content", F.struct("turn", *order, "content")).alias("result"))
     )
 
 
@@ -46,14 +51,15 @@ def tool_call_audit(
 ) -> DataFrame:
     """Calls with parsed arguments and result; the outcome of a decision replaces the staged result.
 
-    ``results`` and ``decision_results`` hold one row per (conv_id, tool_call_id).
+    ``results`` holds one row per (conv_id, tool_call_id). Of several decision results of a call the
+    greatest text is taken.
     """
     schemas.require(calls, *CALL_KEYS, "turn", "call_ord", "tool", "arguments", frame="calls")
     schemas.require(results, *CALL_KEYS, "result", frame="results")
     answered = calls.join(results.select(*CALL_KEYS, F.col("result").alias("_result")), list(CALL_KEYS), "left")
     result = F.col("_result")
     if decision_results is not None:
-        outcome = decision_results.select(*CALL_KEYS, F.col("result").alias("_outcome"))
+        outcome = decision_results.groupBy(*CALL_KEYS).agg(F.max("result").alias("_outcome"))
         answered = answered.join(outcome, list(CALL_KEYS), "left")
         result = F.coalesce("_outcome", "_result")
     return answered.withColumn("_parsed", parsed_arguments(F.col("arguments"))).select(

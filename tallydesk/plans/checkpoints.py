@@ -2,29 +2,50 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
+import uuid
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
 
-def use_checkpoint_folder(spark: SparkSession) -> None:
-    """Use the folder the session names; set one up only for a local session that names none."""
-    context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isDefined():
-        return
+@cache
+def _own_folder() -> str:
+    folder = tempfile.mkdtemp(prefix="tallydesk-stages-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder the session names in ``spark.checkpoint.dir``, which all executors share.
+
+    A session whose tasks all run in its own process may do without; it gets a folder that goes
+    when the process ends. Any other session fails.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder is None:
-        if not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-        folder = tempfile.mkdtemp(prefix="tallydesk-checkpoint-")
-    context.setCheckpointDir(folder)
+    if folder:
+        return folder.rstrip("/")
+    master = spark.conf.get("spark.master", "")
+    if master != "local" and not master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
+    return _own_folder()
+
+
+def parquet_checkpoint(df: DataFrame, name: str) -> DataFrame:
+    """Write a table that is read more than once to the shared folder, and read it from there.
+
+    It has no lineage, keeps its columns apart and outlives any executor.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    use_checkpoint_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    return parquet_checkpoint(df, "stage")
 
 
-def checkpoint_stage(df: DataFrame, name: str) -> DataFrame:
-    """A stage for tables that are read more than once; ``name`` only matters to stages with files."""
-    return checkpointed(df)
+checkpoint_stage = parquet_checkpoint

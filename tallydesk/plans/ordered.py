@@ -45,7 +45,7 @@ def paged_lists(
         F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_before"),
         F.sum("_rows").over(whole).alias("total"),
     )
-    ranked = rows.join(F.broadcast(offsets), [group, "_part"]).withColumn(
+    ranked = rows.join(offsets, [group, "_part"]).withColumn(
         "_rank", F.col("_before") + F.col("_pos") - F.col("_first")
     )
     return (

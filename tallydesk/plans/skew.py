@@ -5,8 +5,8 @@ over several slots by a hash of the row's own columns, and the matching rows of
 repeated once per slot. Slots come from row values, never from random numbers, so a task that is
 run again after a lost executor puts every row where it was before.
 
-The list of hot keys is the only thing broadcast, and its length is limited. Keys beyond the limit
-are joined all the same, without spreading; no row is ever dropped.
+The list of hot keys is the only thing broadcast. A hot key holds more than a fixed share of all
+rows, so there are only so many of them, and all of them are spread.
 """
 
 from __future__ import annotations
@@ -21,10 +21,13 @@ from pyspark.sql import functions as F
 
 @dataclass(frozen=True)
 class Spread:
-    """A key with more rows than ``rows_per_slot`` is hot; at most ``max_hot_keys`` are spread."""
+    """A key with more than ``rows_per_slot`` rows, and more than one in ``most_keys`` of all, is hot.
+
+    So there are fewer than ``most_keys`` hot keys, whatever the input. Slots hold ``rows_per_slot``.
+    """
 
     rows_per_slot: int = 500_000
-    max_hot_keys: int = 10_000
+    most_keys: int = 100_000
 
 
 DEFAULT_SPREAD = Spread()
@@ -39,15 +42,18 @@ def _slots(rows: str, spread: Spread) -> Column:
 
 
 def hot_from_counts(counts: DataFrame, keys: Sequence[str], spread: Spread, name: str = "_rows") -> DataFrame:
-    """The heaviest keys with their number of slots; the null key counts like any other."""
-    return (
-        counts.filter(F.col(name) > spread.rows_per_slot)
-        .orderBy(F.desc(name), *keys)
-        .limit(spread.max_hot_keys)
-        .select(*keys, _slots(name, spread).alias("_own"), F.lit(1).alias("_other"))
+    """The hot keys with their number of slots; the null key counts like any other."""
+    return counts.filter(_is_hot(F.col(name), counts, name, spread)).select(
+        *keys, _slots(name, spread).alias("_own"), F.lit(1).alias("_other")
     )
 
 
+def _is_hot(rows: Column, counts: DataFrame, name: str, spread: Spread) -> Column:
+    """More than fits a slot, and a share of the total that few keys can have."""
+    total = counts.select(F.sum(name)).scalar()
+    return (rows > spread.rows_per_slot) & (rows * F.lit(spread.most_keys) > total)
+
+
 def _with_hot(df: DataFrame, keys: Sequence[str], hot: DataFrame) -> DataFrame:
     marks = hot.select(*[F.col(key).alias(f"_hot_{key}") for key in keys], "_own", "_other")
     same = reduce(lambda a, b: a & b, [df[key].eqNullSafe(marks[f"_hot_{key}"]) for key in keys])
@@ -98,12 +104,9 @@ def join_many(
     keys = list(keys)
     right_rows = right_counts if right_counts is not None else key_counts(right, keys)
     both = key_counts(left, keys, "_lrows").join(right_rows.withColumnRenamed("_rows", "_rrows"), keys)
-    hot = (
-        both.filter(F.greatest("_lrows", "_rrows") > spread.rows_per_slot)
-        .orderBy(F.desc(F.greatest("_lrows", "_rrows")), *keys)
-        .limit(spread.max_hot_keys)
-        .select(*keys, _slots("_lrows", spread).alias("_own"), _slots("_rrows", spread).alias("_other"))
-    )
+    hot = both.filter(
+        _is_hot(F.col("_lrows"), both, "_lrows", spread) | _is_hot(F.col("_rrows"), both, "_rrows", spread)
+    ).select(*keys, _slots("_lrows", spread).alias("_own"), _slots("_rrows", spread).alias("_other"))
     across = (
         _with_hot(left, keys, hot)
         .withColumn("_row", _hash_slot(left_by, "_own"))

@@ -38,7 +38,7 @@ PAGES = T.StructType(
     _strings("doc_id") + [T.StructField("page_no", T.IntegerType())] + _strings("text")
 )
 CHUNKS = T.StructType(
-    [T.StructField("chunk_ord", T.LongType())]
+    [T.StructField("chunk_ord", T.DecimalType(38, 0))]
     + _strings("text", "title", "doc_type", "status", "account_id", "section")
 )
 PROPOSALS = T.StructType(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallydesk import rules, schemas
@@ -10,8 +10,8 @@ from tallydesk.functions.text import sections
 from tallydesk.sources.tables import read_table
 
 # A Spark string ends at 2^31 bytes and a section takes five of them ("\n1. A") at the least, so
-# the sections of one document always fit into this many bits.
-SECTION_BITS = 29
+# one document always has fewer sections than this.
+MOST_SECTIONS = 2**29
 
 
 def read_registry(spark: SparkSession, path: str, source_format: str = "parquet") -> DataFrame:
@@ -41,16 +41,19 @@ def build_chunks(
 ) -> DataFrame:
     """One row per section with the registry entry of its document.
 
-    ``chunk_ord`` orders chunks by document (``order_by``, an integer) and then by place in it, and
-    needs no global numbering.
+    ``chunk_ord``, a decimal wide enough for any 64-bit ``order_by``, orders chunks by document and
+    then by place in it, and needs no global numbering. Two documents with the same ``order_by``
+    fail, as their chunks could not be told apart.
     """
     schemas.require(documents, "doc_id", "text", frame="documents")
     schemas.require(
         registry, "doc_id", "doc_type", "status", "account_id", "title", order_by, frame="registry"
     )
+    alone = F.count(F.lit(1)).over(Window.partitionBy("_doc_ord")) == 1
+    repeated = F.raise_error(F.concat(F.lit("several documents have the place "), F.coalesce(F.col("_doc_ord").cast("string"), F.lit("null"))))
     entries = registry.select(
-        "doc_id", "doc_type", "status", "account_id", "title", F.col(order_by).alias("_doc_ord")
-    )
+        "doc_id", "doc_type", "status", "account_id", "title", F.col(order_by).cast("bigint").alias("_doc_ord")
+    ).withColumn("_doc_ord", F.when(alone, F.col("_doc_ord")).otherwise(repeated.cast("bigint")))
     return (
         documents.select("doc_id", "text")
         .join(entries, "doc_id")
@@ -58,7 +61,7 @@ def build_chunks(
             "_doc_ord", "title", "doc_type", "status", "account_id", F.posexplode(sections(F.col("text"), header))
         )
         .select(
-            (F.shiftleft(F.col("_doc_ord").cast("bigint"), SECTION_BITS) + F.col("pos")).alias("chunk_ord"),
+            (F.col("_doc_ord").cast("decimal(20,0)") * F.lit(MOST_SECTIONS) + F.col("pos")).cast("decimal(38,0)").alias("chunk_ord"),
             F.col("col.text").alias("text"),
             "title",
             "doc_type",

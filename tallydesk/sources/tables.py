@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallydesk import rules, schemas
+from tallydesk.functions.clock import known_moment
 
 
 def coerce_timestamps(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -25,14 +26,20 @@ def typed(df: DataFrame, schema: T.StructType) -> DataFrame:
     return df.withColumns({field.name: F.col(field.name).try_cast(field.dataType) for field in schema})
 
 
+# Values may hold line breaks and doubled quotes, as spreadsheets write them.
+CSV_OPTIONS = {"header": True, "multiLine": True, "quote": '"', "escape": '"'}
+
+
 def read_table(
-    spark: SparkSession, path: str, schema: T.StructType, source_format: str = "parquet"
+    spark: SparkSession, path: str, schema: T.StructType, source_format: str = "parquet", **options
 ) -> DataFrame:
-    """Read a Parquet, ORC or CSV table; its types are declared, no scan infers them."""
-    reader = spark.read.format(source_format)
-    if source_format == "csv":
-        reader = reader.option("header", True)
-    return typed(reader.load(path), schema)
+    """Read a Parquet, ORC or CSV table; its types are declared, no scan infers them.
+
+    ``options`` go to the reader. A CSV file whose values never hold line breaks can be split over
+    several tasks with ``multiLine=False``.
+    """
+    defaults = CSV_OPTIONS if source_format == "csv" else {}
+    return typed(spark.read.format(source_format).options(**defaults | options).load(path), schema)
 
 
 def read_accounts(spark: SparkSession, path: str, source_format: str = "parquet") -> DataFrame:
@@ -72,10 +79,14 @@ def read_desk(spark: SparkSession, folder: str, source_format: str = "parquet")
 
 
 def snapshot_clock(meta: DataFrame, key: str = rules.SNAPSHOT_KEY) -> DataFrame:
-    """One row with ``snapshot_time``: the first entry under the key, read without its zone name."""
-    first = meta.filter(F.col("key") == key).orderBy("row_ord").limit(1)
+    """One row with ``snapshot_time``: the first entry under the key, read without its zone name.
+
+    Without such an entry, or with text that is no time, reading it fails: ages against no clock
+    would all look harmless.
+    """
+    first = meta.filter(F.col("key") == key).agg(F.min_by("value", "row_ord").alias("value"))
     text = F.btrim(F.regexp_replace("value", rules.SNAPSHOT_ZONE, ""))
-    return first.select(text.try_cast("timestamp_ntz").alias("snapshot_time"))
+    return first.select(known_moment(text.try_cast("timestamp_ntz")).alias("snapshot_time"))
 
 
 def account_directory(accounts: DataFrame, order_by: str = "account_id") -> DataFrame:
@@ -92,12 +103,9 @@ def account_directory(accounts: DataFrame, order_by: str = "account_id") -> Data
 
 
 def first_accounts(accounts: DataFrame, order_by: str | None = None) -> DataFrame:
-    """One row per account id: the first one by ``order_by``, else the least by all columns."""
+    """One row per account id: the first one by ``order_by``, then the least by all columns that have an order."""
     schemas.require(accounts, "account_id", frame="accounts")
-    whole = F.struct(*[F.col(name) for name in accounts.columns])
-    ranked_by = F.struct(F.col(order_by), whole) if order_by else whole
-    return (
-        accounts.groupBy("account_id")
-        .agg(F.min_by(whole, ranked_by).alias("_first"))
-        .select("_first.*")
-    )
+    sortable = [F.col(name) for name, kind in accounts.dtypes if "map<" not in kind and "variant" not in kind]
+    first = Window.partitionBy("account_id").orderBy(*([F.col(order_by)] if order_by else []), *sortable)
+    # The group limit of this rank keeps one row per account and task before anything is shuffled.
+    return accounts.withColumn("_place", F.row_number().over(first)).filter("_place = 1").drop("_place")

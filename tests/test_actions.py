@@ -52,6 +52,11 @@ def test_contradicting_decisions_create_nothing(spark, proposals):
     assert len(got) == 5 and got["p1"]["status"] == "declined_by_user"
 
 
+def test_other_words_decide_nothing(spark, proposals):
+    got = ledger(spark, proposals, ("p1", "confirmed"), ("p1", "Approved?"))
+    assert got["p1"]["status"] == "created" and got["p1"]["action_id"]
+
+
 def test_violations(proposals):
     got = {row["proposal_id"]: (row["valid"], row["violations"]) for row in actions.proposal_validation(proposals).collect()}
     assert got == {

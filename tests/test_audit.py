@@ -51,6 +51,22 @@ def test_outcome_replaces_the_staged_result(spark, messages):
     assert rows["c", "b"] == '{"status": "created"}' and rows["c", "a"] == '{"results": []}'
 
 
+def test_repeated_outcomes_multiply_nothing(spark, messages):
+    outcome = spark.createDataFrame(
+        [("c", "b", "1"), ("c", "b", "2")], "conv_id string, tool_call_id string, result string"
+    )
+    got = audit.tool_call_audit(audit.tool_calls(messages), audit.tool_results(messages), outcome)
+    assert [row["result"] for row in got.collect() if row["tool_call_id"] == "b"] == ["2"]
+
+
+def test_the_last_answer_of_a_turn_goes_by_its_place(spark):
+    rows = [("c", 1, "tool", "z", None, "a", 1), ("c", 1, "tool", "b", None, "a", 2)]
+    schema = schemas.MESSAGES.simpleString()[:-1] + ",message_ord:bigint>"
+    placed = spark.createDataFrame(rows, schema)
+    assert tuples(audit.tool_results(placed)) == [("c", "a", "b")]
+    assert tuples(audit.tool_results(placed.drop("message_ord"))) == [("c", "a", "z")]
+
+
 def test_trace_and_open_calls(messages):
     calls, results = audit.tool_calls(messages), audit.tool_results(messages)
     trace = audit.tool_trace(audit.tool_call_audit(calls, results))

@@ -7,6 +7,7 @@ import pytest
 
 import __spark_entry__ as entry_points
 from conftest import SMALL
+from workload import catalog
 
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages "
@@ -34,10 +35,10 @@ def canonical(rows, names):
 
 
 def test_every_query_has_its_sql():
-    assert set(entry_points.queries()) == set(entry_points.oracle_sql())
+    assert set(catalog.QUERIES) == set(catalog.ORACLES)
 
 
-@pytest.mark.parametrize("name", sorted(entry_points.queries()))
+@pytest.mark.parametrize("name", sorted(catalog.QUERIES))
 def test_query(spark, duck, name):
     got = entry_points.queries()[name](spark, SMALL)
     relation = duck.execute(entry_points.oracle_sql()[name])

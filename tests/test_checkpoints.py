@@ -2,34 +2,30 @@ from unittest.mock import MagicMock
 
 import pytest
 
-from tallydesk.plans.checkpoints import checkpoint_stage, use_checkpoint_folder
+from tallydesk.plans.checkpoints import checkpoint_stage, shared_folder
 
 
-def session(master, named=None, in_use=False):
+def session(master, named=None):
     fake = MagicMock()
-    fake.sparkContext.master = master
-    fake.sparkContext._jsc.sc().getCheckpointDir().isDefined.return_value = in_use
-    fake.conf.get.return_value = named
+    settings = {"spark.master": master, "spark.checkpoint.dir": named}
+    fake.conf.get.side_effect = lambda key, default=None: settings[key] if settings[key] is not None else default
     return fake
 
 
-def test_the_folder_of_the_session_is_used():
-    fake = session("spark://head:7077", "hdfs://shared/checkpoints")
-    use_checkpoint_folder(fake)
-    fake.sparkContext.setCheckpointDir.assert_called_once_with("hdfs://shared/checkpoints")
+@pytest.mark.parametrize("master", ["spark://head:7077", "local[4]"])
+def test_the_folder_of_the_session_is_used(master):
+    assert shared_folder(session(master, "hdfs://shared/checkpoints/")) == "hdfs://shared/checkpoints"
 
 
-def test_a_folder_in_use_stays():
-    fake = session("spark://head:7077", in_use=True)
-    use_checkpoint_folder(fake)
-    fake.sparkContext.setCheckpointDir.assert_not_called()
-
-
-def test_a_cluster_never_falls_back_to_a_local_folder():
+@pytest.mark.parametrize("master", ["yarn", "local-cluster[2,1,1024]"])
+def test_several_executors_never_fall_back_to_a_local_folder(master):
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
-        use_checkpoint_folder(session("yarn"))
+        shared_folder(session(master))
 
 
-def test_a_stage_cuts_the_lineage(spark):
-    kept = checkpoint_stage(spark.range(10).filter("id > 3"), "numbers")
-    assert kept.count() == 6 and "Filter" not in kept._jdf.queryExecution().simpleString()
+def test_a_stage_cuts_the_lineage_and_keeps_columns_apart(spark):
+    kept = checkpoint_stage(spark.range(10).filter("id > 3").selectExpr("id", "id * 2 AS twice"), "numbers")
+    plan = kept.select("twice")._jdf.queryExecution().explainString(
+        spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
+    )
+    assert kept.count() == 6 and "Filter" not in plan and "ReadSchema: struct<twice:bigint>" in plan

@@ -151,3 +151,13 @@ def test_datetime_snapshot(spark):
     assert one(spark, snapshot_column("2026-07-14 10:05")) == moment
     frame = spark.sql("SELECT TIMESTAMP_NTZ '2026-07-14 10:05:00' AS snapshot_time")
     assert tuples(spark.range(1).select(snapshot_column(frame))) == [(moment,)]
+
+
+@pytest.mark.parametrize("text", ["1],[2", "{}],[{}", '1,"b":2', "1}", "{", "[1", "1 2"])
+def test_text_that_closes_its_own_frame_is_no_json(spark, text):
+    assert not one(spark, parsed_arguments(F.lit(text)))["is_valid"]
+
+
+@pytest.mark.parametrize("text", ['{"k": 1}', "[1]", '"s"', "1", "null"])
+def test_single_json_values_are_valid(spark, text):
+    assert one(spark, parsed_arguments(F.lit(text)))["is_valid"]

@@ -5,10 +5,11 @@ import pytest
 import __spark_entry__ as entry_points
 from conftest import SMALL, plan_of
 from tallydesk.operators import insights, lookup
+from workload import catalog
 from workload.catalog import SNAPSHOT
 from workload.views import Tables
 
-PLAIN = sorted(set(entry_points.queries()) - {"known_issue_clusters", "known_issue_cluster_pages"})
+PLAIN = sorted(catalog.QUERIES)
 
 
 @pytest.mark.parametrize("name", PLAIN)

@@ -7,7 +7,7 @@ from conftest import tuples
 from tallydesk.plans import skew
 from tallydesk.plans.ordered import in_order, paged_lists
 
-HOT = skew.Spread(rows_per_slot=100, max_hot_keys=50)
+HOT = skew.Spread(rows_per_slot=100, most_keys=1_000_000)
 
 
 @pytest.fixture(scope="module")
@@ -46,7 +46,7 @@ def test_hot_rows_are_spread(facts, dim, settings):
 
 
 def test_hot_keys_beyond_the_limit_are_joined_all_the_same(facts, dim):
-    few = skew.Spread(rows_per_slot=5, max_hot_keys=1)
+    few = skew.Spread(rows_per_slot=5, most_keys=1_000_000)
     got = skew.join_to_one(facts, dim, ["k"], ["fact"], few)
     assert got.count() == 9000
 

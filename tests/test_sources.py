@@ -4,6 +4,7 @@ import pytest
 
 from conftest import tuples
 from tallydesk import schemas
+from tallydesk.functions.clock import snapshot_column
 from tallydesk.operators import insights
 from tallydesk.sources import documents, sinks, tables
 
@@ -115,7 +116,7 @@ def test_chunks_follow_registry_and_section_order(spark):
         (0, "Policy", "Policy", None),
         (1, "Policy", "1. Scope", None),
         (2, "Policy", "2. Limits", None),
-        (1 << documents.SECTION_BITS, "Agreement", "Contract", "A-1"),
+        (documents.MOST_SECTIONS, "Agreement", "Contract", "A-1"),
     ]
     assert dict(got.dtypes).keys() == set(schemas.CHUNKS.names)
 
@@ -136,3 +137,37 @@ def test_stage_writes_and_reads_back(spark, tmp_path):
     stage = sinks.parquet_stage(spark, str(tmp_path))
     got = stage(spark.range(5), "numbers")
     assert got.count() == 5 and (tmp_path / "numbers").exists()
+
+
+def test_csv_values_hold_line_breaks_and_quotes(spark, tmp_path):
+    (tmp_path / "accounts.csv").write_text('account_id,account_name,plan\nA,"Acme\nLtd",Growth\nB,"Say ""hi""",Standard\n')
+    got = tables.read_accounts(spark, str(tmp_path / "accounts.csv"), "csv")
+    assert sorted(tuples(got)) == [("A", "Acme\nLtd", "Growth"), ("B", 'Say "hi"', "Standard")]
+
+
+@pytest.mark.parametrize("entries", [[], [(0, "Dataset snapshot", "some day")], [(0, "Prepared by", "ops")]])
+def test_a_clock_that_is_missing_or_no_time_fails(spark, entries):
+    clock = tables.snapshot_clock(spark.createDataFrame(entries, schemas.META))
+    with pytest.raises(Exception, match="snapshot clock"):
+        clock.collect()
+
+
+def test_a_frame_without_a_clock_fails(spark):
+    nothing = spark.createDataFrame([], "moment timestamp_ntz")
+    with pytest.raises(Exception, match="snapshot clock"):
+        spark.range(1).select(snapshot_column(nothing).alias("now")).collect()
+
+
+def test_chunk_keys_of_far_apart_documents_differ(spark):
+    places = [0, 1 << 34, 1 << 35, -5, (1 << 63) - 1]
+    docs = spark.createDataFrame([(str(n), "A\n1. B") for n in places], "doc_id string, text string")
+    registry = spark.createDataFrame([(n, str(n), "sop", "current", None, "T") for n in places], schemas.REGISTRY)
+    keys = [row["chunk_ord"] for row in documents.build_chunks(docs, registry).collect()]
+    assert sorted(keys) == sorted(n * documents.MOST_SECTIONS + pos for n in places for pos in (0, 1))
+
+
+def test_two_documents_with_one_place_fail(spark):
+    docs = spark.createDataFrame([("a", "x"), ("b", "y")], "doc_id string, text string")
+    registry = spark.createDataFrame([(7, name, "sop", "current", None, "T") for name in "ab"], schemas.REGISTRY)
+    with pytest.raises(Exception, match="several documents have the place 7"):
+        documents.build_chunks(docs, registry).collect()

@@ -100,10 +100,14 @@ def join_pages(t: Tables) -> DataFrame:
         SELECT doc_id, unnest(parts) AS text, generate_subscripts(parts, 1) - 1 AS pos FROM trimmed)
     SELECT r.doc_ord * 536870912 + n.pos AS chunk_ord, n.text, r.title, r.doc_type, r.status, r.account_id,
            regexp_replace(string_split(n.text, chr(10))[1], '^\\s+|\\s+$', '', 'g') AS section
-    FROM numbered n JOIN {v_registry} r ON n.doc_id = r.doc_id"""
+    FROM numbered n JOIN {v_registry} r ON n.doc_id = r.doc_id
+    UNION ALL
+    SELECT r.doc_ord * 536870912, d.text, r.title, r.doc_type, r.status, r.account_id, 'Full document'
+    FROM docs d JOIN {v_registry} r ON d.doc_id = r.doc_id WHERE trim(d.text) = ''"""
 )
 def build_chunks(t: Tables) -> DataFrame:
-    return documents.build_chunks(documents.join_pages(t.v_headed_pages), t.v_registry)
+    chunks = documents.build_chunks(documents.join_pages(t.v_headed_pages), t.v_registry)
+    return chunks.withColumn("chunk_ord", F.col("chunk_ord").cast("bigint"))
 
 
 # --- insights -----------------------------------------------------------------------------------
@@ -514,7 +518,7 @@ def first_proposal_per_turn(t: Tables) -> DataFrame:
            CASE d.decision WHEN 'confirmed' THEN 'created' WHEN 'cancelled' THEN 'declined_by_user'
                 ELSE 'awaiting_user_confirmation' END AS status,
            c.violations = '' AS valid, c.violations
-    FROM checked c LEFT JOIN {v_decisions} d ON c.proposal_id = d.proposal_id"""
+    FROM checked c LEFT JOIN (SELECT * FROM {v_decisions} WHERE decision IN ('confirmed', 'cancelled')) d ON c.proposal_id = d.proposal_id"""
 )
 def action_ledger(t: Tables) -> DataFrame:
     ledger = actions.action_ledger(t.v_proposals, t.v_decisions)
@@ -532,7 +536,7 @@ _AUDIT = f"""
                COALESCE(d.result, r.result) AS result
         FROM {{v_tool_calls}} c
         LEFT JOIN {{v_tool_results}} r ON c.conv_id = r.conv_id AND c.tool_call_id = r.tool_call_id
-        LEFT JOIN {{v_decision_results}} d ON c.conv_id = d.conv_id AND c.tool_call_id = d.tool_call_id)
+        LEFT JOIN (SELECT conv_id, tool_call_id, MAX(result) AS result FROM {{v_decision_results}} GROUP BY ALL) d ON c.conv_id = d.conv_id AND c.tool_call_id = d.tool_call_id)
 """
 
 
@@ -569,7 +573,7 @@ def tool_trace(t: Tables) -> DataFrame:
 
 @_register(
     """
-    SELECT c.* FROM {v_tool_calls} c
+    SELECT c.* REPLACE (COALESCE(said, '') AS said) FROM {v_tool_calls} c
     WHERE NOT EXISTS (SELECT 1 FROM {v_tool_results} r WHERE r.conv_id = c.conv_id AND r.tool_call_id = c.tool_call_id)"""
 )
 def tool_calls_unanswered(t: Tables) -> DataFrame:

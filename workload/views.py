@@ -51,21 +51,24 @@ VIEWS = {
     "v_raw_times": """
         SELECT event_id, CASE WHEN event_type = 'error' THEN props ELSE CAST(ts AS STRING) END AS created_at
         FROM {events}""",
-    # Pages of a document are the turns of a conversation; the answers' last pages are null.
+    # Pages of a document are the turns of a conversation; a null page follows every answer.
     "v_pages": """
-        SELECT conv_id AS doc_id, turn AS page_no, CASE WHEN turn = 5 THEN NULL ELSE text END AS text
-        FROM {conversations}""",
-    # The same with a numbered header on every turn.
+        SELECT conv_id AS doc_id, turn * 2 AS page_no, text FROM {conversations}
+        UNION ALL SELECT conv_id, turn * 2 + 1, CAST(NULL AS STRING) FROM {conversations} WHERE role = 'assistant'""",
+    # The turns with a numbered header each; regions are documents with a blank page only.
     "v_headed_pages": """
         SELECT conv_id AS doc_id, turn AS page_no, CAST(turn + 1 AS STRING) || '. ' || text AS text
-        FROM {conversations}""",
+        FROM {conversations}
+        UNION ALL SELECT CAST(-1 - r_regionkey AS BIGINT), CAST(0 AS BIGINT), '  ' FROM {region}""",
     "v_registry": """
         SELECT conv_id AS doc_ord, conv_id AS doc_id,
                CASE WHEN MAX(turn) > 5 THEN 'contract' WHEN MAX(turn) > 3 THEN 'policy' ELSE 'sop' END AS doc_type,
                CASE WHEN MIN(role) = 'assistant' THEN 'current' ELSE 'deprecated' END AS status,
                CASE WHEN MAX(turn) > 5 THEN conv_id END AS account_id,
                'Conversation ' || CAST(conv_id AS STRING) AS title
-        FROM {conversations} GROUP BY conv_id""",
+        FROM {conversations} GROUP BY conv_id
+        UNION ALL SELECT CAST(-1 - r_regionkey AS BIGINT), CAST(-1 - r_regionkey AS BIGINT), 'memo', 'current', CAST(NULL AS BIGINT), r_name
+        FROM {region}""",
     "v_chunks": """
         SELECT doc_id AS chunk_ord, text, 'Document ' || CAST(doc_id AS STRING) AS title,
                CASE WHEN source IN ('src0', 'src1', 'src2', 'src3') THEN 'contract'
@@ -98,19 +101,21 @@ VIEWS = {
                CAST(event_id AS STRING) AS related_id,
                CASE WHEN value >= 3 THEN 'about ' || event_type END AS reason,
                CASE WHEN value > 40 THEN 'P9' WHEN value > 15 THEN 'P1' END AS severity
-        FROM {events} WHERE event_type IN ('error', 'purchase')""",
-    # Proposals of middling value are undecided.
+        FROM {events}""",
+    # Proposals of middling value are undecided; every one got a second answer that decides nothing.
     "v_decisions": """
         SELECT event_id AS proposal_id, CASE WHEN value < 10 THEN 'cancelled' WHEN value > 20 THEN 'confirmed' END AS decision
-        FROM {events} WHERE event_type IN ('error', 'purchase')""",
+        FROM {events}
+        UNION ALL SELECT event_id, 'Approved?' FROM {events}""",
     # Every event calls one tool; broken arguments on errors, empty ones on sign-ups.
     "v_tool_calls": """
         SELECT user_id AS conv_id, CAST(dayofmonth(ts) AS BIGINT) AS turn, 0 AS call_ord,
                'call-' || CAST(event_id AS STRING) AS tool_call_id,
                CASE event_type WHEN 'view' THEN 'search_documents' WHEN 'click' THEN 'structured_data_lookup'
                     ELSE 'propose_action' END AS tool,
-               CASE event_type WHEN 'error' THEN props || '}}' WHEN 'signup' THEN '' ELSE props END AS arguments,
-               'Looking at ' || event_type AS said
+               CASE WHEN event_type = 'error' AND value < 5 THEN '{{}}],[{{}}' WHEN event_type = 'error' THEN props || '}}'
+                    WHEN event_type = 'signup' THEN '' ELSE props END AS arguments,
+               CASE WHEN value < 5 THEN NULL ELSE 'Looking at ' || event_type END AS said
         FROM {events}""",
     # Sign-ups never get an answer.
     "v_tool_results": """
@@ -120,7 +125,8 @@ VIEWS = {
     "v_decision_results": """
         SELECT user_id AS conv_id, 'call-' || CAST(event_id AS STRING) AS tool_call_id,
                CASE WHEN value < 10 THEN '{{"status": "declined_by_user"}}' ELSE '{{"status": "created"}}' END AS result
-        FROM {events} WHERE event_type = 'purchase'""",
+        FROM {events} WHERE event_type = 'purchase'
+        UNION ALL SELECT user_id, 'call-' || CAST(event_id AS STRING), '{{"status": "a"}}' FROM {events} WHERE event_type = 'purchase'""",
 }
 
 _NAME = re.compile(r"(?<!\{)\{(\w+)\}(?!\})")
