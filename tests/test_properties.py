@@ -80,7 +80,7 @@ chunks = st.lists(
 def test_no_hit_shows_a_foreign_contract(spark, texts, asked):
     frame = spark.createDataFrame(
         [(n, words, f"{n}", kind, "current", owner, "s") for n, (words, kind, owner) in enumerate(texts)],
-        schemas.CHUNKS,
+        "chunk_ord bigint, text string, title string, doc_type string, status string, account_id string, section string",
     )
     queries = spark.createDataFrame(
         [(f"{n}", words, account) for n, (words, account) in enumerate(asked)],

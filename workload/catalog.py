@@ -110,6 +110,49 @@ def build_chunks(t: Tables) -> DataFrame:
     return chunks.withColumn("chunk_ord", F.col("chunk_ord").cast("bigint"))
 
 
+# Names hold line breaks, quotes and commas, as text that people type does.
+_TYPED_ACCOUNTS = """
+    SELECT CAST(account_id AS STRING) AS account_id, 'Say "' || account_name || '",' || chr(10) || 'Ltd' AS account_name, plan
+    FROM {v_accounts}"""
+
+
+@_register(_TYPED_ACCOUNTS)
+def read_desk_csv(t: Tables) -> DataFrame:
+    folder = t.new_folder("accounts")
+    t.sql(_TYPED_ACCOUNTS).write.options(header=True, escape='"').csv(folder)
+    return tables.read_accounts(t.spark, folder, "csv")
+
+
+@_register(_TYPED_ACCOUNTS)
+def write_read_table(t: Tables) -> DataFrame:
+    folder = t.new_folder("accounts")
+    sinks.write_table(t.sql(_TYPED_ACCOUNTS), folder)
+    return tables.read_accounts(t.spark, folder)
+
+
+@_register(
+    """
+    SELECT CAST(ticket_id AS STRING) AS ticket_id, CAST(account_id AS STRING) AS account_id, subject, description, status,
+           created_at, last_customer_message_at, historical_resolution, 'kept' AS extra
+    FROM {v_tickets}"""
+)
+def read_desk_parquet(t: Tables) -> DataFrame:
+    folder = t.new_folder("tickets")
+    sinks.write_table(t.v_tickets.withColumn("extra", F.lit("kept")), folder)
+    return tables.read_tickets(t.spark, folder)
+
+
+@_register(
+    """
+    SELECT doc_ord, CAST(doc_id AS STRING) AS doc_id, doc_type, status, CAST(account_id AS STRING) AS account_id, title
+    FROM {v_registry}"""
+)
+def read_registry(t: Tables) -> DataFrame:
+    folder = t.new_folder("registry")
+    sinks.write_table(t.v_registry, folder)
+    return documents.read_registry(t.spark, folder)
+
+
 # --- insights -----------------------------------------------------------------------------------
 
 _TEXT = "lower(COALESCE(subject, '') || ' ' || COALESCE(description, ''))"
@@ -149,9 +192,9 @@ _INSIGHTS = f"""
 _SLA_RANK = "CASE sla_status WHEN 'BREACHED' THEN 0 WHEN 'NEAR BREACH' THEN 1 ELSE 2 END"
 
 
-def _insights(t: Tables, ordered: bool = False) -> DataFrame:
+def _insights(t: Tables, ordered: bool = False, tickets: DataFrame | None = None) -> DataFrame:
     return insights.ticket_insights(
-        t.v_tickets, t.v_accounts, t.v_contract_sla, SNAPSHOT, SEVERITIES, ISSUES, ordered=ordered
+        t.v_tickets if tickets is None else tickets, t.v_accounts, t.v_contract_sla, SNAPSHOT, SEVERITIES, ISSUES, ordered=ordered
     )
 
 
@@ -160,6 +203,11 @@ def ticket_insights(t: Tables) -> DataFrame:
     return _insights(t, ordered=True)
 
 
+@_register(_INSIGHTS + "SELECT * FROM insights WHERE subject = 'none of these'")
+def insights_of_nothing(t: Tables) -> DataFrame:
+    return _insights(t, tickets=t.v_tickets.filter("subject = 'none of these'"))
+
+
 @_register(f"SELECT ticket_id, {_SEVERITY} AS inferred_severity FROM {{v_tickets}}")
 def ticket_severity(t: Tables) -> DataFrame:
     severity = insights.severity_of(F.col("subject"), F.col("description"), SEVERITIES)
@@ -456,6 +504,13 @@ def search_topk(t: Tables) -> DataFrame:
     return _hits(t)
 
 
+@_register(_HITS + "SELECT * FROM hits")
+def saved_index_topk(t: Tables) -> DataFrame:
+    folder = t.new_folder("index")
+    search.save_index(search.build_index(t.v_chunks, STOP_WORDS), folder, shelves=16, shelf_files=2)
+    return search.search(search.load_index(t.spark, folder), t.v_queries)
+
+
 @_register(
     _HITS
     + f"""

@@ -7,9 +7,12 @@ Every view covers its whole tables.
 from __future__ import annotations
 
 import re
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tallydesk.plans.checkpoints import shared_folder
+
 SNAPSHOT = "2024-01-30 00:00:00"
 
 VIEWS = {
@@ -140,16 +143,20 @@ class Tables:
     """The test tables and views of one folder, read on demand."""
 
     def __init__(self, spark: SparkSession, folder: str):
-        self._spark = spark
+        self.spark = spark
         self._folder = folder
 
+    def new_folder(self, name: str) -> str:
+        """A folder of its own on storage that all executors share."""
+        return f"{shared_folder(self.spark)}/{name}-{uuid.uuid4().hex}"
+
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("v_"):
             return self.sql(VIEWS[name])
-        return self._spark.read.parquet(f"{self._folder}/{name}.parquet")
+        return self.spark.read.parquet(f"{self._folder}/{name}.parquet")
 
     def sql(self, text: str) -> DataFrame:
-        return self._spark.sql(text, **{name: getattr(self, name) for name in names_in(text)})
+        return self.spark.sql(text, **{name: getattr(self, name) for name in names_in(text)})
 
 
 def standalone(sql: str) -> str:
