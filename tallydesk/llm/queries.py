@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallydesk.llm import bpe, decontamination, langid, licenses, neardup, sampling, sharding, topk, toxicity
+from tallydesk.llm import bpe, decontamination, html, langid, licenses, neardup, quality, sampling, sharding, topk, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -36,8 +36,8 @@ def tokenizer_definition(name: str = TOKENIZER) -> str:
 def op1_bpe(spark: SparkSession, folder: str) -> DataFrame:
     """Digests of the ids of every text and of what they decode to."""
     definition = tokenizer_definition()
-    encoded = bpe.encode(table(spark, folder, "documents").select("doc_id", "text"), definition)
-    decoded = bpe.decode(encoded.select("doc_id", "ids"), definition)
+    encoded = bpe.encode(table(spark, folder, "documents").select("doc_id", "text"), definition, keep=["doc_id"])
+    decoded = bpe.decode(encoded, definition)
     return decoded.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
@@ -49,7 +49,7 @@ def op1_bpe(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op10_minmax_neardup(spark: SparkSession, folder: str) -> DataFrame:
     """Components of documents that share four fifths of their word pairs."""
-    return neardup.near_duplicates(table(spark, folder, "documents"), neardup.MinMax(width=2))
+    return neardup.near_duplicates(table(spark, folder, "documents"), neardup.MinMax(width=2)).drop("text_hash")
 
 
 @query
@@ -174,3 +174,18 @@ def op4_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     held_out = sampling.fold_of("doc_id", 4) == 2
     network = toxicity.fit(docs, table(spark, folder, "labels").filter(~held_out))
     return toxicity.score(docs, network, keep=["doc_id"]).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
+@query
+def op2_html_text(spark: SparkSession, folder: str) -> DataFrame:
+    """The visible text of every page."""
+    return html.extract_text(table(spark, folder, "pages")).select("page_id", "url", "text")
+
+
+@query
+def op7_quality(spark: SparkSession, folder: str) -> DataFrame:
+    """Expected grade of every document: 0 for low quality, 1 for good but toxic, 2 for good and clean."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    grade = F.when(F.col("quality") == 0, 0).when(F.col("toxic") == 1, 1).when(F.col("quality") == 1, 2)
+    model = quality.fit(docs, table(spark, folder, "labels").withColumn("grade", grade))
+    return quality.rate(docs, model, keep=["doc_id"])

@@ -1,0 +1,59 @@
+"""Pages and the text that a reader sees."""
+
+import pytest
+from pyspark.sql import functions as F
+
+from tallydesk.llm.html import extract_text, render
+
+PAGES = [
+    ("<p>one<p>two", "one\n\ntwo"),
+    ("<div>a</div>b<span>c</span> <i>d</i>", "a\nbc d"),
+    ("a<br>b<br><br>c", "a\nb\n\nc"),
+    ("  x \n\t y ", "x y"),
+    ("<ul><li>a<li>b<ul><li>c</ul><li>d</ul>e", "- a\n- b\n  - c\n- d\n\ne"),
+    ("<ol start=9><li>i<li>j", "9. i\n10. j"),
+    ("<table><tr><th>Name<th>N<tr><td>Long name<td>1<tr><td>x<td>22</table>", "Name       N\nLong name  1\nx          22"),
+    ("<table><tbody><td>a<td>b<tr><td colspan=2>wide<tr><td>c<td>d</table>", "a  b\nwide\nc  d"),
+    ("<table><tr><td>l1<br>l2<td>r</table>", "l1  r\nl2"),
+    ("<pre>\na  b\n c</pre>", "a  b\n c"),
+    ("<head><title>t</title><style>s</style></head><body>x<script>var a='</p>'</script>y", "xy"),
+    ("<title>t</title>body", "body"),
+    ("<p hidden>no</p><p style='DISPLAY: none'>no</p>yes", "yes"),
+    ("<div style='visibility:hidden'>no<b style='visibility:visible'>yes</b>no</div>", "yes"),
+    ("<details><summary>s</summary>no<p>no</details><details open><summary>t</summary>u</details>", "s\nt\nu"),
+    ("<template><p>no</template><noscript>seen</noscript>", "seen"),
+    ("a &amp; b &lt;c&gt; &eacute; &#233; &unknown; &copy", "a & b <c> é é &unknown; ©"),
+    ("1 < 2 <3 a<b", "1 < 2 <3 a<b"),
+    ("<!-- c --><!doctype html><?php x ?>t<!-- open", "t"),
+    ("<p>a<b>b<br><p>c", "ab\n\nc"),
+    ("</div></p>x</b>", "x"),
+    ("<dl><dt>k<dd>v<dt>l<dd>w</dl>", "k\n  v\nl\n  w"),
+    ("<blockquote>q</blockquote>r", "  q\n\nr"),
+    ("<select><option>a<option>b</select>", "a\nb"),
+    ("<textarea>a <b> c</textarea>", "a <b> c"),
+    ("<script>never closed", ""),
+    ("", ""),
+    (None, None),
+]
+
+
+@pytest.mark.parametrize("page, text", PAGES)
+def test_rendered(page, text):
+    assert render(page) == text
+
+
+def test_deep_and_long_pages():
+    assert render("<div>" * 20_000 + "x" + "</div>" * 20_000) == "x"
+    assert render("<ul><li>" * 5_000 + "x").strip().endswith("x")
+    assert len(render("<p>word</p>" * 20_000).split()) == 20_000
+    assert render("<" * 5_000) == "<" * 5_000
+
+
+def test_a_column_for_every_row(spark):
+    rows = [(n, page) for n, (page, _) in enumerate(PAGES)] + [(0, "<p>one<p>two"), (None, None)]
+    pages = spark.createDataFrame(rows, "page_id long, html string").withColumn("text", F.lit("old"))
+    got = extract_text(pages)
+    assert got.columns == ["page_id", "html", "text"] and got.count() == len(rows)
+    texts = {row["page_id"]: row["text"] for row in got.collect()}
+    assert all(texts[n] == text for n, (_, text) in enumerate(PAGES))
+    assert extract_text(pages.limit(0)).count() == 0
