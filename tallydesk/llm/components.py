@@ -40,9 +40,8 @@ def components(links: DataFrame) -> DataFrame:
     Links come in any order and may repeat. Nulls and links of a node with itself are left out.
     Every round is written to the shared folder.
     """
-    current = staged(links.filter("u <> v").select("u", "v").distinct(), "links")
-    before = _state(current)
-    while before[0]:
+    current, before = links.filter("u <> v").select("u", "v"), None
+    while before is None or before[0]:
         current = staged(_small_star(_large_star(current)).filter("u <> v").distinct(), "links")
         after = _state(current)
         if after == before:

@@ -5,25 +5,31 @@ half as many permutations give a signature of the same length (Ji et al., "Min-M
 Similarity", 2013). Signatures are cut into bands; documents that agree in a band meet in a bucket.
 
 Documents with the same set are one class from the start, so exact copies never pair up. In a
-bucket not all pairs are formed: first every member is compared with one centre, and links join
-classes to components. Buckets whose members then lie in one component are done. The others get
-another centre, and only what is still apart after that is compared with all members of other
-components. Every link is confirmed on the whole sets of shingles. So no link between components
-is lost, however large a bucket is, as long as two documents share one; a pair of similarity s
-shares none with probability (1 - s^rows)^bands: 0.000003 at 0.8.
+bucket not all pairs are formed: every member is compared with the bucket's hub, the member that
+meets most others over all buckets, and links join classes to components. Where all members of a
+bucket then lie in one component it is done. In the others, members are compared with one more
+member drawn for the bucket, and at last with all members of other components, inside a join that
+emits only pairs that may link. Every link is confirmed on the whole sets of shingles.
+
+A pair may link unless its set sizes, its bitmaps or its signatures tell otherwise. Each set has a
+bitmap with a bit for each shingle; bits that differ stand for shingles that only one set has, so
+this bound is exact. So no link between components is lost, however large a bucket is, but for those
+that hashing itself misses: a pair of similarity s shares no bucket with probability
+(1 - s^rows)^bands, 0.000003 at 0.8.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallydesk.llm.common import col, staged
+from tallydesk.llm.common import col, fresh, row_key, staged
 from tallydesk.llm.components import components
 from tallydesk.llm.shingles import WordHashes, shingle_set
 
@@ -32,27 +38,38 @@ from tallydesk.llm.shingles import WordHashes, shingle_set
 class MinMax:
     """``width`` words a shingle; linked at ``percent`` of similarity; bands of ``rows`` values.
 
-    ``bands * rows`` values need half as many permutations. Pairs whose signatures agree in less
-    than ``least_agreement`` of the values are not looked at further: at a similarity of 0.8 this
-    is more than six standard deviations off.
+    ``bands * rows`` values need half as many permutations. Four bits of each value make a bit
+    sketch; pairs whose sketches differ in more bits than a similarity of ``percent`` explains,
+    ``deviations`` standard deviations off, are not looked at further.
     """
 
     width: int = 5
     percent: int = 80
     bands: int = 32
     rows: int = 5
-    least_agreement: float = 0.6
+    deviations: float = 4.5
     seed: int = 20130101
 
+    @property
+    def values(self) -> int:
+        return self.bands * self.rows
+
+    @property
+    def most_bits(self) -> int:
+        """Two of four bits differ, with a variance of one, where values do."""
+        apart = 1 - self.percent / 100
+        return int(self.values * 2 * apart + self.deviations * (self.values * (5 * apart - 4 * apart**2)) ** 0.5)
+
 
 _SHINGLES_AT_ONCE = 4096
+_BITMAP_LONGS = 64
 
-_SIGNED = "id {kind}, hi long, lo long, n_shingles long, bands array<long>, sketch array<short>"
+_SIGNED = "id {kind}, text_hash long, hi long, lo long, n_shingles long, bands array<long>, bits array<long>, bitmap array<long>"
 
 
 def signatures(docs: DataFrame, how: MinMax, id_column: str, text: str) -> DataFrame:
-    """(id, hi, lo, n_shingles, bands, sketch): set fingerprint, set size, band keys, low bits of each value."""
-    half = how.bands * how.rows // 2
+    """(id, text_hash, hi, lo, n_shingles, bands, bits): set fingerprint, set size, band keys, bit sketch, bitmap."""
+    half = how.values // 2
     draw = np.random.default_rng(how.seed)
     factors = draw.integers(0, 1 << 63, half, np.uint64) * np.uint64(2) + np.uint64(1)
     shifts = draw.integers(0, 1 << 63, half, np.uint64)[:, None]
@@ -71,59 +88,68 @@ def signatures(docs: DataFrame, how: MinMax, id_column: str, text: str) -> DataF
     def sign(batches):
         known = WordHashes()
         for batch in batches:
-            prints, sizes, keys, sketches = [], [], [], []
-            for text_bytes in batch.column(1).cast(pa.binary()).to_pylist():
+            prints, sizes, keys, bits, bitmaps = [], [], [], [], []
+            for text_bytes in batch.column(2).cast(pa.binary()).to_pylist():
                 values = known.shingles(text_bytes, how.width)
                 sizes.append(len(values))
                 prints.append(np.frombuffer(xxhash.xxh3_128_digest(values.tobytes()), np.int64))
                 if not len(values):
                     keys.append([])
-                    sketches.append([])
+                    bits.append([])
+                    bitmaps.append([])
                     continue
                 signed = signature(values)
                 rows = signed.reshape(how.bands, how.rows)
                 keys.append([xxhash.xxh3_64_intdigest(row.tobytes(), n) - (1 << 63) for n, row in enumerate(rows)])
-                sketches.append((signed >> np.uint64(24)).astype(np.int16))
+                nibbles = ((signed >> np.uint64(24)) & np.uint64(15)).astype(np.uint8)
+                nibbles = np.pad(nibbles, (0, -len(nibbles) % 16))
+                bits.append((nibbles[::2] << 4 | nibbles[1::2]).view(np.int64))
+                present = np.zeros(64 * _BITMAP_LONGS, bool)
+                present[(values >> np.uint64(20)) % np.uint64(len(present))] = True
+                bitmaps.append(np.packbits(present).view(np.int64))
             marks = np.array(prints).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column(0),
+                    *batch.columns[:2],
                     pa.array(marks[:, 0]),
                     pa.array(marks[:, 1]),
                     pa.array(sizes, pa.int64()),
                     pa.array(keys, pa.list_(pa.int64())),
-                    pa.array(sketches, pa.list_(pa.int16())),
+                    pa.array(bits, pa.list_(pa.int64())),
+                    pa.array(bitmaps, pa.list_(pa.int64())),
                 ],
-                names=["id", "hi", "lo", "n_shingles", "bands", "sketch"],
+                names=["id", "text_hash", "hi", "lo", "n_shingles", "bands", "bits", "bitmap"],
             )
 
-    slim = docs.select(col(id_column).alias("id"), col(text).alias("text"))
+    slim = docs.select(col(id_column).alias("id"), row_key(text).alias("text_hash"), col(text).alias("text"))
     return slim.mapInArrow(sign, _SIGNED.format(kind=slim.schema["id"].dataType.simpleString()))
 
 
-def _confirmed(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, how: MinMax) -> DataFrame:
-    """The (u, v) of ``pairs`` that reach the similarity on their whole sets.
+def _may_link(how: MinMax, one: str, other: str) -> Column:
+    """Whether sizes, bitmaps and bit sketches of two sides leave room for the similarity."""
 
-    Sizes and signatures rule most others out before any text is fetched.
-    """
-    size = nodes.select("node", "n_shingles", "sketch")
-    left = size.select(F.col("node").alias("u"), F.col("n_shingles").alias("nu"), F.col("sketch").alias("su"))
-    right = size.select(F.col("node").alias("v"), F.col("n_shingles").alias("nv"), F.col("sketch").alias("sv"))
-    agree = F.aggregate(
-        F.zip_with("su", "sv", lambda a, b: (a == b).cast("int")), F.lit(0), lambda total, same: total + same
-    )
-    likely = staged(
-        pairs.join(left, "u")
-        .join(right, "v")
-        .filter(F.least("nu", "nv") * 100 >= F.greatest("nu", "nv") * how.percent)
-        .filter(agree >= F.size("su") * how.least_agreement)
-        .select("u", "v"),
-        "likely",
-    )
-    asked = likely.select(F.explode(F.array("u", "v")).alias("id")).distinct()
-    wanted = staged(texts.join(asked, "id", "left_semi").groupBy("id").agg(F.max("text").alias("text")), "texts")
-    full = likely.join(wanted.select(F.col("id").alias("u"), F.col("text").alias("tu")), "u").join(
-        wanted.select(F.col("id").alias("v"), F.col("text").alias("tv")), "v"
+    def differ(name: str, longs: int) -> Column:
+        pairs = [F.col(f"{one}.{name}")[i].bitwiseXOR(F.col(f"{other}.{name}")[i]) for i in range(longs)]
+        return reduce(lambda a, b: a + b, map(F.bit_count, pairs))
+
+    n, m = F.col(f"{one}.n_shingles"), F.col(f"{other}.n_shingles")
+    sizes = F.least(n, m) * 100 >= F.greatest(n, m) * how.percent
+    # Sets of similarity s differ in (1 - s) / (1 + s) of the sum of their sizes.
+    alone = differ("bitmap", _BITMAP_LONGS) * (100 + how.percent) <= (n + m) * (100 - how.percent)
+    return sizes & (differ("bits", -(-how.values // 16)) <= how.most_bits) & alone
+
+
+def _likely(pairs: DataFrame, marks: DataFrame, how: MinMax) -> DataFrame:
+    """The (u, v) of ``pairs`` that may link."""
+    left = pairs.join(marks.alias("l"), F.col("u") == F.col("l.node"))
+    both = left.join(marks.alias("r"), (F.col("v") == F.col("r.node")) & _may_link(how, "l", "r"))
+    return staged(both.select("u", "v"), "pairs")
+
+
+def _confirmed(pairs: DataFrame, texts: DataFrame, how: MinMax) -> DataFrame:
+    """The (u, v) of ``pairs`` that reach the similarity on their whole sets."""
+    full = pairs.join(texts.select(F.col("id").alias("u"), F.col("text").alias("tu")), "u").join(
+        texts.select(F.col("id").alias("v"), F.col("text").alias("tv")), "v"
     )
 
     def confirm(batches):
@@ -147,27 +173,17 @@ def _ordered(u, v) -> list:
     return [F.greatest(u, v).alias("u"), F.least(u, v).alias("v")]
 
 
-def _apart(buckets: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The buckets with members of several components, and the components so far."""
-    found = components(links)
-    named = (
-        buckets.select("key", "node")
-        .join(found, "node", "left")
-        .select("key", "node", F.coalesce("component", "node").alias("component"))
-    )
-    several = (
-        named.groupBy("key")
-        .agg(F.min("component").alias("least"), F.max("component").alias("most"))
-        .filter("least < most")
-        .select("key")
-    )
-    return staged(named.join(several, "key"), "buckets"), found
+def _apart(buckets: DataFrame, found: DataFrame) -> DataFrame:
+    """(key, node, component) of the buckets whose members lie in several components."""
+    placed = buckets.join(found, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
+    several = placed.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most"))
+    return staged(placed.join(several.filter("least < most"), "key", "left_semi"), "apart")
 
 
 def near_duplicates(
     docs: DataFrame, how: MinMax = MinMax(), id_column: str = "doc_id", text: str = "text"
 ) -> DataFrame:
-    """(id_column, n_shingles, component_id, kept), a row per row of ``docs``.
+    """(id_column, n_shingles, component_id, kept, text_hash), a row per row of ``docs``.
 
     ``component_id`` is the smallest id reachable over links. A document without words has an empty
     set, is linked with nothing and stays. Rows that share an id count as one document. A null id
@@ -175,57 +191,73 @@ def near_duplicates(
     if it has none. Empty tables give no rows.
     """
     signed = staged(signatures(docs, how, id_column, text), "signatures")
-    texts = docs.select(col(id_column).alias("id"), col(text).alias("text"))
     classes = staged(
         signed.filter("n_shingles > 0 AND id IS NOT NULL").groupBy("hi", "lo").agg(F.min("id").alias("node")), "classes"
     )
     nodes = signed.join(classes, (signed.id == classes.node) & (signed.hi == classes.hi) & (signed.lo == classes.lo), "left_semi")
     nodes = staged(nodes.dropDuplicates(["id", "hi", "lo"]).withColumnRenamed("id", "node"), "nodes")
 
+    # Buckets with several members; the hub of each is the member that meets most others.
     banded = nodes.select("node", F.explode("bands").alias("key"))
-    centres = banded.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.min("node").alias("centre"))
-    buckets = staged(banded.join(centres.filter("members > 1").select("key", "centre"), "key"), "buckets")
-
-    first = buckets.filter("node <> centre").select(*_ordered("node", "centre")).distinct()
-    links = staged(_confirmed(first, nodes, texts, how), "links")
-    tested = staged(first, "tested")
-    apart, found = _apart(buckets, links)
+    crowded = banded.groupBy("key").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
+    buckets = staged(banded.join(crowded, "key"), "buckets")
+    met = buckets.groupBy("node").agg(F.sum("members").alias("met"))
+    marks = staged(nodes.select("node", "n_shingles", "bits", "bitmap").join(met.select("node"), "node", "left_semi"), "marks")
+    texts = docs.select(col(id_column).alias("id"), col(text).alias("text"))
+    texts = texts.join(met.select(F.col("node").alias("id")), "id", "left_semi")
+    texts = staged(texts.groupBy("id").agg(F.max("text").alias("text")), "texts")
 
-    # Other centres, drawn by a hash that differs from bucket to bucket.
-    drawn = apart.groupBy("key").agg(
-        F.max_by(F.struct("node", "component"), F.xxhash64("key", "node")).alias("other")
+    hubs = buckets.join(met, "node").groupBy("key").agg(
+        F.max_by("node", F.struct("met", -F.col("node"))).alias("hub")
     )
-    second = (
+    pairs = buckets.join(hubs, "key").filter("node <> hub").select(*_ordered("node", "hub")).distinct()
+    links = staged(_confirmed(_likely(pairs, marks, how), texts, how), "links")
+
+    apart = _apart(buckets, components(links))
+    drawn = apart.groupBy("key").agg(F.max_by(F.struct("node", "component"), F.xxhash64("key", "node")).alias("other"))
+    pairs = (
         apart.join(drawn, "key")
         .filter("component <> other.component")
         .select(*_ordered(F.col("node"), F.col("other.node")))
         .distinct()
-        .join(tested, ["u", "v"], "left_anti")
     )
-    second = staged(second, "tested")
-    links = links.unionByName(staged(_confirmed(second, nodes, texts, how), "links"))
-    apart, found = _apart(apart, links)
-
-    # What is still apart: all pairs of different components, of which true copies are few by now.
-    other = apart.select("key", F.col("node").alias("other"), F.col("component").alias("other_component"))
-    rest = (
-        apart.join(other, "key")
-        .filter("node > other AND component <> other_component")
-        .select(*_ordered("node", "other"))
-        .distinct()
-        .join(tested.unionByName(second), ["u", "v"], "left_anti")
+    links = links.unionByName(staged(_confirmed(_likely(pairs, marks, how), texts, how), "links"))
+
+    # Members that are still apart: only pairs that may link leave the join.
+    apart = _apart(apart.drop("component"), components(links)).join(marks, "node")
+    same_bucket = (F.col("l.key") == F.col("r.key")) & (F.col("l.node") > F.col("r.node"))
+    rest = apart.alias("l").join(
+        apart.alias("r"), same_bucket & (F.col("l.component") != F.col("r.component")) & _may_link(how, "l", "r")
     )
-    links = links.unionByName(staged(_confirmed(rest, nodes, texts, how), "links"))
+    rest = rest.select(F.col("l.node").alias("u"), F.col("r.node").alias("v")).distinct()
+    links = links.unionByName(staged(_confirmed(rest, texts, how), "links"))
     found = components(links)
 
     named = classes.join(found, "node", "left").select("hi", "lo", F.coalesce("component", "node").alias("component"))
     return (
-        signed.select("id", "hi", "lo", "n_shingles")
+        signed.select("id", "hi", "lo", "n_shingles", "text_hash")
         .join(named, ["hi", "lo"], "left")
         .select(
             F.col("id").alias(id_column),
             "n_shingles",
             F.coalesce("component", "id").alias("component_id"),
+            "text_hash",
         )
         .withColumn("kept", F.coalesce(col(id_column) == F.col("component_id"), F.col("component_id").isNull()))
     )
+
+
+def keep_one(docs: DataFrame, found: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that ``found`` (of ``near_duplicates``) keeps; of rows with equal id and text one."""
+    id_key, text_key, number = (fresh(docs.columns, name) for name in ("_id_key", "_text_key", "_number"))
+    kept = found.filter("kept").select(row_key(id_column).alias(id_key), F.col("text_hash").alias(text_key)).distinct()
+    values = [name for name, kind in docs.dtypes if "map" not in kind and "variant" not in kind]
+    repeats = Window.partitionBy(id_key, text_key).orderBy(row_key(*values))
+    return (
+        docs.withColumn(id_key, row_key(id_column))
+        .withColumn(text_key, row_key(text))
+        .join(kept, [id_key, text_key], "left_semi")
+        .withColumn(number, F.row_number().over(repeats))
+        .filter(F.col(number) == 1)
+        .select(*[col(name) for name in docs.columns])
+    )
