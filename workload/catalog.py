@@ -382,18 +382,41 @@ def lookup_tickets(t: Tables) -> DataFrame:
     return lookup.lookup_tickets(t.v_requests, t.v_tickets, SNAPSHOT)
 
 
+# Of each record its id and every field that tables share or that is derived, under one name each.
+_RECORD_FIELDS = {
+    "status": "string",
+    "booked_at": "string",
+    "pickup_window_start": "string",
+    "pickup_window_end": "string",
+    "pickup_actual_at": "string",
+    "cancellation_requested_at": "string",
+    "minutes_since_booking": "double",
+    "pickup_delay_vs_window_end_minutes": "double",
+    "minutes_past_pickup_window_end_if_still_not_picked_up": "double",
+    "minutes_between_booking_and_cancellation_request": "double",
+    "subject": "string",
+    "description": "string",
+    "created_at": "string",
+    "last_customer_message_at": "string",
+    "historical_resolution": "string",
+    "ticket_age_minutes": "double",
+    "_warning": "string",
+    "account_name": "string",
+    "plan": "string",
+}
 _ALL_ANSWERS = f"""
     WITH answers AS (
-        SELECT request_id, account_id, 'account' AS table_name, record_id,
-               CASE WHEN error IS NULL THEN CAST(account_id AS STRING) END AS record, error FROM ({_ACCOUNT_ANSWERS}) a
-        UNION ALL
-        SELECT request_id, account_id, 'orders', record_id, CAST(order_id AS STRING), error
-        FROM ({_answers("orders", "SELECT * FROM {v_orders}", "order_id", rules.ORDER_NOT_FOUND, "r.order_id")}) o
-        UNION ALL
-        SELECT request_id, account_id, 'tickets', record_id, CAST(ticket_id AS STRING), error
-        FROM ({_answers("tickets", "SELECT * FROM {v_tickets}", "ticket_id", rules.TICKET_NOT_FOUND, "r.ticket_id")}) k
-        UNION ALL
-        SELECT request_id, account_id, table_name, record_id, NULL, 'Unknown table ' || table_name
+        SELECT request_id, account_id, record_id, error, 'account' AS table_name,
+               CASE WHEN error IS NULL THEN CAST(account_id AS STRING) END AS record, account_name, plan
+        FROM ({_ACCOUNT_ANSWERS}) a
+        UNION ALL BY NAME
+        SELECT * EXCLUDE (order_id), 'orders' AS table_name, CAST(order_id AS STRING) AS record
+        FROM ({_answers("orders", _ORDERS, "order_id", rules.ORDER_NOT_FOUND, _ORDER_COLUMNS)}) o
+        UNION ALL BY NAME
+        SELECT * EXCLUDE (ticket_id), 'tickets' AS table_name, CAST(ticket_id AS STRING) AS record
+        FROM ({_answers("tickets", _TICKETS, "ticket_id", rules.TICKET_NOT_FOUND, _ORDER_COLUMNS)}) k
+        UNION ALL BY NAME
+        SELECT request_id, account_id, table_name, record_id, NULL AS record, 'Unknown table ' || table_name AS error
         FROM {{v_requests}} WHERE table_name NOT IN ('account', 'orders', 'tickets'))
 """
 
@@ -402,12 +425,24 @@ def _lookup(t: Tables) -> DataFrame:
     return lookup.lookup(t.v_requests, t.v_accounts, t.v_orders, t.v_tickets, SNAPSHOT)
 
 
-@_register(_ALL_ANSWERS + "SELECT * FROM answers")
+@_register(_ALL_ANSWERS + f"SELECT request_id, account_id, table_name, record_id, record, error, {', '.join(_RECORD_FIELDS)} FROM answers")
 def lookup_all(t: Tables) -> DataFrame:
-    key = F.coalesce(
-        *[F.get_json_object("result", f"$.{name}") for name in ("order_id", "ticket_id", "account_id")]
+    keys = ("order_id", "ticket_id", "account_id")
+    fields = {**dict.fromkeys(keys, "string"), **_RECORD_FIELDS}
+    record = F.from_json("result", ", ".join(f"`{name}` {kind}" for name, kind in fields.items()))
+    return (
+        _lookup(t)
+        .withColumn("read", record)
+        .select(
+            "request_id",
+            "account_id",
+            "table_name",
+            "record_id",
+            F.coalesce(*[F.col(f"read.{name}") for name in keys]).alias("record"),
+            "error",
+            *[F.col(f"read.{name}").alias(name) for name in _RECORD_FIELDS],
+        )
     )
-    return _lookup(t).select("request_id", "account_id", "table_name", "record_id", key.alias("record"), "error")
 
 
 @_register(
