@@ -52,6 +52,15 @@ def text_or_empty(name: str) -> Column:
     return F.coalesce(col(name), F.lit(""))
 
 
+def worked_out(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """The rows with ``value`` as one more column that is worked out once a row.
+
+    A column that lambdas refer to would otherwise be put in their place, and be worked out again
+    for every element; the optimizer leaves what a generator makes as it is.
+    """
+    return df.select("*", F.explode(F.array(value)).alias(name))
+
+
 def blocks_for(df: DataFrame, size: Column, bytes_per_block: int) -> int:
     """How many blocks of that many bytes the rows fill."""
     total = df.agg(F.sum(size.cast("long"))).first()[0] or 0

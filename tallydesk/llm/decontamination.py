@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallydesk.llm.common import col, staged
+from tallydesk.llm.common import col, staged, worked_out
 
 # Sketches or items of this many bytes at most are broadcast; larger ones are joined by a shuffle.
 BROADCAST_BYTES = 32 << 20
@@ -54,7 +54,7 @@ def _small(df: DataFrame, size: Column) -> DataFrame:
 def item_sets(items: DataFrame, how: Containment, item_id: str, text: str) -> DataFrame:
     """(item_id, shingles, n, partition): the distinct shingles of each item with words."""
     return (
-        items.select(col(item_id).alias("item_id"), words(col(text)).alias("words"))
+        worked_out(items.select(col(item_id).alias("item_id"), col(text).alias("text")), "words", words(F.col("text")))
         .select("item_id", F.array_distinct(_shingles(F.col("words"), how.width, _text_of)).alias("shingles"))
         .filter("shingles IS NOT NULL")
         .distinct()
@@ -98,7 +98,7 @@ def contaminated(
     sketch = staged(sketches(sets, how), "sketches")
     key = [col(id_column).alias("id"), F.xxhash64(col(text)).alias("text_hash")]
     probes = (
-        docs.select(*key, words(col(text)).alias("words"))
+        worked_out(docs.select(*key, col(text).alias("text")), "words", words(F.col("text")))
         .select("id", "text_hash", F.size("words").alias("size"), _shingles(F.col("words"), how.width, F.xxhash64).alias("hashes"))
         .select("id", "text_hash", "size", F.explode("hashes").alias("hash"))
     )
@@ -116,7 +116,8 @@ def contaminated(
         found["id"].eqNullSafe(F.col("c_id")) & (found["text_hash"] == F.col("c_hash")),
     )
     return (
-        found.select("id", "text_hash", "item", words(F.col("text")).alias("words"))
+        worked_out(found, "words", words(F.col("text")))
+        .select("id", "text_hash", "item", "words")
         .join(_small(sets.select("item", "item_id", "shingles", "n"), F.length(F.to_json(F.struct("shingles")))), "item")
         .select("id", "text_hash", "item", "item_id", F.col("n").alias("n_item"), held.alias("n_shared"))
         .filter(F.col("n_shared") * 100 >= F.col("n_item") * how.percent)
