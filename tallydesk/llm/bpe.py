@@ -13,12 +13,12 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import zlib
 from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -48,9 +48,16 @@ def _tokenizer(definition: str):
     return _tokenizers[key]
 
 
+# A full stop or comma after an ASCII letter and before white space: there every word pattern parts them.
+_TRAILING = re.compile(rb"[.,](?<=[A-Za-z][.,])(?=[ \t\n\r\f\v]|\Z)")
+
+
 def _words(text: bytes | None) -> list[bytes]:
-    """Runs without ASCII white space, which is white space to every tokenizer."""
-    return text.split() if text else []
+    """Runs without ASCII white space, which is white space to every tokenizer.
+
+    A stop or comma that ends a word is a word of its own, so that fewer distinct words move.
+    """
+    return _TRAILING.sub(rb" \g<0>", text).split() if text else []
 
 
 def _buckets(texts: list[bytes | None], buckets: int) -> list[list[bytes]]:
@@ -64,23 +71,32 @@ def _buckets(texts: list[bytes | None], buckets: int) -> list[list[bytes]]:
     return dealt
 
 
+def _pressed(data: bytes) -> bytes:
+    """What moves between blocks is much alike and packs well."""
+    return pa.Codec("zstd", compression_level=9).compress(data, asbytes=True)
+
+
+def _unpressed(data: bytes, size: int) -> bytes:
+    return pa.decompress(data, size, "zstd", asbytes=True) if size else b""
+
+
 def _packed(values: np.ndarray) -> bytes:
-    """Whole numbers in as few bytes as the largest needs."""
-    return values.astype("<u2" if values.size == 0 or values.max() < 1 << 16 else "<u4").tobytes()
+    """Whole numbers in as few bytes as the largest needs, told in the first byte."""
+    width = next(n for n in (1, 2, 4) if values.size == 0 or values.max() < 1 << 8 * n)
+    return bytes([width]) + _pressed(values.astype(f"<u{width}").tobytes())
 
 
 def _unpacked(data: bytes, count: int) -> np.ndarray:
-    return np.frombuffer(data, "<u2" if len(data) == 2 * count else "<u4").astype(np.int64)
+    return np.frombuffer(_unpressed(data[1:], data[0] * count), f"<u{data[0]}").astype(np.int64)
 
 
 def encode(docs: DataFrame, definition: str, text: str = "text", ids: str = "ids", block_bytes: int = BLOCK_BYTES, keep: Sequence[str] | None = None) -> DataFrame:
     """The rows (of the columns ``keep``, else all) with their token ids as one more column.
 
     ``definition`` is the text of a tokenizer file. A null or empty text has no ids. Rows that
-    repeat are all kept. Other columns pass through, whatever their names; ``ids`` must be new.
+    repeat are all kept. Other columns pass through; one that is called ``ids`` already is replaced.
     """
-    if ids in docs.columns:
-        raise ValueError(f"there is a column {ids} already")
+    docs = docs.drop(ids)
     spark = docs.sparkSession
     n_blocks = blocks_for(docs, F.octet_length(col(text)), block_bytes)
     block, other = fresh(docs.columns, "_block"), [c for c, kind in docs.dtypes if kind in ("bigint", "int", "string") and c != text]
@@ -95,12 +111,14 @@ def encode(docs: DataFrame, definition: str, text: str = "text", ids: str = "ids
             {
                 "bucket": pa.array([bucket for bucket, _ in used], pa.int64()),
                 "block": pa.array([own] * len(used), pa.int64()),
-                "words": pa.array([words for _, words in used], pa.binary()),
+                "size": pa.array([len(words) for _, words in used], pa.int64()),
+                "words": pa.array([_pressed(words) for _, words in used], pa.binary()),
             }
         )
 
     def encode_words(table: pa.Table) -> pa.Table:
-        lists = [words.split(b" ") for words in table.column("words").to_pylist()]
+        sizes, pressed = table.column("size").to_pylist(), table.column("words").to_pylist()
+        lists = [_unpressed(words, size).split(b" ") for words, size in zip(pressed, sizes, strict=True)]
         distinct = list({word for words in lists for word in words})
         known: dict[bytes, np.ndarray] = {}
         for start in range(0, len(distinct), 4096):
@@ -120,6 +138,7 @@ def encode(docs: DataFrame, definition: str, text: str = "text", ids: str = "ids
     kept = [c for c in docs.columns if keep is None or c in keep]
 
     def join_back(left: pa.Table, right: pa.Table) -> pa.Table:
+        pa.default_memory_pool().release_unused()  # of the block before
         texts = left.column(text).cast(pa.binary()).to_pylist()
         place, lengths, codes = {}, [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         dealt = _buckets(texts, n_blocks)
@@ -142,7 +161,7 @@ def encode(docs: DataFrame, definition: str, text: str = "text", ids: str = "ids
             chunks.append(pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(values, pa.int32())))
         return left.select(kept).append_column(ids, pa.chunked_array(chunks, pa.list_(pa.int32())))
 
-    lists = in_block.groupBy(block).applyInArrow(list_words, "bucket long, block long, words binary")
+    lists = in_block.groupBy(block).applyInArrow(list_words, "bucket long, block long, size long, words binary")
     coded = lists.groupBy("bucket").applyInArrow(encode_words, "block long, bucket long, lengths binary, codes binary")
     schema = T.StructType([*[docs.schema[c] for c in kept], T.StructField(ids, T.ArrayType(T.IntegerType()))])
     return in_block.groupBy(block).cogroup(coded.groupBy("block")).applyInArrow(join_back, schema)
@@ -159,28 +178,10 @@ def pieces_of(definition: str) -> list[str | None]:
 def decode(encoded: DataFrame, definition: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
     """The rows with the text of their ids as one more column: the pieces, joined by spaces.
 
-    Ids meet their pieces in a join whose build side is the vocabulary, which a tokenizer file
-    bounds; it runs on whole Arrow batches. Unknown ids are left out; null ids give an empty text.
-    A column called ``text`` already is replaced.
+    Ids meet their pieces in a join by position: the build side is the vocabulary, which a tokenizer
+    file bounds, as one constant array that every task holds. Unknown ids are left out; null ids
+    give an empty text. A column that is called ``text`` already is replaced.
     """
-    encoded = encoded.drop(text)
-    shipped = encoded.sparkSession.sparkContext.broadcast(pieces_of(definition))
-    schema = T.StructType([*encoded.schema.fields, T.StructField(text, T.StringType())])
-
-    def join_pieces(batches):
-        pieces = pa.array(shipped.value, pa.string())
-        for batch in batches:
-            lists = batch.column(batch.schema.names.index(ids))
-            size = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
-            numbers = lists.flatten().to_numpy(zero_copy_only=False)
-            known = (numbers >= 0) & (numbers < len(pieces))
-            found = pieces.take(pa.array(np.where(known, numbers, 0)))
-            lacking = ~known | found.is_null().to_numpy(zero_copy_only=False)
-            ends = np.concatenate(([0], np.cumsum(size)))
-            if lacking.any():
-                found = found.filter(pa.array(~lacking))
-                ends = ends - np.concatenate(([0], np.cumsum(lacking)))[ends]
-            texts = pc.binary_join(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), found), " ")
-            yield pa.RecordBatch.from_arrays([*batch.columns, texts], names=[*batch.schema.names, text])
-
-    return encoded.mapInArrow(join_pieces, schema)
+    pieces = F.from_json(F.lit(json.dumps(pieces_of(definition))), "array<string>")
+    found = F.transform(col(ids), lambda number: F.get(pieces, number))
+    return encoded.drop(text).withColumn(text, F.coalesce(F.array_join(found, " "), F.lit("")))
