@@ -18,7 +18,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallydesk.llm.common import col
+from tallydesk.llm.common import col, worked_out
 
 
 @dataclass(frozen=True)
@@ -164,13 +164,14 @@ def scan(docs: DataFrame, templates: Sequence[Template] = TEMPLATES, text: str =
     place. Columns called like the new ones are replaced.
     """
     docs = docs.drop("_words", "_posted", "n_words", "places", "base_labels", "labels", "score")
-    found = docs.withColumn("_words", words(col(text)))
+    found = worked_out(docs, "_words", words(col(text)))
     frequency = document_frequencies(found, templates, "_words")
     rare = {n: _rarest(template, frequency) for n, template in enumerate(templates)}
     sought = _strings(sorted({word for chosen in rare.values() for _, word in chosen}))
     all_words = F.transform(F.col("_words"), lambda word, n: F.struct(word.alias("word"), n.alias("at")))
     nothing = F.slice(all_words, 1, 0)
-    posted = found.withColumn(
+    posted = worked_out(
+        found,
         "_posted",
         F.when(
             F.arrays_overlap(F.col("_words"), sought),
@@ -180,11 +181,12 @@ def scan(docs: DataFrame, templates: Sequence[Template] = TEMPLATES, text: str =
     places = [_places(template, rare[n], F.col("_words"), F.col("_posted")) for n, template in enumerate(templates)]
     labels = F.array_sort(F.array_distinct(F.transform("places", lambda place: place["label"])))
     base = F.filter("places", lambda place: place["is_base"])
+    none = F.slice(F.concat(*places), 1, 0)
+    placed = worked_out(posted, "places", F.when(F.size("_posted") > 0, F.concat(*places)).otherwise(none))
     return (
-        posted.withColumn("n_words", F.size("_words").cast("long"))
-        .withColumn("places", F.when(F.size("_posted") > 0, F.concat(*places)).otherwise(F.slice(F.concat(*places), 1, 0)))
+        placed.withColumn("n_words", F.size("_words").cast("long"))
         .withColumn("base_labels", F.array_sort(F.array_distinct(F.transform(base, lambda place: place["label"]))))
         .withColumn("labels", labels)
         .withColumn("score", F.coalesce(F.array_max(F.transform("places", lambda place: place["coverage"])), F.lit(0.0)))
-        .drop("_words", "_posted")
+        .select(*[col(name) for name in docs.columns], "n_words", "places", "base_labels", "labels", "score")
     )
