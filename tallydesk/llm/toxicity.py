@@ -227,36 +227,35 @@ class Scorer:
         known = len(self.place)
         self.place.update({word: known + n for n, word in enumerate(words)})
 
-    def worst_windows(self, texts: Iterable[str | None]) -> list[tuple[float | None, int]]:
-        """Of each text the highest logit over all its windows (None without words) and their number."""
+    def window_logits(self, texts: Sequence[Sequence[str]]) -> list[np.ndarray]:
+        """The logits of all windows of each text, given as its words."""
         weights, settings = self.network.weights, self.network.settings
-        found = [words_of(text) for text in texts]
         if len(self.place) > _CACHED_WORDS:
             self.place, self.projected = {}, []
-        unknown = list(dict.fromkeys(w for ws in found for w in ws if w not in self.place))
+        unknown = list(dict.fromkeys(w for words in texts for w in words if w not in self.place))
         if unknown:
             self._remember(unknown)
         inputs = {way: np.concatenate([p[way] for p in self.projected]) for way in ("f", "b")} if self.projected else {}
         self.projected = [inputs] if inputs else []
         counts, parts = [], []
-        for ws in found:
-            at = np.fromiter(map(self.place.__getitem__, ws), np.int64, len(ws))
-            starts = window_starts(len(ws), settings)
+        for words in texts:
+            at = np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))
+            starts = window_starts(len(words), settings)
             counts.append(len(starts))
             if starts:
                 places = np.array(starts)[:, None] + np.arange(settings.window)
-                parts.append(np.where(places < len(ws), at[np.minimum(places, len(ws) - 1)], -1))
-        logits = []
+                parts.append(np.where(places < len(words), at[np.minimum(places, len(words) - 1)], -1))
         rows = np.concatenate(parts) if parts else np.zeros((0, settings.window), np.int64)
+        logits = [np.zeros(0, np.float32)]
         for start in range(0, len(rows), 4096):
             part = rows[start : start + 4096]
-            mask = (part >= 0).astype(np.float32)
-            logits.append(self._logits(weights, inputs, np.maximum(part, 0), mask))
-        flat, at, result = np.concatenate(logits) if logits else np.zeros(0), 0, []
-        for n in counts:
-            result.append((float(flat[at : at + n].max()) if n else None, n))
-            at += n
-        return result
+            logits.append(self._logits(weights, inputs, np.maximum(part, 0), (part >= 0).astype(np.float32)))
+        return np.split(np.concatenate(logits), np.cumsum(counts)[:-1]) if counts else []
+
+    def worst_windows(self, texts: Iterable[str | None]) -> list[tuple[float | None, int]]:
+        """Of each text the highest logit over all its windows (None without words) and their number."""
+        found = self.window_logits([words_of(text) for text in texts])
+        return [(float(logits.max()) if len(logits) else None, len(logits)) for logits in found]
 
     @staticmethod
     def _logits(weights: dict, inputs: dict, rows: np.ndarray, mask: np.ndarray) -> np.ndarray:
@@ -274,15 +273,16 @@ def _train(network: Network, texts: list[list[str]], labels: np.ndarray) -> None
     draw = np.random.default_rng(settings.seed)
     first, second, step = {k: np.zeros_like(w) for k, w in weights.items()}, {k: np.zeros_like(w) for k, w in weights.items()}, 0
     for epoch in range(settings.epochs):
-        chosen, targets = [], []
-        for words, label in zip(texts, labels, strict=True):
+        chosen, targets, worst = [], [], None
+        if epoch >= settings.epochs // 2:
+            scorer = Scorer(network)
+            worst = [int(np.argmax(x)) for n in range(0, len(texts), 256) for x in scorer.window_logits(texts[n : n + 256])]
+        for n, (words, label) in enumerate(zip(texts, labels, strict=True)):
             starts = window_starts(len(words), settings)
-            picked = {int(s) for s in draw.choice(starts, min(3, len(starts)), replace=False)}
-            if epoch >= settings.epochs // 2 and len(starts) > 1:
-                some = sorted(picked | {int(s) for s in draw.choice(starts, min(12, len(starts)), replace=False)})
-                names, rows, mask = _rows_of([words[s : s + settings.window] for s in some], settings)
-                logits, _ = _forward(weights, _word_vectors(weights, *_inputs(names, settings)), rows, mask)
-                picked = {some[int(np.argmax(logits))], some[int(draw.integers(len(some)))] if not label else some[int(np.argmax(logits))]}
+            if worst is None:
+                picked = {int(s) for s in draw.choice(starts, min(3, len(starts)), replace=False)}
+            else:
+                picked = {starts[worst[n]]} if label else {starts[worst[n]], int(draw.choice(starts))}
             chosen += [words[s : s + settings.window] for s in sorted(picked)]
             targets += [label] * len(picked)
         order = draw.permutation(len(chosen))
