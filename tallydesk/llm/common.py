@@ -2,37 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-_own_folder: list[str] = []
+from tallydesk.plans.checkpoints import parquet_checkpoint
 
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder the session names in ``spark.checkpoint.dir``.
-
-    Only a session on one machine that names none, as in tests, gets a folder of its own.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    if not _own_folder:
-        _own_folder.append(tempfile.mkdtemp(prefix="tallydesk-llm-"))
-    return _own_folder[0]
-
-
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write a table to the shared folder and go on from there: read twice, computed once."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+# Write a table to the folder that the session shares and go on from there: read twice, computed once.
+staged = parquet_checkpoint
 
 
 def fresh(taken: Iterable[str], name: str) -> str:
