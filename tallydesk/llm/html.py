@@ -27,6 +27,9 @@ BLOCKS = frozenset(
 )
 SPACED = frozenset("blockquote dl figure h1 h2 h3 h4 h5 h6 hr ol p pre table ul fieldset".split())
 ENDS_PARAGRAPH = BLOCKS - frozenset("html body option optgroup li dd dt tr td th tbody thead tfoot caption legend".split())
+# These hold the parts of a table and no text of their own: what else stands in them is moved before the table.
+TABLE_PARTS = frozenset("table tbody thead tfoot tr".split())
+IN_TABLE = frozenset("caption colgroup col tbody thead tfoot tr td th".split())
 # What a start tag closes, if it is open and no element of the second set lies between.
 CLOSES = {
     "li": (frozenset(["li"]), frozenset("ul ol menu dir".split())),
@@ -78,6 +81,26 @@ class _Builder:
         if found:
             del self.open[found:]
 
+    def table(self) -> tuple[int, int]:
+        """Places of the innermost open table and of its innermost open part; zeros in cells and outside of tables."""
+        part = 0
+        for n in range(len(self.open) - 1, 0, -1):
+            tag = self.open[n].tag
+            if tag in ("td", "th", "caption", "template"):
+                break
+            if tag in TABLE_PARTS:
+                part = part or n
+            if tag == "table":
+                return n, part
+        return 0, 0
+
+    def put(self, child: Element | str, table: int = 0) -> None:
+        """Add to what is open, or right before the open table at this place: it is its parent's last child."""
+        if table:
+            self.open[table - 1].children.insert(-1, child)
+        else:
+            self.open[-1].children.append(child)
+
     def start(self, tag: str, given: str) -> None:
         if tag == "html":
             return
@@ -87,12 +110,24 @@ class _Builder:
             self.close(*CLOSES[tag])
         if self.open[-1].tag == "head" and tag in BLOCKS:
             self.open.pop()
+        if self.open[-1].tag == "colgroup" and tag not in ("col", "template"):
+            self.open.pop()
+        moved = self.open[-1].tag in TABLE_PARTS and tag not in IN_TABLE and tag not in ("script", "style", "template")
+        table, part = self.table() if moved or tag in IN_TABLE or tag in ("form", "table") else (0, 0)
+        if table and tag == "form":
+            self.put(Element(tag, given))  # an empty one
+            return
+        if table and tag == "table":
+            del self.open[table:]
+            moved = False
+        elif table and tag in IN_TABLE:
+            del self.open[(table if tag in ("caption", "colgroup", "col") else part) + 1 :]
         if tag in ("td", "th") and self.open[-1].tag in ("table", "tbody", "thead", "tfoot"):
             self.start("tr", "")
         if tag == "tr" and self.open[-1].tag == "table":
             self.start("tbody", "")
         element = Element(tag, given)
-        self.open[-1].children.append(element)
+        self.put(element, table if moved else 0)
         if tag not in VOID and not (given.endswith("/") and tag not in BLOCKS and tag not in RAW) and len(self.open) < DEEPEST:
             self.open.append(element)
 
@@ -107,13 +142,16 @@ class _Builder:
                 if self.open[n].tag == tag:
                     del self.open[n:]
                     return
-                if self.open[n].tag in ("td", "th", "table") and tag not in ("td", "th", "tr", "tbody", "thead", "tfoot", "table", "body", "html"):
+                if self.open[n].tag in ("td", "th", "table") and tag not in ("td", "th", "tr", "tbody", "thead", "tfoot", "table", "template", "body", "html"):
                     return
 
     def text(self, value: str) -> None:
         if self.open[-1].tag == "head" and value.strip():
             self.open.pop()
-        self.open[-1].children.append(unescape(value))
+        if self.open[-1].tag == "colgroup" and value.strip():
+            self.open.pop()
+        moved = self.open[-1].tag in TABLE_PARTS and value.strip()
+        self.put(unescape(value), self.table()[0] if moved else 0)
 
 
 def build(page: str) -> Element:

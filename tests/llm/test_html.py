@@ -42,6 +42,31 @@ def test_rendered(page, text):
     assert render(page) == text
 
 
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        ("<table><form><tr><td>A</td></tr></form></table>", "A"),
+        ("<table><tr><form><td>A</td><td>B</td></form></tr></table>", "A  B"),
+        ("<table>Hello<tr><td>x</table>", "Hello\n\nx"),
+        ("<table><div>note</div><tr><td>x<td>y</table>z", "note\n\nx  y\n\nz"),
+        ("<table><tr><td>x</td>loose <b>text<td>y</table>", "loose text\n\nx  y"),
+        ("<table><tbody><tr><td>x</tr><p>p<tr><td>y</table>", "p\n\nx\ny"),
+        ("<table><colgroup><col><col><tr><td>x<td>y</table>", "x  y"),
+        ("<table><tr><caption>c</caption><tr><td>x</table>", "c\nx"),
+        ("<table><tr><td>x <table>in<tr><td>y</table>z</table>", "x in\ny\nz"),
+        ("<table>one<table>two<tr><td>x</table>", "one\n\ntwo\n\nx"),
+        ("<table><script>s</script> <template><tr><td>no</template><tr hidden><td>no<tr><td>x</table>", "x"),
+    ],
+)
+def test_what_stands_between_the_parts_of_a_table_comes_before_it(page, text):
+    assert render(page) == text
+
+
+@pytest.mark.parametrize("depth", range(190, 202))
+def test_tables_at_the_greatest_depth_keep_their_text(depth):
+    assert sorted("".join(render("<div>" * depth + "<table>u<tr><td>x<td>y</table>").split())) == ["u", "x", "y"]
+
+
 def test_deep_and_long_pages():
     assert render("<div>" * 20_000 + "x" + "</div>" * 20_000) == "x"
     assert render("<ul><li>" * 5_000 + "x").strip().endswith("x")
