@@ -25,6 +25,7 @@ BLOCKS = frozenset(
     "form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section "
     "summary table tbody td tfoot th thead tr ul caption".split()
 )
+IN_HEAD = frozenset("base link meta noscript script style template title".split())
 SPACED = frozenset("blockquote dl figure h1 h2 h3 h4 h5 h6 hr ol p pre table ul fieldset".split())
 ENDS_PARAGRAPH = BLOCKS - frozenset("html body option optgroup li dd dt tr td th tbody thead tfoot caption legend".split())
 # These hold the parts of a table and no text of their own: what else stands in them is moved before the table.
@@ -108,7 +109,7 @@ class _Builder:
             self.close(frozenset(["p"]), frozenset("td th table button".split()))
         if tag in CLOSES:
             self.close(*CLOSES[tag])
-        if self.open[-1].tag == "head" and tag in BLOCKS:
+        if self.open[-1].tag == "head" and tag not in IN_HEAD:
             self.open.pop()
         if self.open[-1].tag == "colgroup" and tag not in ("col", "template"):
             self.open.pop()

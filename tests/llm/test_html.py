@@ -62,6 +62,19 @@ def test_what_stands_between_the_parts_of_a_table_comes_before_it(page, text):
     assert render(page) == text
 
 
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        ("<head><title>T</title><a href=#m>Skip</a><p>x", "Skip\n\nx"),
+        ("<head><title>T</title><app-root><p>x</p></app-root>", "x"),
+        ("<head><meta charset=utf-8><link rel=icon><style>s</style><script>t</script><title>T</title><img><i>x</i>", "x"),
+        ("<head><noscript><link></noscript><template>no</template><base><title>T</title></head>x", "x"),
+    ],
+)
+def test_head_ends_at_the_first_tag_of_the_body(page, text):
+    assert render(page) == text
+
+
 @pytest.mark.parametrize("depth", range(190, 202))
 def test_tables_at_the_greatest_depth_keep_their_text(depth):
     assert sorted("".join(render("<div>" * depth + "<table>u<tr><td>x<td>y</table>").split())) == ["u", "x", "y"]
