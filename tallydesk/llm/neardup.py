@@ -148,8 +148,8 @@ def _likely(pairs: DataFrame, marks: DataFrame, how: MinMax) -> DataFrame:
 
 def _confirmed(pairs: DataFrame, texts: DataFrame, how: MinMax) -> DataFrame:
     """The (u, v) of ``pairs`` that reach the similarity on their whole sets."""
-    full = pairs.join(texts.select(F.col("id").alias("u"), F.col("text").alias("tu")), "u").join(
-        texts.select(F.col("id").alias("v"), F.col("text").alias("tv")), "v"
+    full = pairs.join(texts.select(F.col("node").alias("u"), F.col("text").alias("tu")), "u").join(
+        texts.select(F.col("node").alias("v"), F.col("text").alias("tv")), "v"
     )
 
     def confirm(batches):
@@ -186,16 +186,17 @@ def near_duplicates(
     """(id_column, n_shingles, component_id, kept, text_hash), a row per row of ``docs``.
 
     ``component_id`` is the smallest id reachable over links. A document without words has an empty
-    set, is linked with nothing and stays. Rows that share an id count as one document. A null id
-    can't be pointed to: such a row gets the component of its copies, if those have ids, and stays
-    if it has none. Empty tables give no rows.
+    set, is linked with nothing and stays. Rows that share an id count as one document. Rows with a null id take part like others; as a null id can't be pointed
+    to, a component without any id has a null ``component_id``, and the rows of one of its texts
+    stay. Empty tables give no rows.
     """
-    signed = staged(signatures(docs, how, id_column, text), "signatures")
-    classes = staged(
-        signed.filter("n_shingles > 0 AND id IS NOT NULL").groupBy("hi", "lo").agg(F.min("id").alias("node")), "classes"
-    )
-    nodes = signed.join(classes, (signed.id == classes.node) & (signed.hi == classes.hi) & (signed.lo == classes.lo), "left_semi")
-    nodes = staged(nodes.dropDuplicates(["id", "hi", "lo"]).withColumnRenamed("id", "node"), "nodes")
+    # Classes are told apart by the number of a row of theirs: ids may be null, or have several texts.
+    signed = staged(signatures(docs, how, id_column, text).withColumn("row", F.monotonically_increasing_id()), "signatures")
+    classes = signed.filter("n_shingles > 0").groupBy("hi", "lo")
+    classes = classes.agg(F.min("row").alias("node"), F.min("id").alias("least_id"), F.min_by("text_hash", "row").alias("first_text"))
+    classes = staged(classes, "classes")
+    nodes = signed.withColumnRenamed("row", "node").join(classes.select("node"), "node", "left_semi")
+    nodes = staged(nodes, "nodes")
 
     # Buckets with several members; the hub of each is the member that meets most others.
     banded = nodes.select("node", F.explode("bands").alias("key"))
@@ -203,9 +204,10 @@ def near_duplicates(
     buckets = staged(banded.join(crowded, "key"), "buckets")
     met = buckets.groupBy("node").agg(F.sum("members").alias("met"))
     marks = staged(nodes.select("node", "n_shingles", "bits", "bitmap").join(met.select("node"), "node", "left_semi"), "marks")
-    texts = docs.select(col(id_column).alias("id"), col(text).alias("text"))
-    texts = texts.join(met.select(F.col("node").alias("id")), "id", "left_semi")
-    texts = staged(texts.groupBy("id").agg(F.max("text").alias("text")), "texts")
+    key = ["id_key", "text_hash"]
+    wanted = nodes.join(met.select("node"), "node", "left_semi").select("node", row_key("id").alias("id_key"), "text_hash")
+    texts = docs.select(row_key(id_column).alias("id_key"), row_key(text).alias("text_hash"), col(text).alias("text"))
+    texts = staged(texts.join(wanted, key).dropDuplicates([*key, "node"]).select("node", "text"), "texts")
 
     hubs = buckets.join(met, "node").groupBy("key").agg(
         F.max_by("node", F.struct("met", -F.col("node"))).alias("hub")
@@ -233,17 +235,27 @@ def near_duplicates(
     links = links.unionByName(staged(_confirmed(rest, texts, how), "links"))
     found = components(links)
 
-    named = classes.join(found, "node", "left").select("hi", "lo", F.coalesce("component", "node").alias("component"))
+    groups = found.join(classes, "node").groupBy("component")
+    groups = groups.agg(F.min("least_id").alias("group_id"), F.min_by("first_text", "node").alias("group_text"))
+    linked = found.join(groups, "component").select("node", "group_id", "group_text")
+    named = classes.join(linked, "node", "left").select(
+        "hi",
+        "lo",
+        F.when(F.col("group_text").isNull(), F.col("least_id")).otherwise(F.col("group_id")).alias("component"),
+        F.coalesce("group_text", "first_text").alias("stays"),
+    )
+    component = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("id"))
+    kept = F.when(component.isNull(), F.coalesce(F.col("text_hash") == F.col("stays"), F.lit(True)))
     return (
         signed.select("id", "hi", "lo", "n_shingles", "text_hash")
         .join(named, ["hi", "lo"], "left")
         .select(
             F.col("id").alias(id_column),
             "n_shingles",
-            F.coalesce("component", "id").alias("component_id"),
+            component.alias("component_id"),
             "text_hash",
+            kept.otherwise(F.coalesce(F.col("id") == component, F.lit(False))).alias("kept"),
         )
-        .withColumn("kept", F.coalesce(col(id_column) == F.col("component_id"), F.col("component_id").isNull()))
     )
 
 

@@ -84,6 +84,21 @@ def test_null_ids_repeats_and_clashing_names(spark):
     assert sorted((row["doc_id"] or 0, row["text"]) for row in kept.collect()) == [(0, "p q r"), (4, "a b c")]
 
 
+def text_of(letter, changed=0):
+    return " ".join([*[f"{letter}{n}" for n in range(40 - changed)], *[f"new{n}" for n in range(changed)]])
+
+
+def test_near_copies_without_ids_take_part(spark):
+    rows = [(None, text_of("a")), (None, text_of("a", 1)), (None, text_of("a", 1)), (None, text_of("a", 1).upper())]
+    rows += [(7, text_of("b")), (None, text_of("b", 3)), (3, text_of("b", 6)), (None, ""), (None, "alone")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = neardup.near_duplicates(docs, neardup.MinMax(width=2))
+    assert sorted(row["component_id"] or 0 for row in found.collect()) == [0] * 6 + [3] * 3
+    kept = [(row["doc_id"], row["text"]) for row in neardup.keep_one(docs, found).collect()]
+    assert len(kept) == 4 and {(3, rows[6][1]), (None, ""), (None, "alone")} < set(kept)
+    assert sum((row[1] or "").lower().startswith("a0") for row in kept) == 1
+
+
 def test_no_rows_give_no_rows(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert neardup.near_duplicates(docs).count() == 0
