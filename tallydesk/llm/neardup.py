@@ -180,13 +180,25 @@ def _apart(buckets: DataFrame, found: DataFrame) -> DataFrame:
     return staged(placed.join(several.filter("least < most"), "key", "left_semi"), "apart")
 
 
+def _same_ids(signed: DataFrame, classes: DataFrame) -> DataFrame:
+    """Links (u, v) between the classes of each id that has several."""
+    with_id = signed.filter("n_shingles > 0 AND id IS NOT NULL").select("id", "hi", "lo")
+    marks = [reach(name).alias(f"{reach.__name__}_{name}") for name in ("hi", "lo") for reach in (F.min, F.max)]
+    several = with_id.groupBy("id").agg(*marks).filter("min_hi < max_hi OR min_lo < max_lo")
+    members = with_id.join(several.select("id"), "id", "left_semi").distinct()
+    members = staged(members.join(classes.select("hi", "lo", "node"), ["hi", "lo"]).select("id", "node"), "same_ids")
+    least = members.groupBy("id").agg(F.min("node").alias("least"))
+    return members.join(least, "id").filter("node <> least").select(*_ordered("node", "least"))
+
+
 def near_duplicates(
     docs: DataFrame, how: MinMax = MinMax(), id_column: str = "doc_id", text: str = "text"
 ) -> DataFrame:
     """(id_column, n_shingles, component_id, kept, text_hash), a row per row of ``docs``.
 
     ``component_id`` is the smallest id reachable over links. A document without words has an empty
-    set, is linked with nothing and stays. Rows that share an id count as one document. Rows with a null id take part like others; as a null id can't be pointed
+    set, is linked with nothing and stays. Rows that share an id count as one document, with links
+    from each of its texts. Rows with a null id take part like others; as a null id can't be pointed
     to, a component without any id has a null ``component_id``, and the rows of one of its texts
     stay. Empty tables give no rows.
     """
@@ -213,7 +225,8 @@ def near_duplicates(
         F.max_by("node", F.struct("met", -F.col("node"))).alias("hub")
     )
     pairs = buckets.join(hubs, "key").filter("node <> hub").select(*_ordered("node", "hub")).distinct()
-    links = staged(_confirmed(_likely(pairs, marks, how), texts, how), "links")
+    links = _confirmed(_likely(pairs, marks, how), texts, how).unionByName(_same_ids(signed, classes))
+    links = staged(links, "links")
 
     apart = _apart(buckets, components(links))
     drawn = apart.groupBy("key").agg(F.max_by(F.struct("node", "component"), F.xxhash64("key", "node")).alias("other"))

@@ -99,6 +99,14 @@ def test_near_copies_without_ids_take_part(spark):
     assert sum((row[1] or "").lower().startswith("a0") for row in kept) == 1
 
 
+def test_every_text_of_an_id_is_linked(spark):
+    rows = [(5, text_of("z")), (5, text_of("a")), (8, text_of("a", 2)), (9, text_of("z", 2)), (2, text_of("q")), (6, text_of("a"))]
+    rows += [(1, "other"), (6, text_of("c")), (4, text_of("c", 2))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = neardup.near_duplicates(docs, neardup.MinMax(width=2)).collect()
+    assert {row["doc_id"]: row["component_id"] for row in found} == {5: 4, 8: 4, 9: 4, 6: 4, 4: 4, 2: 2, 1: 1}
+
+
 def test_no_rows_give_no_rows(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert neardup.near_duplicates(docs).count() == 0
