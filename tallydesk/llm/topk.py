@@ -19,7 +19,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallydesk.llm.common import col, staged
@@ -40,15 +40,21 @@ class Blocks:
 
 
 def whole_numbers(vectors: DataFrame, scale: int, id_column: str, vector: str) -> DataFrame:
-    """(id, x, dim, norm2): floor(scale * component); without vectors that are null or hold a null,
-    a component that is not finite, or one whose multiple passes 2^31."""
-    x = F.transform(col(vector), lambda value: F.floor(value.cast("double") * scale))
-    fits = F.forall(
+    """(id, x, dim, norm2): floor(scale * component); without vectors that are null or hold a null or
+    a component that is not finite. One whose multiple does not fit 64 bits is an error."""
+
+    def whole(value: Column) -> Column:
+        multiple = value.cast("double") * scale
+        message = F.lit("a component times the scale does not fit 64 bits")
+        return F.when(F.abs(multiple) < 2.0**63, F.floor(multiple)).otherwise(F.raise_error(message).cast("long"))
+
+    x = F.transform(col(vector), whole)
+    finite = F.forall(
         col(vector),
-        lambda value: value.isNotNull() & ~F.isnan(value) & (F.abs(value.cast("double") * scale) < 2.0**31),
+        lambda value: value.isNotNull() & ~F.isnan(value) & (F.abs(value.cast("double")) < float("inf")),
     )
     return (
-        vectors.filter(col(vector).isNotNull() & F.coalesce(fits, F.lit(False)))
+        vectors.filter(col(vector).isNotNull() & F.coalesce(finite, F.lit(False)))
         .select(col(id_column).alias("id"), x.alias("x"))
         .withColumn("dim", F.size("x"))
         .withColumn("norm2", F.aggregate("x", F.lit(0.0), lambda total, value: total + value.cast("double") * value))
@@ -61,9 +67,13 @@ def _matrix(column: pa.ChunkedArray, dim: int) -> np.ndarray:
 
 
 def _products(queries: np.ndarray, vectors: np.ndarray) -> np.ndarray:
-    """Exact products of whole numbers: as floats where no sum can pass 2^53, else as Python numbers."""
-    if np.abs(queries).max(initial=0) * np.abs(vectors).max(initial=0) * max(queries.shape[1], 1) < 2.0**53:
+    """Exact products of whole numbers: as floats where no sum can pass 2^53, as 64 bits where none can
+    pass 2^62, else as Python numbers, of which one that does not fit 64 bits is an error."""
+    most = np.abs(queries).max(initial=0) * np.abs(vectors).max(initial=0) * max(queries.shape[1], 1)
+    if most < 2.0**53:
         return (queries @ vectors.T).astype(np.int64)
+    if most < 2.0**62:
+        return queries.astype(np.int64) @ vectors.astype(np.int64).T
     return (queries.astype(np.int64).astype(object) @ vectors.astype(np.int64).T.astype(object)).astype(np.int64)
 
 
@@ -103,7 +113,7 @@ def _search_cell(queries: pa.Table, vectors: pa.Table, k: int, blocks: Blocks) -
             # Vectors come by falling length: one that is too short for every query ends the bucket.
             needed = np.where(reach[by_length] > 0, reach[by_length] / np.maximum(q_len[by_length], 1e-300), -1)
             least = np.nanmin(np.where(np.isnan(needed), -1, needed), initial=np.inf)
-            tall = int(np.searchsorted(-v_len[part], -(least - 1e-9), side="right"))
+            tall = int(np.searchsorted(-v_len[part], -(least * (1 - 1e-9) - 1e-9), side="right"))
             scores = _products(q[by_length], v[start : start + tall])
             work += [(n, np.arange(start, start + tall), scores[at]) for at, n in enumerate(by_length)]
         for n in by_coordinate:

@@ -65,3 +65,23 @@ def test_fewer_candidates_than_asked_for_and_none_at_all(spark):
 def test_one_common_vector(spark):
     rows = [(n, [0.5, 0.25]) for n in range(600)] + [(n, [0.1, 0.1]) for n in range(600, 650)]
     assert search(spark, rows, vectors=64, queries=4, bucket=16) == brute(rows, 5)
+
+
+@pytest.mark.parametrize("blocks", [{}, {"vectors": 64, "queries": 3, "bucket": 16}])
+def test_large_components_take_part(spark, blocks):
+    """Multiples of 2^31 and more, products beyond 2^53."""
+    draw = np.random.default_rng(8)
+    v = draw.uniform(-1, 1, (300, 3)) * 10.0 ** draw.uniform(0, 7.3, (300, 1))
+    v[::50] = draw.uniform(-1e6, 1e6, (6, 3))
+    rows = [(n, [float(np.float32(x)) for x in vector]) for n, vector in enumerate(v)] + [(999, [0.0, 1e12, 0.0])][: not blocks]
+    if not blocks:
+        rows = [(n, [x / 1e6 for x in vector] if n % 50 == 0 else vector) for n, vector in rows]
+        rows = [(n, [float(np.float32(x)) for x in vector]) for n, vector in rows]
+    assert search(spark, rows, **blocks) == brute(rows, 5)
+
+
+def test_products_beyond_64_bits_are_an_error(spark):
+    with pytest.raises(Exception, match="too large|too big|64 bits"):
+        search(spark, [(0, [1e12]), (1, [1e12])])
+    with pytest.raises(Exception, match="64 bits"):
+        search(spark, [(0, [1.0]), (1, [1e30])])
