@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallydesk.llm import bpe, decontamination, html, langid, licenses, neardup, quality, sampling, sharding, topk, toxicity
+from tallydesk.llm import bpe, decontamination, html, langid, licenses, linededup, neardup, quality, sampling, sharding, topk, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -189,3 +189,23 @@ def op7_quality(spark: SparkSession, folder: str) -> DataFrame:
     grade = F.when(F.col("quality") == 0, 0).when(F.col("toxic") == 1, 1).when(F.col("quality") == 1, 2)
     model = quality.fit(docs, table(spark, folder, "labels").withColumn("grade", grade))
     return quality.rate(docs, model, keep=["doc_id"])
+
+
+@query
+def op12_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document without the lines that ten documents share, as a digest of what stays."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    kept = linededup.kept_text(docs, linededup.keep_bitmaps(docs, linededup.LineRule(documents=10, characters=1)))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+ORACLES["op12_line_dedup"] = """
+WITH cut AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+lines AS (SELECT doc_id, unnest(ls) AS line, unnest(range(len(ls))) AS place FROM cut),
+keyed AS (SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k FROM lines),
+common AS (SELECT k FROM keyed WHERE length(k) >= 1 GROUP BY k HAVING count(DISTINCT doc_id) >= 10),
+marked AS (SELECT *, k IN (SELECT k FROM common) AS gone FROM keyed)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (NOT gone), '')) AS kept_sha256
+FROM marked GROUP BY doc_id
+"""
