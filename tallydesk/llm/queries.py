@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallydesk.llm import bpe, decontamination, html, langid, licenses, linededup, neardup, quality, sampling, sharding, topk, toxicity
+from tallydesk.llm import bpe, decontamination, html, langid, lexical, licenses, linededup, neardup, quality, sampling, sharding, topk, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -209,3 +209,25 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
   sha256(coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (NOT gone), '')) AS kept_sha256
 FROM marked GROUP BY doc_id
 """
+
+
+@query
+def op13_lexical_search(spark: SparkSession, folder: str) -> DataFrame:
+    """The ten documents that score highest for every benchmark item."""
+    return lexical.rank(table(spark, folder, "documents"), table(spark, folder, "benchmark"), k=10)
+
+
+_LEXICAL_TERMS = "regexp_extract_all(translate({text}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')"
+ORACLES["op13_lexical_search"] = f"""
+WITH d AS (SELECT doc_id, {_LEXICAL_TERMS.format(text="text")} AS ts FROM documents),
+s AS (SELECT doc_id, ts, len(ts)::BIGINT AS n FROM d WHERE len(ts) > 0),
+a AS (SELECT count(*)::BIGINT AS docs, sum(n)::BIGINT AS total FROM s),
+q AS (SELECT DISTINCT item_id, unnest({_LEXICAL_TERMS.format(text="text")}) AS term FROM benchmark),
+t AS (SELECT doc_id, term, count(*)::BIGINT AS tf FROM (SELECT doc_id, unnest(ts) AS term FROM s) x WHERE term IN (SELECT term FROM q) GROUP BY doc_id, term),
+w AS (SELECT term, floor(1000 * ln((2 * (SELECT docs FROM a) + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM t GROUP BY term),
+m AS (SELECT doc_id, 100 - 90 + (90 * n * (SELECT docs FROM a)) // (SELECT total FROM a) AS m FROM s),
+scores AS (SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score
+  FROM q JOIN t USING (term) JOIN w USING (term) JOIN m USING (doc_id) GROUP BY item_id, doc_id),
+ranked AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank, doc_id, score FROM scores WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 10
+"""
