@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallydesk.llm import bpe, decontamination, html, langid, lexical, licenses, linededup, neardup, quality, sampling, sharding, topk, toxicity
+from tallydesk.llm import alignment, bpe, decontamination, html, langid, lexical, licenses, linededup, neardup, quality, sampling, sharding, topk, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -231,3 +231,12 @@ scores AS (SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8
 ranked AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank, doc_id, score FROM scores WHERE score > 0)
 SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 10
 """
+
+
+@query
+def op11_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    """How the tokens of two vocabularies align in every document."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    with open(public_tokenizers.path("piece_bpe_32k.model"), "rb") as file:
+        model = file.read()
+    return alignment.align(docs, tokenizer_definition("byte_bpe_50k.json"), model).select("doc_id", *alignment.MEASURES)

@@ -1,0 +1,135 @@
+"""Alignments word by word and by distinct text against whole texts, one by one."""
+
+import hashlib
+from collections import Counter, defaultdict
+
+import public_tokenizers
+import pytest
+import sentencepiece
+from tokenizers import Tokenizer
+
+from conftest import SMALL
+from tallydesk.llm import alignment
+
+with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as file:
+    DEFINITION = file.read()
+with open(public_tokenizers.path("piece_bpe_32k.model"), "rb") as file:
+    MODEL = file.read()
+
+
+class Plain:
+    """Whole texts, by the libraries alone."""
+
+    def __init__(self):
+        self.a = Tokenizer.from_str(DEFINITION)
+        self.a.encode_special_tokens = True
+        self.b = sentencepiece.SentencePieceProcessor(model_proto=MODEL)
+        # The public rule of byte-level vocabularies.
+        kept = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b]
+        self.letters = {chr(b): b for b in kept}
+        for b in range(256):
+            if b not in kept:
+                self.letters[chr(256 + len(self.letters) - len(kept))] = b
+
+    def tokens(self, text):
+        """[(id, end)] of both, or nothing."""
+        if not text:
+            return [], []
+        a = self.a.encode(" " + text, add_special_tokens=False).ids
+        b = self.b.encode(text)
+        a_bytes = [bytes(self.letters[c] for c in self.a.id_to_token(n)) for n in a]
+        b_bytes = [bytes([int(self.b.id_to_piece(n)[3:5], 16)]) if self.b.is_byte(n) else self.b.id_to_piece(n).replace("▁", " ").encode() for n in b]
+        if b"".join(a_bytes) != (" " + text).encode() or b"".join(b_bytes) != (" " + text).encode():
+            return [], []
+
+        def ends(numbers, parts):
+            end, out = 0, []
+            for number, part in zip(numbers, parts):
+                end += len(part)
+                out.append((number, end))
+            return out
+
+        return ends(a, a_bytes), ends(b, b_bytes)
+
+
+def brute(texts):
+    plain, found = Plain(), []
+    counts = Counter()
+    for text in texts:
+        a, b = plain.tokens(text)
+        links = [(x, y) for y, y_end in b for x in [n for n, end in a if end == y_end]] if len(b) < 3000 else None
+        if links is None:
+            at = defaultdict(list)
+            for n, end in a:
+                at[end].append(n)
+            links = [(x, y) for y, end in b for x in at[end]]
+        cuts = sorted({end for _, end in a} & {end for _, end in b})
+        groups, last = [], 0
+        at_a, at_b = defaultdict(list), defaultdict(list)
+        place = 0
+        for into, tokens in ((at_a, a), (at_b, b)):
+            place = 0
+            for n, end in tokens:
+                into[cuts[place]].append(str(n))
+                if end == cuts[place]:
+                    place += 1
+        groups = [f"{','.join(at_a[cut])}|{','.join(at_b[cut])}" for cut in cuts]
+        counts.update(links)
+        found.append((len(a), len(b), len(cuts), links, hashlib.sha256(";".join(groups).encode()).hexdigest() if a else ""))
+    highest = Counter()
+    for (_, y), n in counts.items():
+        highest[y] = max(highest[y], n)
+    return [
+        (a, b, g, len(links), sum(counts[p] == highest[p[1]] for p in links), sum(counts[p] for p in links), digest)
+        for a, b, g, links, digest in found
+    ]
+
+
+def aligned(spark, texts, **options):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = alignment.align(docs, DEFINITION, MODEL, **options).select("doc_id", *alignment.MEASURES).collect()
+    return [tuple(row)[1:] for row in sorted(rows)]
+
+
+ODD = [
+    "a b", " a", "a ", "a  b", "  ", " ", "\n", "a\nb c", "a \n b", "\ta b", "it's we'll don't 's", "<s>x</s><unk> <|endoftext|> y",
+    "a▁b c", "▁", "x ▁", "café naïve é", " a  b", "　", "日本語 の", "\U0001f600 \U0001f468‍\U0001f469", "\x00 a\x1cb \x1f c", "<0x41> <0x0A>",
+    "ﬁx ﻿y", "1 234,5 6.7", "a b   c", "᠎ a", "A" * 300, "..." * 50 + " !?", "", None, "a b", "a b",
+]
+
+
+@pytest.mark.parametrize("slice_pairs", [alignment.SLICE_PAIRS, 20])
+def test_same_as_whole_texts_one_by_one(spark, slice_pairs):
+    assert aligned(spark, ODD, slice_pairs=slice_pairs) == brute(ODD)
+
+
+def test_the_query_on_the_smallest_tables(spark):
+    from tallydesk.llm import queries
+
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text").orderBy("doc_id").collect()
+    got = {row["doc_id"]: row for row in queries.QUERIES["op11_alignment"](spark, SMALL).collect()}
+    assert list(got[docs[0]["doc_id"]].asDict()) == ["doc_id", *alignment.MEASURES]
+    assert [tuple(got[d["doc_id"]])[1:] for d in docs] == brute([d["text"] for d in docs])
+
+
+def test_words_are_aligned_once_and_long_ones_are_not_kept():
+    aligner = alignment.Aligner(DEFINITION, MODEL)
+    aligner.learn([["one", "two", "x" * 5000]])
+    assert set(aligner.known) == {"one", "two"}
+
+
+def test_very_long_texts(spark):
+    texts = ["word and " * 60_000, "z" * 200_000, "word and"]
+    assert aligned(spark, texts) == brute(texts)
+
+
+def test_no_rows_and_no_texts(spark):
+    assert aligned(spark, []) == []
+    assert aligned(spark, [None, ""]) == [(0, 0, 0, 0, 0, 0, "")] * 2
+
+
+def test_clashing_names_and_repeated_rows(spark):
+    docs = spark.createDataFrame([(1, "a b", "k", 1, 2.5)] * 3, "doc_id long, text string, KEY string, N_A int, `x.y` double")
+    found = alignment.align(docs, DEFINITION, MODEL)
+    assert found.columns == ["doc_id", "text", "KEY", "x.y", *alignment.MEASURES]
+    assert {tuple(row)[:6] for row in found.collect()} == {(1, "a b", "k", 2.5, 2, 2)} and found.count() == 3
