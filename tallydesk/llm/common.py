@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Sequence
 
-from pyspark.sql import Column, DataFrame
+import public_tokenizers
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallydesk.plans.checkpoints import parquet_checkpoint
@@ -13,6 +14,29 @@ from tallydesk.plans.checkpoints import parquet_checkpoint
 staged = parquet_checkpoint
 
 
+TOKENIZER = "word_bpe_49k.json"
+
+
+def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{folder}/{name}.parquet")
+
+
+def tokenizer_definition(name: str = TOKENIZER) -> str:
+    with open(public_tokenizers.path(name), encoding="utf-8") as file:
+        return file.read()
+
+
+def plain_columns(docs: DataFrame, text: str, keep: Sequence[str] | None, added: Iterable[str]) -> tuple[DataFrame, list[str]]:
+    """The columns to keep as c0, c1, ... with the text as the last one, and the names they had.
+
+    Functions over Arrow batches look columns up by name, which dots and names that differ in case
+    only would break. Columns that are called like ``added``, in any case, are left out.
+    """
+    replaced = {name.lower() for name in added}
+    names = [name for name in docs.columns if (keep is None or name in keep) and name.lower() not in replaced]
+    return docs.select(*[col(name).alias(f"c{n}") for n, name in enumerate(names)], col(text).alias("text")), names
+
+
 def fresh(taken: Iterable[str], name: str) -> str:
     """A column name like ``name`` that no column has, whatever its case."""
     used = {column.lower() for column in taken}

@@ -10,7 +10,6 @@ learn from; the weights are fitted on a bounded sample of them.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -20,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallydesk.llm.common import col
+from tallydesk.llm.common import col, plain_columns
 from tallydesk.llm.sampling import class_counts, sampled
 
 UNDETERMINED = "und"
@@ -28,11 +27,13 @@ UNDETERMINED = "und"
 
 @dataclass(frozen=True)
 class NgramSettings:
-    """N-grams of 1 to ``longest`` characters in 2^``bits`` buckets; ``per_language`` bounds the sample."""
+    """N-grams of 1 to ``longest`` characters in 2^``bits`` buckets; the sample has about
+    ``per_language`` texts of each language, none longer than ``longest_bytes``."""
 
     longest: int = 3
     bits: int = 15
     per_language: int = 1_500
+    longest_bytes: int = 1 << 20
     epochs: int = 2
     alpha: float = 1.0
     beta: float = 1.0
@@ -52,7 +53,11 @@ class LanguageModel:
 
 _CHARS_AT_ONCE = 1 << 20
 _FACTORS = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F, 0x165667B1], np.uint32)
-_LETTER = re.compile(r"[^\W\d_]")
+
+
+def has_letter(text: str) -> bool:
+    """Of the Unicode categories of letters; signs for numbers are none."""
+    return any(map(str.isalpha, text))
 
 
 def ngram_counts(text: str, settings: NgramSettings) -> np.ndarray:
@@ -122,7 +127,7 @@ def _ftrl(examples: list[tuple], classes: int, settings: NgramSettings) -> tuple
     for _ in range(settings.epochs):
         for at in order.permutation(len(examples)):
             buckets, values, label = examples[at]
-            rows, x = np.append(buckets, size - 1), np.append(values, 1.0)
+            rows, x = np.append(buckets, size - 1), np.append(values.astype(float), 1.0)
             w = weights(rows)
             error = _softmax(x @ w)
             error[label] -= 1
@@ -153,8 +158,10 @@ def fit(rows: DataFrame, label: str = "lang", text: str = "text", settings: Ngra
     languages = tuple(sorted(counts))
     total, frequency = document_frequencies(usable, text, settings)
     idf = np.log((1 + total) / (1 + frequency)) + 1
-    sample = [pair for pair in sampled(usable, label, text, settings.per_language, counts) if _LETTER.search(pair[0])]
-    examples = [(*_features(ngram_counts(value, settings), idf), languages.index(name)) for value, name in sample]
+    sample = sampled(usable, label, text, settings.per_language, counts, settings.longest_bytes)
+    found = ((_features(ngram_counts(value, settings), idf), languages.index(name)) for value, name in sample if has_letter(value))
+    examples = [(buckets.astype(np.int32), values.astype(np.float32), number) for (buckets, values), number in found]
+    del sample
     if not examples:
         return LanguageModel((), idf, np.zeros((len(idf), 0)), np.zeros(0), 1.0, settings)
     apart, kept = examples[4::5], [e for n, e in enumerate(examples) if n % 5 != 4]
@@ -165,8 +172,11 @@ def fit(rows: DataFrame, label: str = "lang", text: str = "text", settings: Ngra
 
 
 def classify(model: LanguageModel, text: str | None) -> tuple[str, float]:
-    """The language of a whole text and its probability; undetermined (0) without text, letter or model."""
-    if text is None or not model.languages or not _LETTER.search(text):
+    """The language of a whole text and its probability; undetermined (0) without text, letter or model.
+
+    Of languages that are equally probable the first by name is told.
+    """
+    if text is None or not model.languages or not has_letter(text):
         return UNDETERMINED, 0.0
     buckets, values = _features(ngram_counts(text, model.settings), model.idf)
     shares = _softmax((values @ model.weights[buckets] + model.bias) / model.temperature)
@@ -177,21 +187,17 @@ def classify(model: LanguageModel, text: str | None) -> tuple[str, float]:
 def predict(docs: DataFrame, model: LanguageModel, text: str = "text", keep: Sequence[str] | None = None) -> DataFrame:
     """The rows (of the columns ``keep``, else all) with ``lang_pred`` and ``score``.
 
-    Only the text is looked at. Columns called like the new ones are replaced.
+    Only the text is looked at; rows that repeat get the same. Columns called like the new ones, in
+    any case, are replaced.
     """
-    kept = [c for c in (docs.columns if keep is None else keep) if c not in ("lang_pred", "score")]
-    own = [c for c in kept if c != text]
-    order = [*own, text]
-    slim = docs.select(*[col(c) for c in order])
-    fields = [slim.schema[c] for c in kept]
-    schema = T.StructType([*fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    slim, names = plain_columns(docs, text, keep, ("lang_pred", "score"))
+    schema = T.StructType([*slim.schema.fields[:-1], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
     def label_batches(batches):
         for batch in batches:
-            found = [classify(model, value) for value in batch.column(len(order) - 1).to_pylist()]
-            columns = [batch.column(order.index(c)) for c in kept]
-            names = pa.array([name for name, _ in found], pa.string())
+            found = [classify(model, value) for value in batch.column(len(names)).to_pylist()]
+            languages = pa.array([name for name, _ in found], pa.string())
             scores = pa.array([score for _, score in found], pa.float64())
-            yield pa.RecordBatch.from_arrays([*columns, names, scores], names=schema.names)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], languages, scores], names=schema.names)
 
-    return slim.mapInArrow(label_batches, schema)
+    return slim.mapInArrow(label_batches, schema).toDF(*names, "lang_pred", "score")

@@ -19,16 +19,18 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from tallydesk.llm.common import col
+from tallydesk.llm.common import col, plain_columns
 from tallydesk.llm.sampling import class_counts, labelled_sample
 
 
 @dataclass(frozen=True)
 class OrdinalSettings:
-    """2^``bits`` buckets; ``per_grade`` bounds the sample; ``least_grade`` starts the tail that is selected."""
+    """2^``bits`` buckets; the sample has about ``per_grade`` texts of each grade, none longer than
+    ``longest_bytes``; ``least_grade`` starts the tail that is selected."""
 
     bits: int = 16
     per_grade: int = 2_000
+    longest_bytes: int = 1 << 20
     steps: int = 200
     rate: float = 0.1
     ridge: float = 1e-4
@@ -142,7 +144,7 @@ def fit(
     counts = class_counts(usable, grade)
     highest = max(counts, default=0)
     known = _Buckets(settings.bits)
-    sample = labelled_sample(docs, usable, grade, text, id_column, settings.per_grade, counts)
+    sample = labelled_sample(docs, usable, grade, text, id_column, settings.per_grade, counts, settings.longest_bytes)
     examples = [(*known.features(value), number) for value, number in sample if _TOKEN.search(value)]
     if len({number for _, _, number in examples}) < 2:
         return OrdinalModel(np.zeros(1 << settings.bits, np.float32), np.full(highest, -35.0), settings)
@@ -155,20 +157,19 @@ def rate(docs: DataFrame, model: OrdinalModel, text: str = "text", keep: Sequenc
     """The rows (of the columns ``keep``, else all) with ``expected_grade``, ``tail_probability`` and ``kept``.
 
     ``tail_probability`` is that of ``least_grade`` and better. A text without tokens, a null one
-    too, has grade 0 and is not kept. Columns called like the new ones are replaced.
+    too, has grade 0 and is not kept; rows that repeat are rated alike. Columns called like the new
+    ones, in any case, are replaced.
     """
     new = ("expected_grade", "tail_probability", "kept")
-    kept = [c for c in (docs.columns if keep is None else keep) if c not in new]
-    order = [*[c for c in kept if c != text], text]
-    slim = docs.select(*[col(c) for c in order])
-    schema = T.StructType([*[slim.schema[c] for c in kept], T.StructField(new[0], T.DoubleType()), T.StructField(new[1], T.DoubleType()), T.StructField(new[2], T.BooleanType())])
+    slim, names = plain_columns(docs, text, keep, new)
+    schema = T.StructType([*slim.schema.fields[:-1], T.StructField(new[0], T.DoubleType()), T.StructField(new[1], T.DoubleType()), T.StructField(new[2], T.BooleanType())])
     settings = model.settings
 
     def rate_batches(batches):
         known = _Buckets(settings.bits)
         for batch in batches:
             expected, tail = np.zeros(batch.num_rows), np.zeros(batch.num_rows)
-            for n, value in enumerate(batch.column(len(order) - 1).to_pylist()):
+            for n, value in enumerate(batch.column(len(names)).to_pylist()):
                 if value and _TOKEN.search(value):
                     buckets, values = known.features(value)
                     tails = _logistic(float(values @ model.weights[buckets]) - model.thresholds)
@@ -176,8 +177,8 @@ def rate(docs: DataFrame, model: OrdinalModel, text: str = "text", keep: Sequenc
                     wanted = settings.least_grade
                     tail[n] = 1.0 if wanted <= 0 else tails[wanted - 1] if wanted <= len(tails) else 0.0
             yield pa.RecordBatch.from_arrays(
-                [*[batch.column(order.index(c)) for c in kept], pa.array(expected), pa.array(tail), pa.array(tail >= settings.least_probability)],
+                [*batch.columns[:-1], pa.array(expected), pa.array(tail), pa.array(tail >= settings.least_probability)],
                 names=schema.names,
             )
 
-    return slim.mapInArrow(rate_batches, schema)
+    return slim.mapInArrow(rate_batches, schema).toDF(*names, *new)

@@ -9,29 +9,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallydesk.llm import alignment, bpe, decontamination, html, langid, lexical, licenses, linededup, neardup, quality, sampling, sharding, topk, toxicity
+from tallydesk.llm.common import table, tokenizer_definition
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
-TOKENIZER = "word_bpe_49k.json"
-
-
 def query(function: Query) -> Query:
     QUERIES[function.__name__] = function
     return function
 
 
-def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
-
-
-def tokenizer_definition(name: str = TOKENIZER) -> str:
-    with open(public_tokenizers.path(name), encoding="utf-8") as file:
-        return file.read()
-
-
 @query
 def op1_bpe(spark: SparkSession, folder: str) -> DataFrame:
     """Digests of the ids of every text and of what they decode to."""

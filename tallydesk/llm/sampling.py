@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from tallydesk.llm.common import col, row_key
 
-_GRAINS = 1_000_000
+# So fine that the share of any table's rows is met.
+_GRAINS = 1 << 40
 
 
 def fold_of(id_column: str, folds: int) -> Column:
@@ -25,27 +26,30 @@ def class_counts(rows: DataFrame, label: str) -> dict:
 
 
 def _share(label: str, per_class: int, counts: dict) -> Column:
-    """The grains of a million to draw of each label, so that about ``per_class`` rows come."""
+    """The grains to draw of each label, so that about ``per_class`` rows come."""
     shares = [F.when(col(label) == F.lit(name), F.lit(min(_GRAINS, -(-_GRAINS * per_class // n)))) for name, n in counts.items()]
     return reduce(lambda a, b: F.coalesce(a, b), shares)
 
 
-def sampled(rows: DataFrame, label: str, text: str, per_class: int, counts: dict) -> list[tuple]:
+def sampled(rows: DataFrame, label: str, text: str, per_class: int, counts: dict, longest_bytes: int) -> list[tuple]:
     """(text, label) of about ``per_class`` rows of each label, drawn by a hash of the row's values.
 
     All rows of a label with fewer. Rows that repeat in all columns count once; null texts and
-    labels are left out.
+    labels and texts of more than ``longest_bytes`` are left out, so that the driver holds
+    ``per_class`` times ``longest_bytes`` of a label at most.
     """
     if not counts:
         return []
     plain = [c for c, kind in rows.dtypes if kind in ("bigint", "int", "string")]
     key = row_key(*plain)
-    drawn = rows.filter(col(text).isNotNull() & (F.pmod(key, F.lit(_GRAINS)) < _share(label, per_class, counts)))
+    drawn = rows.filter((F.octet_length(col(text)) <= longest_bytes) & (F.pmod(key, F.lit(_GRAINS)) < _share(label, per_class, counts)))
     once = drawn.select(key.alias("key"), col(text).alias("text"), col(label).alias("label")).groupBy("key", "label")
     return _in_order(once.agg(F.max("text").alias("text")))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, text: str, id_column: str, per_class: int, counts: dict) -> list[tuple]:
+def labelled_sample(
+    docs: DataFrame, labels: DataFrame, label: str, text: str, id_column: str, per_class: int, counts: dict, longest_bytes: int
+) -> list[tuple]:
     """The same where labels are a table of their own.
 
     The draw is made on the labels, so that what is broadcast to the documents is bounded by
@@ -55,7 +59,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, text: str, i
         return []
     drawn = labels.filter(F.pmod(row_key(id_column, label), F.lit(_GRAINS)) < _share(label, per_class, counts))
     drawn = drawn.select(col(id_column).alias("id"), col(label).alias("label")).distinct()
-    texts = docs.select(col(id_column).alias("id"), col(text).alias("text")).filter("text IS NOT NULL")
+    texts = docs.select(col(id_column).alias("id"), col(text).alias("text")).filter(F.octet_length("text") <= longest_bytes)
     return _in_order(texts.join(F.broadcast(drawn), "id").groupBy("id", "label").agg(F.max("text").alias("text")))
 
 

@@ -19,13 +19,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from tallydesk.llm.common import col
+from tallydesk.llm.common import col, plain_columns
 from tallydesk.llm.sampling import class_counts, labelled_sample
 
 
 @dataclass(frozen=True)
 class NetworkSettings:
-    """Sizes of the network, the windows (in words) and the sample; ``per_label`` bounds the sample."""
+    """Sizes of the network, the windows (in words) and the sample: about ``per_label`` texts of each
+    label, none longer than ``longest_bytes``."""
 
     word_bits: int = 13
     char_bits: int = 12
@@ -36,6 +37,7 @@ class NetworkSettings:
     window: int = 48
     stride: int = 36
     per_label: int = 2_500
+    longest_bytes: int = 1 << 20
     epochs: int = 8
     batch: int = 128
     rate: float = 0.01
@@ -202,15 +204,70 @@ def _gradients(weights: dict, given: tuple, vectors: np.ndarray, rows: np.ndarra
     return found
 
 
-def _rows_of(windows: Sequence[Sequence[str]], settings: NetworkSettings) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """The distinct words of some windows, the windows as rows of them, and which places are filled."""
-    place: dict[str, int] = {}
-    rows = np.zeros((len(windows), settings.window), np.int64)
-    mask = np.zeros((len(windows), settings.window), np.float32)
-    for n, window in enumerate(windows):
-        rows[n, : len(window)] = [place.setdefault(word, len(place)) for word in window]
-        mask[n, : len(window)] = 1
-    return list(place), rows, mask
+def _rows_of(windows: Sequence[tuple[np.ndarray, int]], settings: NetworkSettings) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct words of some windows (a text and a start each), the windows as rows of them, and which places are filled."""
+    places = np.stack([_places(np.array([start]), len(text), settings)[0] for text, start in windows])
+    words = np.stack([np.where(at >= 0, text[at], text[0]) for (text, _), at in zip(windows, places, strict=True)])
+    numbers, rows = np.unique(words, return_inverse=True)
+    return numbers, rows.reshape(words.shape), (places >= 0).astype(np.float32)
+
+
+class CodedTexts:
+    """Texts as numbers of their words, with the inputs of every distinct word: some bytes a word, no strings."""
+
+    def __init__(self, texts: Iterable[Sequence[str]], settings: NetworkSettings):
+        place: dict[str, int] = {}
+        self.texts = [np.array([place.setdefault(word, len(place)) for word in words], np.int32) for words in texts]
+        names = list(place)
+        parts = [_inputs(names[n : n + 10_000], settings) for n in range(0, len(names), 10_000)]
+        nothing = [np.zeros(0, np.int64)]
+        self.buckets, self.trigrams, sizes = (np.concatenate([p[n].astype(np.int32) for p in parts] or nothing) for n in range(3))
+        self.ends = np.concatenate(([0], np.cumsum(sizes, dtype=np.int64)))
+
+    def inputs(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """As ``_inputs``, of the words with these numbers."""
+        sizes = self.ends[numbers + 1] - self.ends[numbers]
+        ends = np.cumsum(sizes)
+        at = np.repeat(self.ends[numbers] - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)
+        return self.buckets[numbers].astype(np.int64), self.trigrams[at].astype(np.int64), sizes
+
+    def window_logits(self, weights: dict, texts: Sequence[np.ndarray], settings: NetworkSettings) -> list[np.ndarray]:
+        numbers = np.unique(np.concatenate(texts))
+        vectors = _word_vectors(weights, *self.inputs(numbers))
+        inputs = {way: vectors @ weights["in_" + way] + weights["bias_" + way] for way in ("f", "b")}
+        return _window_logits(weights, inputs, [np.searchsorted(numbers, text) for text in texts], settings)
+
+
+def _logits(weights: dict, inputs: dict, rows: np.ndarray, mask: np.ndarray) -> np.ndarray:
+    states = [_read(inputs[way], rows, mask, weights["rec_" + way], way == "b", None) for way in ("f", "b")]
+    both = np.concatenate(states, axis=2)
+    focus = np.where(mask > 0, np.tanh(both @ weights["attend"]) @ weights["focus"], -1e9)
+    share = np.exp(focus - focus.max(axis=1, keepdims=True))
+    share /= share.sum(axis=1, keepdims=True)
+    return np.einsum("wt,wts->ws", share, both) @ weights["out"] + weights["out_bias"]
+
+
+def _places(starts: np.ndarray, size: int, settings: NetworkSettings) -> np.ndarray:
+    """Places of the words of some windows over ``size`` words; -1 where a window has no word."""
+    places = starts[:, None] + np.arange(settings.window)
+    return np.where(places < size, places, -1)
+
+
+def _window_logits(weights: dict, inputs: dict, texts: Sequence[np.ndarray], settings: NetworkSettings) -> list[np.ndarray]:
+    """The logits of all windows of each text, given as rows of ``inputs``."""
+    counts, parts = [], []
+    for at in texts:
+        starts = window_starts(len(at), settings)
+        counts.append(len(starts))
+        if starts:
+            places = _places(np.array(starts), len(at), settings)
+            parts.append(np.where(places >= 0, at[places], -1))
+    rows = np.concatenate(parts) if parts else np.zeros((0, settings.window), np.int64)
+    logits = [np.zeros(0, np.float32)]
+    for start in range(0, len(rows), 4096):
+        part = rows[start : start + 4096]
+        logits.append(_logits(weights, inputs, np.maximum(part, 0), (part >= 0).astype(np.float32)))
+    return np.split(np.concatenate(logits), np.cumsum(counts)[:-1]) if counts else []
 
 
 class Scorer:
@@ -237,60 +294,37 @@ class Scorer:
             self._remember(unknown)
         inputs = {way: np.concatenate([p[way] for p in self.projected]) for way in ("f", "b")} if self.projected else {}
         self.projected = [inputs] if inputs else []
-        counts, parts = [], []
-        for words in texts:
-            at = np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))
-            starts = window_starts(len(words), settings)
-            counts.append(len(starts))
-            if starts:
-                places = np.array(starts)[:, None] + np.arange(settings.window)
-                parts.append(np.where(places < len(words), at[np.minimum(places, len(words) - 1)], -1))
-        rows = np.concatenate(parts) if parts else np.zeros((0, settings.window), np.int64)
-        logits = [np.zeros(0, np.float32)]
-        for start in range(0, len(rows), 4096):
-            part = rows[start : start + 4096]
-            logits.append(self._logits(weights, inputs, np.maximum(part, 0), (part >= 0).astype(np.float32)))
-        return np.split(np.concatenate(logits), np.cumsum(counts)[:-1]) if counts else []
+        return _window_logits(weights, inputs, [np.fromiter(map(self.place.__getitem__, words), np.int64, len(words)) for words in texts], settings)
 
     def worst_windows(self, texts: Iterable[str | None]) -> list[tuple[float | None, int]]:
         """Of each text the highest logit over all its windows (None without words) and their number."""
         found = self.window_logits([words_of(text) for text in texts])
         return [(float(logits.max()) if len(logits) else None, len(logits)) for logits in found]
 
-    @staticmethod
-    def _logits(weights: dict, inputs: dict, rows: np.ndarray, mask: np.ndarray) -> np.ndarray:
-        states = [_read(inputs[way], rows, mask, weights["rec_" + way], way == "b", None) for way in ("f", "b")]
-        both = np.concatenate(states, axis=2)
-        focus = np.where(mask > 0, np.tanh(both @ weights["attend"]) @ weights["focus"], -1e9)
-        share = np.exp(focus - focus.max(axis=1, keepdims=True))
-        share /= share.sum(axis=1, keepdims=True)
-        return np.einsum("wt,wts->ws", share, both) @ weights["out"] + weights["out_bias"]
-
-
-def _train(network: Network, texts: list[list[str]], labels: np.ndarray) -> None:
+def _train(network: Network, coded: CodedTexts, kept: Sequence[int], labels: np.ndarray) -> None:
     """Windows inherit the text's label: random ones at first, later the worst one of a text and a random one."""
     settings, weights = network.settings, network.weights
+    texts = [coded.texts[n] for n in kept]
     draw = np.random.default_rng(settings.seed)
     first, second, step = {k: np.zeros_like(w) for k, w in weights.items()}, {k: np.zeros_like(w) for k, w in weights.items()}, 0
     for epoch in range(settings.epochs):
         chosen, targets, worst = [], [], None
         if epoch >= settings.epochs // 2:
-            scorer = Scorer(network)
-            worst = [int(np.argmax(x)) for n in range(0, len(texts), 256) for x in scorer.window_logits(texts[n : n + 256])]
+            worst = [int(np.argmax(x)) for n in range(0, len(texts), 64) for x in coded.window_logits(weights, texts[n : n + 64], settings)]
         for n, (words, label) in enumerate(zip(texts, labels, strict=True)):
             starts = window_starts(len(words), settings)
             if worst is None:
                 picked = {int(s) for s in draw.choice(starts, min(3, len(starts)), replace=False)}
             else:
                 picked = {starts[worst[n]]} if label else {starts[worst[n]], int(draw.choice(starts))}
-            chosen += [words[s : s + settings.window] for s in sorted(picked)]
+            chosen += [(n, start) for start in sorted(picked)]
             targets += [label] * len(picked)
         order = draw.permutation(len(chosen))
         for start in range(0, len(order), settings.batch):
             part = order[start : start + settings.batch]
-            names, rows, mask = _rows_of([chosen[n] for n in part], settings)
-            given = _inputs(names, settings)
-            heard = (draw.random(len(names)) >= settings.word_dropout).astype(np.float32)
+            numbers, rows, mask = _rows_of([(texts[n], at) for n, at in (chosen[x] for x in part)], settings)
+            given = coded.inputs(numbers)
+            heard = (draw.random(len(numbers)) >= settings.word_dropout).astype(np.float32)
             vectors = _word_vectors(weights, *given, heard)
             found = _gradients(weights, given, vectors, rows, mask, np.array([targets[n] for n in part], np.float32), heard)
             step += 1
@@ -330,20 +364,22 @@ def fit(
     counts = class_counts(usable, label)
     network = _new_network(settings)
     network.base_rate = counts.get(1, 0) / max(1, sum(counts.values()))
-    sample = [(words_of(value), name) for value, name in labelled_sample(docs, usable, label, text, id_column, settings.per_label, counts)]
-    sample = [(words, name) for words, name in sample if words]
-    kept = [pair for n, pair in enumerate(sample) if n % 5 != 4]
-    apart = [pair for n, pair in enumerate(sample) if n % 5 == 4]
-    if {name for _, name in kept} != {0, 1}:
+    sample = labelled_sample(docs, usable, label, text, id_column, settings.per_label, counts, settings.longest_bytes)
+    sample = [(value, name) for value, name in sample if _WORD.search(value)]
+    names = np.array([name for _, name in sample], np.float32)
+    coded = CodedTexts((words_of(value) for value, _ in sample), settings)
+    del sample  # its strings are many times the size of the numbers
+    kept, apart = [n for n in range(len(names)) if n % 5 != 4], [n for n in range(len(names)) if n % 5 == 4]
+    if set(names[kept].tolist()) != {0, 1}:
         return network
-    _train(network, [words for words, _ in kept], np.array([name for _, name in kept], np.float32))
+    _train(network, coded, kept, names[kept])
     network.fitted = True
-    if {name for _, name in apart} == {0, 1}:
-        scored = Scorer(network).worst_windows(" ".join(words) for words, _ in apart)
-        labels = np.array([name for _, name in apart], float)
+    labels = names[apart].astype(float)
+    if set(labels.tolist()) == {0, 1}:
+        scored = [x for n in range(0, len(apart), 64) for x in coded.window_logits(network.weights, [coded.texts[m] for m in apart[n : n + 64]], settings)]
         drawn = {name: max(1, int((labels == name).sum())) for name in (0, 1)}
         shares = np.array([counts[int(n)] / drawn[int(n)] for n in labels]) / sum(counts.values()) * len(labels)
-        network.calibration = _calibrated(np.array([w for w, _ in scored]), np.array([n for _, n in scored], float), labels, shares)
+        network.calibration = _calibrated(np.array([x.max() for x in scored], float), np.array([len(x) for x in scored], float), labels, shares)
     return network
 
 
@@ -351,12 +387,11 @@ def score(docs: DataFrame, network: Network, text: str = "text", keep: Sequence[
     """The rows (of the columns ``keep``, else all) with ``score`` and ``predicted``.
 
     Only the text is looked at, all of it. A text without words, null ones too, scores the share of
-    toxic texts. Columns called like the new ones are replaced.
+    toxic texts; rows that repeat score alike. Columns called like the new ones, in any case, are
+    replaced.
     """
-    kept = [c for c in (docs.columns if keep is None else keep) if c not in ("score", "predicted")]
-    order = [*[c for c in kept if c != text], text]
-    slim = docs.select(*[col(c) for c in order])
-    schema = T.StructType([*[slim.schema[c] for c in kept], T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
+    slim, names = plain_columns(docs, text, keep, ("score", "predicted"))
+    schema = T.StructType([*slim.schema.fields[:-1], T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
 
     def score_batches(batches):
         scorer = Scorer(network)
@@ -365,15 +400,15 @@ def score(docs: DataFrame, network: Network, text: str = "text", keep: Sequence[
             for start in range(0, batch.num_rows, 256):
                 part = batch.slice(start, 256)
                 if known.fitted:
-                    worst = scorer.worst_windows(part.column(len(order) - 1).to_pylist())
+                    worst = scorer.worst_windows(part.column(len(names)).to_pylist())
                     x = np.array([(w, np.log(n), 1.0) if n else (np.nan,) * 3 for w, n in worst])
                     scores = _sigmoid(x @ known.calibration)
                     scores = np.where(np.isnan(scores), known.base_rate, scores)
                 else:
                     scores = np.full(part.num_rows, known.base_rate)
                 yield pa.RecordBatch.from_arrays(
-                    [*[part.column(order.index(c)) for c in kept], pa.array(scores), pa.array((scores >= known.settings.threshold).astype(np.int32))],
+                    [*part.columns[:-1], pa.array(scores), pa.array((scores >= known.settings.threshold).astype(np.int32))],
                     names=schema.names,
                 )
 
-    return slim.mapInArrow(score_batches, schema)
+    return slim.mapInArrow(score_batches, schema).toDF(*names, "score", "predicted")

@@ -91,8 +91,9 @@ def test_gradients_are_those_of_small_changes():
     settings = toxicity.NetworkSettings(word_bits=4, char_bits=4, window=6)
     network = toxicity._new_network(settings)
     weights = network.weights = {name: w.astype(np.float64) for name, w in network.weights.items()}
-    names, rows, mask = toxicity._rows_of([["ab", "c", "ab", "def"], ["c"]], settings)
-    given, labels, heard = toxicity._inputs(names, settings), np.array([1.0, 0.0]), np.ones(3)
+    coded = toxicity.CodedTexts([["ab", "c", "ab", "def"], ["c"]], settings)
+    numbers, rows, mask = toxicity._rows_of([(text, 0) for text in coded.texts], settings)
+    given, labels, heard = coded.inputs(numbers), np.array([1.0, 0.0]), np.ones(3)
 
     def loss():
         logits, _ = toxicity._forward(weights, toxicity._word_vectors(weights, *given, heard), rows, mask)
@@ -157,6 +158,61 @@ def test_samples_are_bounded_and_count_repeats_once(spark):
     rows = spark.range(4000).selectExpr("id AS doc_id", "'same text' AS text", "CAST(id % 2 AS STRING) AS label")
     counts = sampling.class_counts(rows, "label")
     assert counts == {"0": 2000, "1": 2000}
-    assert 100 < len(sampling.sampled(rows, "label", "text", 100, counts)) < 320
+    assert 100 < len(sampling.sampled(rows, "label", "text", 100, counts, 1 << 20)) < 320
     same = spark.range(4000).selectExpr("1 AS doc_id", "'t' AS text", "'a' AS label")
-    assert len(sampling.sampled(same, "label", "text", 5000, {"a": 4000})) == 1
+    assert len(sampling.sampled(same, "label", "text", 5000, {"a": 4000}, 1 << 20)) == 1
+
+
+def test_the_sample_is_bounded_for_any_number_of_rows():
+    """A share is not rounded up beyond what the largest tables need."""
+    assert sampling._GRAINS >= 10**12
+
+
+def test_longer_texts_than_the_bound_teach_nothing(spark):
+    rows = spark.createDataFrame([(n, "a" * n, "x") for n in range(1, 200)], "doc_id long, text string, label string")
+    drawn = sampling.sampled(rows, "label", "text", 1_000, {"x": 199}, 50)
+    assert sorted(len(text) for text, _ in drawn) == list(range(1, 51))
+
+
+def test_signs_for_numbers_are_no_letters(spark, talk):
+    docs, _ = talk
+    model = langid.fit(docs.withColumn("lang", F.lit("aa")))
+    for text in ("½ ² 2024", "Ⅷ 10 _", "", None):
+        assert langid.classify(model, text) == ("und", 0.0)
+    assert langid.classify(model, "² ª")[0] == "aa"
+
+
+def test_equally_probable_languages_go_by_name():
+    settings = langid.NgramSettings(bits=4)
+    model = langid.LanguageModel(("aa", "bb"), np.ones(16), np.zeros((16, 2)), np.zeros(2), 1.0, settings)
+    assert langid.classify(model, "any text") == ("aa", 0.5)
+
+
+def test_dots_and_case_of_other_names(spark, talk):
+    """Columns with dots pass through; those called like a new one in another case are replaced; repeated rows agree."""
+    docs, labels = talk
+    rows = spark.createDataFrame([(1, "some text", 1, 2, 3, 4, 5)] * 2, "doc_id long, text string, `a.b` int, Score int, LANG_pred int, Kept int, PREDICTED int")
+    network, model = toxicity.fit(docs, labels), langid.fit(docs.withColumn("lang", F.lit("aa")))
+    rated = quality.fit(docs, labels.withColumn("grade", F.col("toxic")))
+    for found, names in (
+        (toxicity.score(rows, network), ["doc_id", "text", "a.b", "LANG_pred", "Kept", "score", "predicted"]),
+        (langid.predict(rows, model), ["doc_id", "text", "a.b", "Kept", "PREDICTED", "lang_pred", "score"]),
+        (quality.rate(rows, rated), ["doc_id", "text", "a.b", "Score", "LANG_pred", "PREDICTED", "expected_grade", "tail_probability", "kept"]),
+    ):
+        assert found.columns == names
+        assert len({tuple(row) for row in found.collect()}) == 1 and found.count() == 2
+        assert quality.rate(rows.limit(0), rated).count() == 0
+
+
+def test_a_very_long_text_is_scored_whole():
+    """The one bad word near its end counts; scores are those of all windows, one by one."""
+    settings = toxicity.NetworkSettings(word_bits=8, char_bits=8)
+    network = toxicity._new_network(settings)
+    words = ["fine", "words", "here"] * 40_000 + ["vile"] + ["end"] * 30
+    (logits,) = toxicity.Scorer(network).window_logits([words])
+    starts = toxicity.window_starts(len(words), settings)
+    assert len(logits) == len(starts)
+    for at in (0, len(starts) // 2, len(starts) - 1):
+        window = words[starts[at] : starts[at] + settings.window]
+        coded = toxicity.CodedTexts([window], settings)
+        assert coded.window_logits(network.weights, coded.texts, settings)[0][0] == pytest.approx(logits[at], abs=1e-5)
