@@ -157,7 +157,7 @@ def _dropped_lines(records: DataFrame, rule: LineRule) -> DataFrame:
     # Rows that repeat count once; sums are made on the map side, so that a hot hash is no hot task.
     per_document = waiting.groupBy(*order).agg(F.count(F.lit(1)).alias("n"))
     per_key = per_document.groupBy("hi", "lo").agg(F.count(F.lit(1)).alias("documents"), F.min(F.struct("id", "text_key")).alias("first"))
-    common = per_key.filter(F.col("documents") >= rule.documents).select("hi", "lo", "first")
+    common = staged(per_key.filter(F.col("documents") >= rule.documents).select("hi", "lo", "first"), "common_lines")
     late = waiting.join(common, ["hi", "lo"])
     is_first = F.struct("id", "text_key").eqNullSafe(F.col("first")) if rule.keep_first else F.lit(False)
     late = late.withColumn("spared", is_first.cast("int")).drop("first")
