@@ -42,8 +42,8 @@ def build_chunks(
     """One row per section with the registry entry of its document.
 
     ``chunk_ord``, a decimal wide enough for any 64-bit ``order_by``, orders chunks by document and
-    then by place in it, and needs no global numbering. Two documents with the same ``order_by``
-    fail, as their chunks could not be told apart.
+    then by place in it, and needs no global numbering. Two registered documents with the same
+    ``order_by``, or two texts of one document, fail, as their chunks could not be told apart.
     """
     schemas.require(documents, "doc_id", "text", frame="documents")
     schemas.require(
@@ -51,9 +51,16 @@ def build_chunks(
     )
     alone = F.count(F.lit(1)).over(Window.partitionBy("_doc_ord")) == 1
     repeated = F.raise_error(F.concat(F.lit("several documents have the place "), F.coalesce(F.col("_doc_ord").cast("string"), F.lit("null"))))
-    entries = registry.select(
-        "doc_id", "doc_type", "status", "account_id", "title", F.col(order_by).cast("bigint").alias("_doc_ord")
-    ).withColumn("_doc_ord", F.when(alone, F.col("_doc_ord")).otherwise(repeated.cast("bigint")))
+    again = F.raise_error(F.concat(F.lit("several texts are of document "), F.col("doc_id").cast("string")))
+    # Counted apart from the texts, which are not moved for it.
+    texts = documents.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_texts"))
+    entries = (
+        registry.select("doc_id", "doc_type", "status", "account_id", "title", F.col(order_by).cast("bigint").alias("_doc_ord"))
+        .withColumn("_doc_ord", F.when(alone, F.col("_doc_ord")).otherwise(repeated.cast("bigint")))
+        .join(texts, "doc_id")
+        .withColumn("_doc_ord", F.when(F.col("_texts") == 1, F.col("_doc_ord")).otherwise(again.cast("bigint")))
+        .drop("_texts")
+    )
     return (
         documents.select("doc_id", "text")
         .join(entries, "doc_id")

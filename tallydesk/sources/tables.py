@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 from dataclasses import dataclass
+from datetime import datetime
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -78,6 +81,24 @@ def read_desk(spark: SparkSession, folder: str, source_format: str = "parquet")
     )
 
 
+@contextmanager
+def held_desk(desk: Desk, level: StorageLevel = StorageLevel.MEMORY_AND_DISK) -> Iterator[Desk]:
+    """The desk for many queries: each table is read once, when it is first used, and let go at the end.
+
+    The clock is read now, so that all queries measure against the same one. Parts of a table that
+    are lost with an executor are read again from its source.
+    """
+    now = desk.snapshot_time
+    if isinstance(now, DataFrame):
+        now = now.first()[0]
+    held = Desk(desk.accounts.persist(level), desk.orders.persist(level), desk.tickets.persist(level), now)
+    try:
+        yield held
+    finally:
+        for table in (held.accounts, held.orders, held.tickets):
+            table.unpersist()
+
+
 def snapshot_clock(meta: DataFrame, key: str = rules.SNAPSHOT_KEY) -> DataFrame:
     """One row with ``snapshot_time``: the first entry under the key, read without its zone name.
 

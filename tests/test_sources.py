@@ -1,3 +1,4 @@
+import os
 from datetime import datetime
 
 import pytest
@@ -5,7 +6,7 @@ import pytest
 from conftest import tuples
 from tallydesk import schemas
 from tallydesk.functions.clock import snapshot_column
-from tallydesk.operators import insights
+from tallydesk.operators import insights, lookup
 from tallydesk.sources import documents, sinks, tables
 
 
@@ -171,3 +172,33 @@ def test_two_documents_with_one_place_fail(spark):
     registry = spark.createDataFrame([(7, name, "sop", "current", None, "T") for name in "ab"], schemas.REGISTRY)
     with pytest.raises(Exception, match="several documents have the place 7"):
         documents.build_chunks(docs, registry).collect()
+
+
+def test_two_texts_of_one_document_fail(spark):
+    docs = spark.createDataFrame([("a", "x"), ("a", "y"), ("b", "z")], "doc_id string, text string")
+    registry = spark.createDataFrame([(1, "a", "sop", "current", None, "A"), (2, "b", "sop", "current", None, "B")], schemas.REGISTRY)
+    with pytest.raises(Exception, match="several texts are of document a"):
+        documents.build_chunks(docs, registry).collect()
+    assert documents.build_chunks(docs.filter("text <> 'y'"), registry).count() == 2
+
+
+def test_a_held_desk_is_read_once(spark, tmp_path):
+    """Tables are read when they are first used and kept until the end; the clock is one value."""
+    folder = str(tmp_path / "desk")
+    spark.createDataFrame([("A", "Acme", "Growth")], schemas.ACCOUNTS).write.parquet(f"{folder}/accounts")
+    times = ", ".join(f"CAST('2026-07-14 06:00:00' AS TIMESTAMP_NTZ) AS {name}" for name in schemas.ORDER_TIMES)
+    spark.sql(f"SELECT 'O-1' AS order_id, 'A' AS account_id, 'BOOKED' AS status, {times}").write.parquet(f"{folder}/orders")
+    tickets = "'T-1' AS ticket_id, 'A' AS account_id, 'late' AS subject, 'x' AS description, 'open' AS status, 'done' AS historical_resolution"
+    clock = "CAST('2026-07-14 07:00:00' AS TIMESTAMP_NTZ)"
+    spark.sql(f"SELECT {tickets}, {clock} AS created_at, {clock} AS last_customer_message_at").write.parquet(f"{folder}/tickets")
+    spark.createDataFrame([(0, "Dataset snapshot", "2026-07-14 12:00 Asia/Kolkata")], schemas.META).write.parquet(f"{folder}/meta")
+    with tables.held_desk(tables.read_desk(spark, folder)) as desk:
+        assert str(desk.snapshot_time) == "2026-07-14 12:00:00"
+        first = [lookup.enrich_orders(desk.orders, desk.snapshot_time).collect(), insights.with_accounts(desk.tickets, desk.accounts).collect()]
+        os.rename(folder, folder + "-gone")  # what is used now was read before
+        plan = insights.with_accounts(desk.tickets, desk.accounts)._jdf.queryExecution().simpleString()
+        assert plan.count("InMemoryTableScan") >= 2
+        again = [lookup.enrich_orders(desk.orders, desk.snapshot_time).collect(), insights.with_accounts(desk.tickets, desk.accounts).collect()]
+        assert again == first and first[0][0]["minutes_since_booking"] == 360.0
+        held = desk
+    assert not held.orders.is_cached and not held.tickets.is_cached and not held.accounts.is_cached
