@@ -6,6 +6,8 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
@@ -33,6 +35,29 @@ def shared_folder(spark: SparkSession) -> str:
     return _own_folder()
 
 
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder in whatever store it lies; one that is not there is no error."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(place, True)
+
+
+# Of the scopes that are open, the paths written in each, in order.
+_scopes: list[list[str]] = []
+
+
+@contextmanager
+def passing_stages(spark: SparkSession) -> Iterator[None]:
+    """All tables checkpointed inside go at the end, but for the last one, which is the result."""
+    written: list[str] = []
+    _scopes.append(written)
+    try:
+        yield
+    finally:
+        _scopes.remove(written)
+        for path in written[:-1]:
+            remove_folder(spark, path)
+
+
 def parquet_checkpoint(df: DataFrame, name: str) -> DataFrame:
     """Write a table that is read more than once to the shared folder, and read it from there.
 
@@ -40,6 +65,8 @@ def parquet_checkpoint(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    if _scopes:
+        _scopes[-1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

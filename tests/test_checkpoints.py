@@ -1,7 +1,10 @@
+import os
 from unittest.mock import MagicMock
 
 import pytest
+from pyspark.sql import functions as F
 
+from tallydesk.plans import checkpoints
 from tallydesk.plans.checkpoints import checkpoint_stage, shared_folder
 
 
@@ -29,3 +32,15 @@ def test_a_stage_cuts_the_lineage_and_keeps_columns_apart(spark):
         spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
     )
     assert kept.count() == 6 and "Filter" not in plan and "ReadSchema: struct<twice:bigint>" in plan
+
+
+def test_tables_on_the_way_go_and_the_result_stays(spark, tmp_path):
+    first = checkpoints.parquet_checkpoint(spark.range(3), "before")
+    with checkpoints.passing_stages(spark):
+        way = checkpoints.parquet_checkpoint(first.withColumn("x", F.lit(1)), "way")
+        result = checkpoints.parquet_checkpoint(way.withColumn("y", F.lit(2)), "result")
+    gone = way.inputFiles()[0].removeprefix("file://")
+    assert result.count() == 3 and first.count() == 3 and not os.path.exists(os.path.dirname(gone))
+    with pytest.raises(ZeroDivisionError), checkpoints.passing_stages(spark):
+        1 / 0
+    assert checkpoints.parquet_checkpoint(spark.range(2), "after").count() == 2
