@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallydesk import rules
@@ -42,6 +42,29 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(rules.TOKEN), F.lit(0))
 
 
+def counted(df: DataFrame, words: str, term: str, times: str) -> DataFrame:
+    """The rows with an array of words replaced by its distinct words and how often each occurs.
+
+    Words are sorted inside the row and their runs measured, so nothing is shuffled. Arrays that
+    lambdas refer to are made by a generator, as an expression would be put into every lambda and be
+    worked out again for every element.
+    """
+    in_order = df.select(*[c for c in df.columns if c != words], F.explode(F.array(F.array_sort(words))).alias(words))
+    last = F.size(words) - 1
+    new = F.filter(
+        F.sequence(F.lit(0), F.greatest(last, F.lit(0))),
+        lambda place: (last >= 0) & ((place == 0) | (F.get(words, place) != F.get(words, place - 1))),
+    )
+    starts = in_order.select("*", F.explode(F.array(new)).alias("_starts"))
+    runs = F.transform(
+        "_starts",
+        lambda start, number: F.struct(
+            F.get(words, start).alias(term), (F.coalesce(F.get("_starts", number + 1), last + 1) - start).cast("long").alias(times)
+        ),
+    )
+    return starts.withColumn(words, runs).drop("_starts")
+
+
 def ticket_text(subject: Column, description: Column) -> Column:
     """Lower-cased subject and description; a keyword may span the blank between them."""
     return F.lower(
