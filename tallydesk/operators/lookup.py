@@ -3,9 +3,13 @@
 The account of a request comes from the session that sent it and is part of every join key, so a
 record of another account is indistinguishable from one that does not exist.
 
-A batch of requests is usually small next to the records. Then, after a check of its size, its keys
-are broadcast and sift the records where they lie, so that only records someone asks for are
-shuffled. The join proper spreads hot accounts; it is the same for small and large batches.
+The distinct keys of a batch are written to a table first, so that Spark knows how large they are:
+keys of few bytes are broadcast and sift the records where they lie, others meet them in a shuffle,
+or in place where the records are stored by account (``store_records``).
+
+An answer has two forms. In ``Answers`` every record that someone asks for stands once, however many
+ask for it, and every request has one row that says which records are its own: rows grow with
+requests plus records. ``lookup`` and its parts put the two together, a row per request and record.
 """
 
 from __future__ import annotations
@@ -19,7 +23,8 @@ from pyspark.sql import types as T
 
 from tallydesk import rules, schemas
 from tallydesk.functions.clock import iso_text, rounded_minutes_between, snapshot_column
-from tallydesk.plans.skew import DEFAULT_SPREAD, Spread, join_many, join_to_one, key_counts
+from tallydesk.plans.checkpoints import parquet_checkpoint
+from tallydesk.plans.skew import DEFAULT_SPREAD, Spread, join_many, join_to_one
 from tallydesk.sources.sinks import json_object
 from tallydesk.sources.tables import first_accounts
 
@@ -27,14 +32,29 @@ REQUEST_COLUMNS = ("request_id", "account_id", "table_name", "record_id")
 TABLES = ("account", "orders", "tickets")
 
 
+# Records of one account are stored in so many slots, by their id.
+SLOT = "_slot"
+
+
 @dataclass(frozen=True)
 class LookupLimits:
-    """Requests whose keys may be broadcast, and how hot accounts are spread."""
+    """How hot accounts are spread."""
 
-    broadcast_requests: int = 500_000
     spread: Spread = DEFAULT_SPREAD
 
 
+@dataclass(frozen=True)
+class Answers:
+    """``requests``: (request_id, account_id, table_name, record_id, is_list, n_records, error), a row per request.
+
+    ``records``: what is asked for, each record once. A list (``is_list``) is all of them with the
+    request's account; any other request is for the one with its record id too.
+    """
+
+    requests: DataFrame
+    records: DataFrame
+
+
 DEFAULT_LIMITS = LookupLimits()
 
 
@@ -92,105 +112,142 @@ def _asks_for_one() -> Column:
     return F.coalesce(F.col("record_id").cast("string"), F.lit("")) != ""
 
 
-def _is_small(requests: DataFrame, limits: LookupLimits) -> bool:
-    return requests.count() <= limits.broadcast_requests
+def _slot_of(record: Column, slots: int) -> Column:
+    return F.pmod(F.xxhash64(record.cast("string")), F.lit(slots)).cast("int")
 
 
-def lookup_account(
-    requests: DataFrame,
-    accounts: DataFrame,
-    order_by: str | None = None,
-    limits: LookupLimits = DEFAULT_LIMITS,
-) -> DataFrame:
-    """The caller's own account row, whatever record was asked for."""
-    mine = _requests_for(requests, "account")
-    return _account_answers(mine, accounts, order_by, limits, _is_small(mine, limits))
+def store_records(records: DataFrame, table: str, id_column: str, buckets: int = 256, slots: int = 16, mode: str = "error") -> DataFrame:
+    """Save orders or tickets as a table bucketed by account and slot, for lookups that do not move them.
 
-
-def _account_answers(
-    mine: DataFrame, accounts: DataFrame, order_by: str | None, limits: LookupLimits, small: bool
-) -> DataFrame:
-    if small:
-        accounts = _of_requests(accounts, mine, ["account_id"])
-    found = first_accounts(accounts, order_by).withColumn("_found", F.lit(True))
-    joined = join_to_one(mine, found, ["account_id"], ["request_id"], limits.spread)
-    error = F.when(F.col("_found").isNull(), F.lit(rules.ACCOUNT_NOT_FOUND))
-    return joined.withColumn("error", error).drop("_found")
-
-
-def _of_requests(records: DataFrame, requests: DataFrame, keys: list[str]) -> DataFrame:
-    """The records some request of a small batch asks for; they are not shuffled."""
-    return records.join(F.broadcast(requests.select(*keys).distinct()), keys, "left_semi")
-
-
-def _lookup_records(
+    The records of an account are dealt into ``slots`` by their id, so that a hot account fills many
+    buckets. Lookups of records in place need ``spark.sql.requireAllClusterKeysForCoPartition=false``,
+    as a record is found by account, slot and id.
+    """
+    stored = records.withColumn(SLOT, _slot_of(F.col(id_column), slots))
+    dealt = stored.repartition(buckets, "account_id", SLOT)
+    dealt.write.mode(mode).format("parquet").bucketBy(buckets, "account_id", SLOT).sortBy("account_id", SLOT).saveAsTable(table)
+    return records.sparkSession.table(table)
+
+
+def _slots_of(records: DataFrame, asked: DataFrame, slots: int | None) -> tuple[DataFrame, list[str]]:
+    """The asked keys with the slots that their records can lie in, where records are stored in slots."""
+    if SLOT not in records.columns:
+        return asked, []
+    if slots is None:
+        raise ValueError("say in how many slots the records are stored")
+    every = F.sequence(F.lit(0), F.lit(slots - 1))
+    own = F.when(F.col("_id").isNull(), every).otherwise(F.array(_slot_of(F.col("_id"), slots)))
+    return asked.withColumn(SLOT, F.explode(own)), [SLOT]
+
+
+def _asked_records(mine: DataFrame, records: DataFrame, id_column: str, slots: int | None) -> DataFrame:
+    """The records that some request asks for, each once: ``_id``, and whether by list (``_all``) or by id (``_one``)."""
+    asked = mine.select("account_id", "_id").distinct().filter(F.col("account_id").isNotNull())
+    asked, place = _slots_of(records, parquet_checkpoint(asked, "asked"), slots)
+    lists = asked.filter("_id IS NULL").select("account_id", *place, F.lit(True).alias("_all"))
+    ones = asked.filter("_id IS NOT NULL").select("account_id", *place, "_id", F.lit(True).alias("_one"))
+    keyed = records.withColumn("_id", F.col(id_column).cast("string"))
+    met = keyed.join(ones, ["account_id", *place, "_id"], "left").join(lists, ["account_id", *place], "left")
+    return met.filter("_all OR _one").drop(*place)
+
+
+def record_answers(
     requests: DataFrame,
+    table: str,
     records: DataFrame,
-    enrich: Callable[[DataFrame], DataFrame],
     id_column: str,
     not_found: str,
-    limits: LookupLimits,
-    small: bool,
-) -> DataFrame:
+    slots: int | None = None,
+) -> Answers:
+    """Requests for orders or tickets and the records they ask for, neither repeated for the other.
+
+    ``records`` of the answer has two more columns: ``_id``, the record's id as text, and ``_all``,
+    true where a list asks for it.
+    """
+    wanted = F.when(_asks_for_one(), F.col("record_id").cast("string"))
+    mine = _requests_for(requests, table).withColumn("_id", wanted)
+    found = parquet_checkpoint(_asked_records(mine, records, id_column, slots), "asked_records")
+    by_id = found.filter("_one").groupBy("account_id", "_id").agg(F.count(F.lit(1)).alias("_n"))
+    by_account = found.filter("_all").groupBy("account_id").agg(F.count(F.lit(1)).alias("_n"))
+    number = F.coalesce("_n", F.lit(0)).alias("n_records")
+    kept = ("request_id", "account_id", F.lit(table).alias("table_name"), "record_id")
+    one = mine.filter("_id IS NOT NULL").join(by_id, ["account_id", "_id"], "left")
+    error = F.when(F.col("_n").isNull(), F.format_string(not_found, F.col("_id")))
+    one = one.select(*kept, F.lit(False).alias("is_list"), number, error.alias("error"))
+    lists = mine.filter("_id IS NULL").join(by_account, ["account_id"], "left")
+    lists = lists.select(*kept, F.lit(True).alias("is_list"), number, F.lit(None).cast("string").alias("error"))
+    return Answers(one.unionByName(lists), found.drop("_one"))
+
+
+def account_answers(requests: DataFrame, accounts: DataFrame, order_by: str | None = None) -> Answers:
+    """Requests for the caller's account, whatever record they name, and the account rows they get."""
+    mine = _requests_for(requests, "account")
+    asked = parquet_checkpoint(mine.select("account_id").distinct(), "asked")
+    found = parquet_checkpoint(first_accounts(accounts.join(asked, "account_id", "left_semi"), order_by), "asked_accounts")
+    known = found.select("account_id", F.lit(1).cast("long").alias("_n"))
+    error = F.when(F.col("_n").isNull(), F.lit(rules.ACCOUNT_NOT_FOUND))
+    answered = mine.join(known, "account_id", "left").select(
+        "request_id",
+        "account_id",
+        F.lit("account").alias("table_name"),
+        "record_id",
+        F.lit(False).alias("is_list"),
+        F.coalesce("_n", F.lit(0)).alias("n_records"),
+        error.alias("error"),
+    )
+    return Answers(answered, found)
+
+
+def _put_together(answers: Answers, enrich: Callable[[DataFrame], DataFrame], id_column: str, limits: LookupLimits) -> DataFrame:
     """One row per request and record found.
 
     A request for one record matches on account and record id at once. Only requests for a list
     match on the account alone. A list without records gives one row that is empty but no error.
     """
-    key, owner = ["account_id", "_id"], ["account_id"]
-    wanted = F.col("record_id").cast("string")
-    one = requests.filter(_asks_for_one()).withColumn("_id", wanted)
-    lists = requests.filter(~_asks_for_one())
-    by_id = records.withColumn("_id", F.col(id_column).cast("string"))
-    by_owner = records
-    if small:
-        by_id = _of_requests(by_id, one, key)
-        by_owner = _of_requests(by_owner, lists, owner)
-
+    asked = answers.requests.drop("table_name")
+    found = enrich(answers.records.drop("_all"))
+    one = asked.filter(~F.col("is_list")).withColumn("_id", F.col("record_id").cast("string"))
     # Account and record id together are near unique: nothing to count, and adaptive execution
     # splits the requests where many ask for one record.
-    found = enrich(by_id).withColumn("_found", F.lit(True))
-    single = (
-        one.join(found, key, "left")
-        .withColumn("error", F.when(F.col("_found").isNull(), F.format_string(not_found, wanted)))
-        .drop("_found", "_id")
-    )
-    owned = key_counts(by_owner, owner)
-    listed = join_many(lists, enrich(by_owner), owner, ["request_id"], [id_column], limits.spread, owned)
-    empty = join_to_one(lists, owned, owner, ["request_id"], limits.spread).filter(F.col("_rows").isNull())
-    return single.unionByName(listed, allowMissingColumns=True).unionByName(
-        empty.drop("_rows"), allowMissingColumns=True
+    single = one.join(found, ["account_id", "_id"], "left")
+    lists = asked.filter("is_list")
+    listed = found.join(answers.records.filter("_all").select("account_id").distinct(), "account_id", "left_semi")
+    many = join_many(
+        lists.filter("n_records > 0"), listed.drop("_id"), ["account_id"], ["request_id"], [id_column], limits.spread
     )
+    empty = lists.filter("n_records = 0")
+    whole = single.drop("_id").unionByName(many).unionByName(empty, allowMissingColumns=True)
+    error = F.col("error").alias("error")
+    return whole.select(*[c for c in whole.columns if c not in ("error", "is_list", "n_records")], error)
 
 
-def lookup_orders(
-    requests: DataFrame, orders: DataFrame, snapshot, limits: LookupLimits = DEFAULT_LIMITS
+def lookup_account(
+    requests: DataFrame,
+    accounts: DataFrame,
+    order_by: str | None = None,
+    limits: LookupLimits = DEFAULT_LIMITS,
 ) -> DataFrame:
-    """The caller's order, or all of them, with derived times."""
-    mine = _requests_for(requests, "orders")
-    return _order_answers(mine, orders, snapshot, limits, _is_small(mine, limits))
-
+    """The caller's own account row, whatever record was asked for."""
+    answers = account_answers(requests, accounts, order_by)
+    asked = answers.requests.drop("table_name", "is_list", "n_records")
+    joined = join_to_one(asked, answers.records, ["account_id"], ["request_id"], limits.spread)
+    return joined.select(*[c for c in joined.columns if c != "error"], "error")
 
-def _order_answers(mine: DataFrame, orders: DataFrame, snapshot, limits: LookupLimits, small: bool) -> DataFrame:
-    def enrich(rows: DataFrame) -> DataFrame:
-        return enrich_orders(rows, snapshot)
 
-    return _lookup_records(mine, orders, enrich, "order_id", rules.ORDER_NOT_FOUND, limits, small)
+def lookup_orders(
+    requests: DataFrame, orders: DataFrame, snapshot, limits: LookupLimits = DEFAULT_LIMITS, slots: int | None = None
+) -> DataFrame:
+    """The caller's order, or all of them, with derived times."""
+    answers = record_answers(requests, "orders", orders, "order_id", rules.ORDER_NOT_FOUND, slots)
+    return _put_together(answers, lambda rows: enrich_orders(rows, snapshot), "order_id", limits)
 
 
 def lookup_tickets(
-    requests: DataFrame, tickets: DataFrame, snapshot, limits: LookupLimits = DEFAULT_LIMITS
+    requests: DataFrame, tickets: DataFrame, snapshot, limits: LookupLimits = DEFAULT_LIMITS, slots: int | None = None
 ) -> DataFrame:
     """The caller's ticket, or all of them, with derived times."""
-    mine = _requests_for(requests, "tickets")
-    return _ticket_answers(mine, tickets, snapshot, limits, _is_small(mine, limits))
-
-
-def _ticket_answers(mine: DataFrame, tickets: DataFrame, snapshot, limits: LookupLimits, small: bool) -> DataFrame:
-    def enrich(rows: DataFrame) -> DataFrame:
-        return enrich_tickets(rows, snapshot)
-
-    return _lookup_records(mine, tickets, enrich, "ticket_id", rules.TICKET_NOT_FOUND, limits, small)
+    answers = record_answers(requests, "tickets", tickets, "ticket_id", rules.TICKET_NOT_FOUND, slots)
+    return _put_together(answers, lambda rows: enrich_tickets(rows, snapshot), "ticket_id", limits)
 
 
 def _unknown_tables(requests: DataFrame) -> DataFrame:
@@ -228,10 +285,9 @@ def lookup(
             "error",
         )
 
-    small = _is_small(requests, limits)
-    by_account = _account_answers(_requests_for(requests, "account"), accounts, account_order_by, limits, small)
-    by_order = _order_answers(_requests_for(requests, "orders"), orders, snapshot, limits, small)
-    by_ticket = _ticket_answers(_requests_for(requests, "tickets"), tickets, snapshot, limits, small)
+    by_account = lookup_account(requests, accounts, account_order_by, limits)
+    by_order = lookup_orders(requests, orders, snapshot, limits)
+    by_ticket = lookup_tickets(requests, tickets, snapshot, limits)
     return (
         uniform(by_account, "account", "account_id", accounts)
         .unionByName(uniform(by_order, "orders", "order_id", enrich_orders(orders, snapshot)))
@@ -240,6 +296,39 @@ def lookup(
     )
 
 
+def answers_once(
+    requests: DataFrame,
+    accounts: DataFrame,
+    orders: DataFrame,
+    tickets: DataFrame,
+    snapshot,
+    account_order_by: str | None = None,
+) -> Answers:
+    """The answers to all requests with every record once: ``records`` is (table_name, account_id, record_id, result as JSON).
+
+    Where ``lookup`` gives a row for every request and record, this grows with requests plus records.
+    """
+
+    def uniform(answers: Answers, table: str, id_column: str, records: DataFrame, enrich: Callable[[DataFrame], DataFrame]) -> DataFrame:
+        rows = enrich(answers.records.select(*records.columns))
+        own = [F.lit(table).alias("table_name"), F.col("account_id"), F.col(id_column).cast("string").alias("record_id")]
+        return rows.select(*own, json_object(*rows.columns).alias("result"))
+
+    by_account = account_answers(requests, accounts, account_order_by)
+    by_order = record_answers(requests, "orders", orders, "order_id", rules.ORDER_NOT_FOUND)
+    by_ticket = record_answers(requests, "tickets", tickets, "ticket_id", rules.TICKET_NOT_FOUND)
+    unknown = _unknown_tables(requests).select(
+        "request_id", "account_id", "table_name", "record_id", F.lit(False).alias("is_list"), F.lit(0).cast("long").alias("n_records"), "error"
+    )
+    answered = by_account.requests.unionByName(by_order.requests).unionByName(by_ticket.requests).unionByName(unknown)
+    records = (
+        uniform(by_account, "account", "account_id", accounts, lambda rows: rows)
+        .unionByName(uniform(by_order, "orders", "order_id", orders, lambda rows: enrich_orders(rows, snapshot)))
+        .unionByName(uniform(by_ticket, "tickets", "ticket_id", tickets, lambda rows: enrich_tickets(rows, snapshot)))
+    )
+    return Answers(answered, records)
+
+
 def lookup_errors(answers: DataFrame) -> DataFrame:
     """Requests that could not be answered, with the reason."""
     return answers.filter(F.col("error").isNotNull()).select(

@@ -2,6 +2,7 @@ import json
 from datetime import datetime
 
 import pytest
+from pyspark.sql import functions as F
 
 from conftest import tuples
 from tallydesk import rules, schemas
@@ -113,21 +114,71 @@ def test_foreign_and_missing_records_look_alike(requests, orders):
 
 
 @pytest.mark.parametrize("rows_per_slot", [1, 2, 100])
-def test_large_batches_get_the_same_answers(requests, orders, accounts, rows_per_slot):
-    large = lookup.LookupLimits(broadcast_requests=0, spread=Spread(rows_per_slot))
-    for few, many in (
-        (lookup.lookup_orders(requests, orders, NOW), lookup.lookup_orders(requests, orders, NOW, large)),
-        (lookup.lookup_account(requests, accounts), lookup.lookup_account(requests, accounts, limits=large)),
-    ):
-        assert sorted(map(str, tuples(many, *few.columns))) == sorted(map(str, tuples(few)))
-
-
-def test_a_small_batch_sifts_the_records_before_the_shuffle(requests, orders, settings):
+def test_hot_accounts_get_the_same_answers(requests, orders, accounts, settings, rows_per_slot):
+    few = lookup.lookup_orders(requests, orders, NOW), lookup.lookup_account(requests, accounts)
     settings(spark__sql__autoBroadcastJoinThreshold="-1")
-    few = lookup.lookup_orders(requests, orders, NOW)._jdf.queryExecution().simpleString()
-    many = lookup.lookup_orders(requests, orders, NOW, lookup.LookupLimits(broadcast_requests=0))
-    assert few.count("LeftSemi, BuildRight") >= 2
-    assert "LeftSemi" not in many._jdf.queryExecution().simpleString()
+    spread = lookup.LookupLimits(spread=Spread(rows_per_slot))
+    many = lookup.lookup_orders(requests, orders, NOW, spread), lookup.lookup_account(requests, accounts, limits=spread)
+    for one, other in zip(few, many):
+        assert sorted(map(str, tuples(other, *one.columns))) == sorted(map(str, tuples(one)))
+
+
+def test_every_record_stands_once_however_many_ask_for_it(spark, orders, accounts, tickets):
+    """Answers grow with requests plus records, not with their product."""
+    asked = [(f"r{n}", "A", "orders", "" if n % 2 else "O-1") for n in range(200)] + [("x", "B", "orders", "O-9"), ("y", "C", "orders", None)]
+    requests = spark.createDataFrame(asked, "request_id string, account_id string, table_name string, record_id string")
+    once = lookup.answers_once(requests, accounts, orders, tickets, NOW)
+    assert once.requests.count() == len(asked)
+    assert sorted(tuples(once.records, "table_name", "account_id", "record_id")) == [("orders", "A", f"O-{n}") for n in (1, 2, 3)]
+    told = {row["request_id"]: (row["is_list"], row["n_records"], row["error"]) for row in once.requests.collect()}
+    assert told["r0"] == (False, 1, None) and told["r1"] == (True, 3, None)
+    assert told["x"] == (False, 0, "No order O-9 found for this account.") and told["y"] == (True, 0, None)
+
+
+def test_records_once_and_put_together_say_the_same(requests, accounts, orders, tickets):
+    once = lookup.answers_once(requests, accounts, orders, tickets, NOW)
+    records = {}
+    for row in once.records.collect():
+        records.setdefault((row["table_name"], row["account_id"]), {})[row["record_id"]] = row["result"]
+    rows = []
+    for row in once.requests.collect():
+        own = records.get((row["table_name"], row["account_id"]), {})
+        if row["table_name"] == "account":
+            found = list(own.values())
+        else:
+            found = list(own.values()) if row["is_list"] else [own[row["record_id"]]] if row["record_id"] in own else []
+        assert row["n_records"] == len(found)
+        rows += [(row["request_id"], result, row["error"]) for result in found or [None]]
+    whole = lookup.lookup(requests, accounts, orders, tickets, NOW)
+    assert sorted(rows, key=str) == sorted(tuples(whole, "request_id", "result", "error"), key=str)
+
+
+def test_records_stored_by_account_are_not_moved(spark, requests, orders, settings):
+    settings(spark__sql__autoBroadcastJoinThreshold="-1", spark__sql__requireAllClusterKeysForCoPartition="false")
+    spark.sql("DROP TABLE IF EXISTS stored_orders")
+    stored = lookup.store_records(orders, "stored_orders", "order_id", buckets=8, slots=3)
+    asked = lookup._requests_for(requests, "orders").withColumn("_id", F.when(lookup._asks_for_one(), F.col("record_id")))
+    plan = lookup._asked_records(asked, stored, "order_id", 3)._jdf.queryExecution().executedPlan().toString()
+    lines = plan.split("Initial Plan")[0].splitlines()
+    (at,) = [n for n, line in enumerate(lines) if "FileScan" in line and "stored_orders" in line]
+    depth = lambda line: len(line) - len(line.lstrip(" :+-*()0123456789"))
+    above, level = [], depth(lines[at])
+    for line in reversed(lines[:at]):
+        if depth(line) < level:
+            above.append(line)
+            level = depth(line)
+    assert any("SortMergeJoin" in line for line in above) and not any("Exchange" in line for line in above)
+    assert "SortMergeJoin" in plan and "Bucketed: true" in plan
+    found = lookup.lookup_orders(requests, stored, NOW, slots=3)
+    assert sorted(map(str, tuples(found))) == sorted(map(str, tuples(lookup.lookup_orders(requests, orders, NOW), *found.columns)))
+    with pytest.raises(ValueError, match="slots"):
+        lookup.lookup_orders(requests, stored, NOW)
+
+
+def test_few_keys_sift_the_records_where_they_lie(requests, orders):
+    asked = lookup._requests_for(requests, "orders").withColumn("_id", F.when(lookup._asks_for_one(), F.col("record_id")))
+    plan = lookup._asked_records(asked, orders, "order_id", None)._jdf.queryExecution().simpleString()
+    assert plan.count("BroadcastHashJoin") == 2 and "SortMergeJoin" not in plan
 
 
 def test_account_ignores_the_record_asked_for(requests, accounts):
