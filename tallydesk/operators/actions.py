@@ -37,26 +37,45 @@ def proposal_validation(proposals: DataFrame) -> DataFrame:
 
 def first_proposal_per_turn(proposals: DataFrame, keys: Sequence[str] = ("conv_id", "turn")) -> DataFrame:
     """The proposal of each turn that a user is asked about: the one called first."""
-    schemas.require(proposals, *keys, "call_ord", frame="proposals")
+    schemas.require(proposals, *keys, "call_ord", "proposal_id", frame="proposals")
     rest = [name for name in proposals.columns if name not in keys]
     return (
         proposals.groupBy(*keys)
-        .agg(F.min_by(F.struct(*rest), "call_ord").alias("_first"))
+        .agg(F.min_by(F.struct(*rest), F.struct("call_ord", "proposal_id")).alias("_first"))
         .select(*keys, "_first.*")
     )
 
 
-def _one_decision(decisions: DataFrame) -> DataFrame:
-    """One decision per proposal; of contradicting ones the cancellation holds. Other words decide nothing."""
+def _decisions_in_time(asked: DataFrame, decisions: DataFrame) -> DataFrame:
+    """(proposal_id, decision) of the proposals that were put to the user.
+
+    A proposal waits until the conversation goes on: where decisions say in which ``turn`` they were
+    made, one of a later turn comes too late. Of contradicting decisions the cancellation holds;
+    other words decide nothing.
+    """
     schemas.require(decisions, "proposal_id", "decision", frame="decisions")
     made = decisions.filter(F.col("decision").isin("confirmed", "cancelled"))
-    return made.groupBy("proposal_id").agg(F.min("decision").alias("decision"))
+    if "turn" in decisions.columns:
+        made = made.select("proposal_id", "decision", F.col("turn").alias("_decided"))
+        in_time = asked.join(made, "proposal_id").filter(F.coalesce(F.col("_decided") == F.col("turn"), F.lit(False)))
+    else:
+        in_time = asked.join(made.select("proposal_id", "decision"), "proposal_id")
+    return in_time.groupBy("proposal_id").agg(F.min("decision").alias("decision"))
 
 
 def action_ledger(
-    proposals: DataFrame, decisions: DataFrame, id_digits: int = ACTION_ID_DIGITS
+    proposals: DataFrame, decisions: DataFrame, id_digits: int = ACTION_ID_DIGITS, keys: Sequence[str] = ("conv_id", "turn")
 ) -> DataFrame:
-    """One row per proposal with its status; only a confirmed one has an action id."""
+    """One row per proposal with its status; only a confirmed one has an action id.
+
+    Only the first proposal of a turn is put to the user (``is_asked``). The others of the turn keep
+    waiting, whatever a decision says of them, and are never created.
+    """
+    schemas.require(proposals, *keys, "call_ord", "proposal_id", frame="proposals")
+    first = proposals.groupBy(*keys).agg(F.min(F.struct("call_ord", "proposal_id")).alias("_first"))
+    asked = first.select(*keys, F.col("_first.proposal_id").alias("proposal_id"))
+    decided = asked.join(_decisions_in_time(asked, decisions), "proposal_id", "left")
+    marks = decided.select("proposal_id", F.lit(True).alias("is_asked"), "decision")
     status = (
         F.when(F.col("decision") == "confirmed", rules.CREATED)
         .when(F.col("decision") == "cancelled", rules.DECLINED)
@@ -64,7 +83,7 @@ def action_ledger(
     )
     return (
         proposal_validation(proposals)
-        .join(_one_decision(decisions), "proposal_id", "left")
+        .join(marks, "proposal_id", "left")
         .withColumn("status", status)
         .withColumn(
             "action_id",
@@ -79,6 +98,7 @@ def action_ledger(
             F.coalesce("severity", F.lit("")).alias("severity_label"),
             "reason",
             "status",
+            F.coalesce("is_asked", F.lit(False)).alias("is_asked"),
             "valid",
             "violations",
         )

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallydesk import rules
-from tallydesk.operators import actions, audit, authority, insights, lookup, search
+from tallydesk.operators import actions, audit, authority, index_store, insights, lookup, search
 from tallydesk.sources import documents, sinks, tables
 from workload.views import SNAPSHOT, Tables, standalone
 
@@ -445,6 +445,35 @@ def lookup_all(t: Tables) -> DataFrame:
     )
 
 
+_IS_LIST = "(table_name IN ('orders', 'tickets') AND COALESCE(record_id, '') = '')"
+
+
+def _once(t: Tables) -> lookup.Answers:
+    return lookup.answers_once(t.v_requests, t.v_accounts, t.v_orders, t.v_tickets, SNAPSHOT)
+
+
+@_register(
+    _ALL_ANSWERS
+    + f"""
+    SELECT request_id, account_id, table_name, record_id, {_IS_LIST} AS is_list, COUNT(record) AS n_records, MAX(error) AS error
+    FROM answers GROUP BY request_id, account_id, table_name, record_id"""
+)
+def lookup_requests_once(t: Tables) -> DataFrame:
+    return _once(t).requests
+
+
+@_register(
+    _ALL_ANSWERS
+    + f"""
+    SELECT DISTINCT table_name, account_id, record, {', '.join(_RECORD_FIELDS)} FROM answers WHERE record IS NOT NULL"""
+)
+def lookup_records_once(t: Tables) -> DataFrame:
+    read = F.from_json("result", ", ".join(f"`{name}` {kind}" for name, kind in _RECORD_FIELDS.items()))
+    records = _once(t).records.withColumn("read", read)
+    fields = [F.col(f"read.{name}").alias(name) for name in _RECORD_FIELDS]
+    return records.select("table_name", "account_id", F.col("record_id").alias("record"), *fields)
+
+
 @_register(
     _ALL_ANSWERS
     + "SELECT request_id, account_id, table_name, record_id, error FROM answers WHERE error IS NOT NULL"
@@ -457,16 +486,16 @@ def lookup_errors(t: Tables) -> DataFrame:
 
 _STOP_LIST = ", ".join(f"'{word}'" for word in sorted(set(STOP_WORDS)))
 _INDEX = f"""
-    WITH counts AS (
+    WITH counts AS MATERIALIZED (
         SELECT chunk_ord, doc_type = 'contract' AS is_contract, account_id AS owner, term, COUNT(*) AS tf
         FROM (SELECT chunk_ord, doc_type, account_id,
                      unnest(regexp_extract_all(lower(text), '[\\p{{{{L}}}}\\p{{{{N}}}}_]{{{{2,}}}}')) AS term FROM {{v_chunks}}) w
         WHERE term NOT IN ({_STOP_LIST})
         GROUP BY ALL),
-    terms AS (
+    terms AS MATERIALIZED (
         SELECT term, df, ln((1.0 + (SELECT COUNT(*) FROM {{v_chunks}})) / (1.0 + df)) + 1.0 AS idf
         FROM (SELECT term, COUNT(*) AS df FROM counts GROUP BY term) d),
-    norms AS (
+    norms AS MATERIALIZED (
         SELECT chunk_ord, sqrt(SUM((tf * idf) * (tf * idf))) AS norm
         FROM counts JOIN terms USING (term) GROUP BY chunk_ord),
     postings AS (
@@ -514,6 +543,10 @@ def _hits(t: Tables) -> DataFrame:
     return search.search(search.build_index(t.v_chunks, STOP_WORDS), t.v_queries, stop_words=STOP_WORDS)
 
 
+# Of an index over so few chunks, one file a shelf and room.
+_LAYOUT = index_store.Layout(shelves=4, parts=1, rooms=2)
+
+
 @_register(_INDEX + "SELECT chunk_ord, is_contract, owner, term, tf FROM counts")
 def index_tf(t: Tables) -> DataFrame:
     return search.term_counts(t.v_chunks, STOP_WORDS)
@@ -531,7 +564,8 @@ def index_norms(t: Tables) -> DataFrame:
 
 @_register(_INDEX + "SELECT chunk_ord, term, tf, ROUND(weight, 9) AS weight, is_contract, owner FROM postings")
 def index_postings(t: Tables) -> DataFrame:
-    return search.build_index(t.v_chunks, STOP_WORDS).postings.withColumn("weight", F.round("weight", 9))
+    postings = search.build_index(t.v_chunks, STOP_WORDS).postings
+    return postings.select("chunk_ord", "term", "tf", F.round("weight", 9).alias("weight"), "is_contract", "owner")
 
 
 @_register(_HITS + "SELECT * FROM hits")
@@ -542,8 +576,26 @@ def search_topk(t: Tables) -> DataFrame:
 @_register(_HITS + "SELECT * FROM hits")
 def saved_index_topk(t: Tables) -> DataFrame:
     folder = t.new_folder("index")
-    search.save_index(search.build_index(t.v_chunks, STOP_WORDS), folder, shelves=16, shelf_files=2)
-    return search.search(search.load_index(t.spark, folder), t.v_queries)
+    index_store.write_index(t.v_chunks, folder, STOP_WORDS, _LAYOUT)
+    return search.search(index_store.load_index(t.spark, folder), t.v_queries)
+
+
+@_register(_HITS + "SELECT * FROM hits")
+def extended_index_topk(t: Tables) -> DataFrame:
+    """The index of contracts, extended by everything else, and searched."""
+    folder, is_contract = t.new_folder("index"), F.coalesce(F.col("doc_type") == "contract", F.lit(False))
+    index_store.write_index(t.v_chunks.filter(is_contract), folder, STOP_WORDS, _LAYOUT)
+    index = index_store.extend_index(t.spark, folder, t.v_chunks.filter(~is_contract))
+    return search.search(index, t.v_queries)
+
+
+@_register(_INDEX + "SELECT chunk_ord, term, tf, ROUND(weight, 9) AS weight, is_contract, owner FROM postings")
+def extended_index_postings(t: Tables) -> DataFrame:
+    """The same weights as of an index built of all chunks at once."""
+    folder, is_long = t.new_folder("index"), F.length("text") > 2000
+    index_store.write_index(t.v_chunks.filter(is_long), folder, STOP_WORDS, _LAYOUT)
+    postings = index_store.extend_index(t.spark, folder, t.v_chunks.filter(~is_long)).postings
+    return postings.select("chunk_ord", "term", "tf", F.round("weight", 9).alias("weight"), "is_contract", "owner")
 
 
 @_register(
@@ -602,13 +654,19 @@ def first_proposal_per_turn(t: Tables) -> DataFrame:
 @_register(
     _CHECKED
     + """
+    , placed AS (
+        SELECT *, ROW_NUMBER() OVER (PARTITION BY conv_id, turn ORDER BY call_ord, proposal_id) = 1 AS is_asked FROM checked),
+    decided AS (
+        SELECT p.proposal_id, MIN(d.decision) AS decision FROM placed p
+        JOIN {v_decisions} d ON p.proposal_id = d.proposal_id AND p.turn = d.turn
+        WHERE p.is_asked AND d.decision IN ('confirmed', 'cancelled') GROUP BY p.proposal_id)
     SELECT c.proposal_id,
            CASE WHEN d.decision = 'confirmed' THEN 'ACT-' || upper(left(sha256(CAST(c.proposal_id AS STRING)), 16)) END AS action_id,
            c.action_type, c.related_id, c.severity, COALESCE(c.severity, '') AS severity_label, c.reason,
            CASE d.decision WHEN 'confirmed' THEN 'created' WHEN 'cancelled' THEN 'declined_by_user'
                 ELSE 'awaiting_user_confirmation' END AS status,
-           c.violations = '' AS valid, c.violations
-    FROM checked c LEFT JOIN (SELECT * FROM {v_decisions} WHERE decision IN ('confirmed', 'cancelled')) d ON c.proposal_id = d.proposal_id"""
+           c.is_asked, c.violations = '' AS valid, c.violations
+    FROM placed c LEFT JOIN decided d ON c.proposal_id = d.proposal_id"""
 )
 def action_ledger(t: Tables) -> DataFrame:
     ledger = actions.action_ledger(t.v_proposals, t.v_decisions)

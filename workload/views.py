@@ -105,11 +105,13 @@ VIEWS = {
                CASE WHEN value >= 3 THEN 'about ' || event_type END AS reason,
                CASE WHEN value > 40 THEN 'P9' WHEN value > 15 THEN 'P1' END AS severity
         FROM {events}""",
-    # Proposals of middling value are undecided; every one got a second answer that decides nothing.
+    # Proposals of middling value are undecided, those of high value are decided a turn too late; every
+    # one got a second answer that decides nothing.
     "v_decisions": """
-        SELECT event_id AS proposal_id, CASE WHEN value < 10 THEN 'cancelled' WHEN value > 20 THEN 'confirmed' END AS decision
+        SELECT event_id AS proposal_id, CASE WHEN value < 10 THEN 'cancelled' WHEN value > 20 THEN 'confirmed' END AS decision,
+               CAST(dayofmonth(ts) AS BIGINT) + CASE WHEN value > 45 THEN 1 ELSE 0 END AS turn
         FROM {events}
-        UNION ALL SELECT event_id, 'Approved?' FROM {events}""",
+        UNION ALL SELECT event_id, 'Approved?', CAST(dayofmonth(ts) AS BIGINT) FROM {events}""",
     # Every event calls one tool; broken arguments on errors, empty ones on sign-ups.
     "v_tool_calls": """
         SELECT user_id AS conv_id, CAST(dayofmonth(ts) AS BIGINT) AS turn, 0 AS call_ord,
