@@ -19,7 +19,9 @@ from tallydesk.llm.common import col
 # Element names with a meaning of their own in HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-UNSEEN = frozenset("head script style template title iframe noembed noframes object audio video canvas datalist".split())
+UNSEEN = frozenset("head script style template title iframe noembed noframes object audio video canvas datalist rp".split())
+# Inputs that show a text, with the one that they show without a value of their own.
+BUTTONS = {"submit": "Submit", "reset": "Reset", "button": ""}
 BLOCKS = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer "
     "form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section "
@@ -46,7 +48,7 @@ CLOSES = {
     "tfoot": (frozenset("tbody thead tfoot caption".split()), frozenset(["table"])),
     "body": (frozenset(["head"]), frozenset()),
 }
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|</([a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)|<([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+_TAG = re.compile(r"<!--(?:-?>|.*?(?:--!?>|\Z))|<[!?][^>]*(?:>|\Z)|</([a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)|<([a-zA-Z][^\s/>]*)", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=\"'<>/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'=<>`]+)))?")
 _SPACE = re.compile(r"[ \t\n\r\f]+")
 
@@ -155,65 +157,117 @@ class _Builder:
         self.put(unescape(value), self.table()[0] if moved else 0)
 
 
+def _tag_end(page: str, at: int) -> int:
+    """Where a start tag ends whose name ends at ``at``, after its closing bracket; -1 if it never does."""
+    while True:
+        equals, ended = page.find("=", at), page.find(">", at)
+        if ended < 0:
+            return -1
+        if equals < 0 or ended < equals:
+            return ended + 1
+        at = equals + 1
+        while page[at : at + 1] in (" ", "\t", "\n", "\r", "\f"):
+            at += 1
+        if page[at : at + 1] in ('"', "'"):
+            at = page.find(page[at], at + 1) + 1
+            if not at:
+                return -1
+
+
 def build(page: str) -> Element:
-    """The tree of a page."""
-    builder, at = _Builder(), 0
+    """The tree of a page. Time grows with its length, whatever is broken in it.
+
+    Quotes hold brackets only as values of attributes. After a tag with a value that never ends,
+    quotes hold nothing any more; a page whose last tag does not end has that as text.
+    """
+    builder, at, quotes, text_from = _Builder(), 0, True, 0
     while True:
         found = _TAG.search(page, at)
         if found is None:
             break
-        if found.start() > at:
-            builder.text(page[at : found.start()])
-        at = found.end()
+        after = found.end()
+        if found[2]:
+            after = _tag_end(page, found.end()) if quotes else page.find(">", found.end()) + 1
+            if after <= 0:
+                if quotes and page.find(">", found.end()) >= 0:
+                    quotes = False
+                    continue
+                break
+        if found.start() > text_from:
+            builder.text(page[text_from : found.start()])
+        at = text_from = after
         if found[1]:
             builder.end(found[1].lower())
         elif found[2]:
             tag = found[2].lower()
-            builder.start(tag, found[3])
+            builder.start(tag, page[found.end() : after - 1])
             if tag in RAW:
                 ended = re.compile(rf"</{tag}(?=[\s/>])[^>]*(?:>|\Z)", re.I).search(page, at)
                 inside, at = (page[at:], len(page)) if ended is None else (page[at : ended.start()], ended.end())
+                text_from = at
                 if tag in ("textarea", "title"):
                     builder.text(inside)
                 builder.end(tag)
-    if at < len(page):
-        builder.text(page[at:])
+    if text_from < len(page):
+        builder.text(page[text_from:])
     return builder.root
 
 
+def _style(given: str) -> dict[str, str]:
+    """Declarations of a style attribute; of several for one property the last holds, or the last important one."""
+    found: dict[str, str] = {}
+    for declaration in re.sub(r"/\*.*?(?:\*/|\Z)", "", given, flags=re.S).lower().split(";"):
+        name, _, value = declaration.partition(":")
+        name, value = name.strip(), value.strip()
+        if name and value and ("!important" in value or "!important" not in found.get(name, "")):
+            found[name] = value
+    return {name: value.replace("!important", "").strip() for name, value in found.items()}
+
+
 def _shown(element: Element) -> tuple[bool, bool | None]:
     """Whether the element takes part at all, and whether its text is visible (None: as its parent's)."""
     if element.tag in UNSEEN:
         return False, None
     given = element.attributes()
-    if "hidden" in given or (element.tag == "dialog" and "open" not in given) or (element.tag == "input"):
+    if "hidden" in given or (element.tag == "dialog" and "open" not in given):
+        return False, None
+    if element.tag == "input" and given.get("type", "").strip().lower() not in BUTTONS:
         return False, None
-    style = given.get("style", "").lower().replace(" ", "")
-    if "display:none" in style:
+    style = _style(given.get("style", ""))
+    if style.get("display") == "none":
         return False, None
-    if "visibility:hidden" in style or "visibility:collapse" in style:
+    visibility = style.get("visibility")
+    if visibility in ("hidden", "collapse"):
         return True, False
-    return True, True if "visibility:visible" in style else None
+    return True, True if visibility == "visible" else None
 
 
 class _Layout:
-    """Lines of text: ``gap`` blank lines are due before the next text, ``line`` is being filled."""
+    """Lines of text: ``gap`` blank lines are due before the next text, ``parts`` are those of the line being filled."""
 
     def __init__(self):
-        self.lines, self.line, self.gap, self.indent, self.mark = [], "", 0, "", ""
-        self.space = False
+        self.lines, self.parts, self.gap, self.indent, self.mark = [], [], 0, "", ""
+        self.space = self.bare = False
 
     def word(self, text: str) -> None:
-        if not self.line:
+        if not self.parts:
             if self.lines:
                 self.lines.extend([""] * self.gap)
             self.gap = 0
-            self.line, self.mark = self.indent + self.mark, ""
-            self.line_start = len(self.line)
-        elif self.space and len(self.line) > self.line_start:
-            self.line += " "
+            self.parts, self.mark = [self.indent + self.mark], ""
+            self.bare = True  # nothing but the mark so far
+        elif self.space and not self.bare:
+            self.parts.append(" ")
         self.space = False
-        self.line += text
+        if text:
+            self.bare = False
+            self.parts.append(text)
+
+    def ended(self) -> str:
+        """The line that was being filled; a new one begins."""
+        line = "".join(self.parts).rstrip()
+        self.parts, self.space = [], False
+        return line
 
     def flow(self, text: str) -> None:
         pieces = _SPACE.split(text)
@@ -224,10 +278,9 @@ class _Layout:
                 self.word(piece)
 
     def end_line(self) -> None:
-        if self.line:
-            self.lines.append(self.line.rstrip())
-            self.line = ""
-        self.space = False
+        if self.parts and "".join(self.parts):
+            self.lines.append(self.ended())
+        self.ended()
 
     def apart(self, blank: int) -> None:
         self.end_line()
@@ -246,7 +299,7 @@ def _layout(element: Element, out: _Layout, visible: bool, kept: bool, depth: in
             if kept:
                 for n, line in enumerate(child.split("\n")):
                     if n:
-                        out.end_line() if out.line else out.lines.append("")
+                        out.end_line() if out.parts else out.lines.append("")
                     if line:
                         out.word(line)
             else:
@@ -258,10 +311,9 @@ def _layout(element: Element, out: _Layout, visible: bool, kept: bool, depth: in
         seen = visible if own is None else own
         tag = child.tag
         if tag == "br":
-            if not out.line:
+            if not out.parts:
                 out.word("")
-            out.lines.append(out.line.rstrip())
-            out.line, out.space = "", False
+            out.lines.append(out.ended())
         elif tag == "table":
             out.apart(1)
             for line in _table(child, seen):
@@ -269,8 +321,14 @@ def _layout(element: Element, out: _Layout, visible: bool, kept: bool, depth: in
                     out.word(line)
                 out.end_line()
             out.apart(1)
+        elif tag == "input":
+            if seen:
+                given = child.attributes()
+                out.flow(given.get("value", BUTTONS[given.get("type", "").strip().lower()]))
         elif tag == "li":
             out.apart(0)
+            if element.tag == "ol":
+                number = _whole(child.attributes().get("value"), number)
             mark = f"{number}. " if element.tag == "ol" else "- "
             number += 1
             before = out.indent
@@ -319,8 +377,11 @@ class _Marked:
 def _start_of(element: Element) -> int:
     if element.tag != "ol":
         return 1
-    start = element.attributes().get("start", "1")
-    return int(start) if re.fullmatch(r"-?\d{1,9}", start) else 1
+    return _whole(element.attributes().get("start"), 1)
+
+
+def _whole(given: str | None, otherwise: int) -> int:
+    return int(given) if given is not None and re.fullmatch(r"-?[0-9]{1,9}", given.strip()) else otherwise
 
 
 def _rows(element: Element, visible: bool):
@@ -339,41 +400,58 @@ def _cell_text(cell: Element, visible: bool) -> list[str]:
     out = _Layout()
     _layout(cell, out, visible, False, 0)
     out.end_line()
-    return [line.strip() for line in out.lines if line.strip()] or [""]
+    return [line for line in out.lines if line.strip()] or [""]
 
 
 def _table(table: Element, visible: bool) -> list[str]:
-    """Lines of a table, its columns lined up, two spaces apart."""
-    grid: list[list[tuple[list[str], int]]] = []
+    """Lines of a table, its columns lined up, two spaces apart; a cell over several rows stands in its first."""
+    grid: list[list[tuple[int, list[str], int]]] = []
+    taken: dict[int, int] = {}  # by column, how many further rows a cell from above covers
     for row, seen in _rows(table, visible):
         if row.tag == "caption":
-            grid.append([(_cell_text(row, seen), 0)])
+            grid.append([(0, _cell_text(row, seen), 0)])
             continue
-        cells = []
+        cells, at, below = [], 0, {}
         for cell in row.children:
             if isinstance(cell, Element) and cell.tag in ("td", "th"):
                 takes_part, own = _shown(cell)
                 if takes_part:
-                    span = cell.attributes().get("colspan", "1")
-                    wide = min(1000, max(1, int(span))) if re.fullmatch(r"\d{1,9}", span) else 1
-                    cells.append((_cell_text(cell, seen if own is None else own), wide))
+                    given = cell.attributes()
+                    wide = min(1000, max(1, _whole(given.get("colspan"), 1)))
+                    high = min(65534, max(0, _whole(given.get("rowspan"), 1)))
+                    while taken.get(at, 0) > 0:
+                        at += 1
+                    cells.append((at, _cell_text(cell, seen if own is None else own), wide))
+                    if high != 1:  # none means all that follow
+                        below.update((column, high - 1 if high else 65534) for column in range(at, at + wide))
+                    at += wide
+        taken = {column: rows - 1 for column, rows in taken.items() if rows > 1} | below
         grid.append(cells)
     widths: dict[int, int] = {}
     for cells in grid:
-        at = 0
-        for lines, span in cells:
+        for at, lines, span in cells:
             if span == 1:
                 widths[at] = max(widths.get(at, 0), max(map(len, lines)))
-            at += span
+    # A cell over several columns that is wider than they are widens the last of them.
+    for at, lines, span in sorted((cell for cells in grid for cell in cells if cell[2] > 1), key=lambda cell: cell[2]):
+        held = sum(widths[column] + 2 for column in range(at, at + span) if column in widths)
+        lacking = max(map(len, lines)) + 2 - held
+        if lacking > 0:
+            last = at + span - 1
+            widths[last] = widths[last] + lacking if last in widths else max(0, lacking - 2)
+    columns = max((at + span for cells in grid for at, _, span in cells), default=0)
+    begins = [0]
+    for column in range(columns):
+        begins.append(begins[-1] + (widths[column] + 2 if column in widths else 0))
     text = []
     for cells in grid:
-        for n in range(max((len(lines) for lines, _ in cells), default=0)):
-            line, at, start = "", 0, 0
-            for lines, span in cells:
-                line = line.ljust(start) + (lines[n] if n < len(lines) else "")
-                start += sum(widths.get(c, 0) + 2 for c in range(at, at + span))
-                start = max(start, len(line) + 2) if span > 1 else start
-                at += span
+        for n in range(max((len(lines) for _, lines, _ in cells), default=0)):
+            line = ""
+            for number, (at, lines, _) in enumerate(cells):
+                own = lines[n] if n < len(lines) else ""
+                if own:
+                    start = max(begins[at], len(line) + 2 if number else 0) if line else begins[at]
+                    line = line.ljust(start) + own
             text.append(line.rstrip())
     return [line for line in text if line]
 
@@ -392,7 +470,8 @@ def extract_text(pages: DataFrame, html: str = "html", text: str = "text") -> Da
     """The rows with the visible text of each page as one more column; one called like it is replaced.
 
     Null pages have null text, empty pages and pages without visible text an empty one. Broken
-    markup is read as browsers do: what can't be a tag is text.
+    markup is read as browsers do, but a tag that never ends is text. What is hidden is told from
+    elements and their own attributes: rules of style sheets and scripts play no part.
     """
 
     def rendered(values: pd.Series) -> pd.Series:

@@ -1,5 +1,7 @@
 """Pages and the text that a reader sees."""
 
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -95,3 +97,39 @@ def test_a_column_for_every_row(spark):
     texts = {row["page_id"]: row["text"] for row in got.collect()}
     assert all(texts[n] == text for n, (_, text) in enumerate(PAGES))
     assert extract_text(pages.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        ("<table><tr><td rowspan=2>a<td>b<tr><td>c</table>", "a  b\n   c"),
+        ("<table><tr><td rowspan=0>a<td>b<tr><td>c<tr><td>d</table>", "a  b\n   c\n   d"),
+        ("<table><tr><td>a<td rowspan=2 colspan=2>b<td>c<tr><td>d<td>e</table>", "a  b  c\nd     e"),
+        ("<!-->after", "after"),
+        ("<!--->x", "x"),
+        ("<!-- c --!>after", "after"),
+        ("<!-- a -- b --> c", "c"),
+        ("<ol><li>a<li value=9>b<li>c</ol>", "1. a\n9. b\n10. c"),
+        ("<ruby>k<rp>(</rp><rt>r</rt><rp>)</rp></ruby>", "kr"),
+        ("a <input type=submit value='Go on'> <input type=reset> <input type=text value=no> b", "a Go on Reset b"),
+        ("<p style='display:none;display:block'>seen</p><p style='display:block; display : none'>not</p>", "seen"),
+        ("<p style='display:none !important;display:block'>not</p>x", "x"),
+        ("<table><tr><td><pre>a\n  b</pre><td>c</table>", "a    c\n  b"),
+        ("<a title='x > y'>in</a> <b class=a'b>bold</b>", "in bold"),
+        ("x <a href='never ends <b>bold</b> y", "x bold y"),
+        ("x <b", "x <b"),
+    ],
+)
+def test_as_browsers_show_it(page, text):
+    assert render(page) == text
+
+
+@pytest.mark.parametrize("part", ["<a '", '<a b="', "<a b='", "<", "<!--", "<a =", "</", "<table>", "<a b=' >", "<p", "< a='"])
+def test_time_grows_with_the_length_of_broken_pages(part):
+    def seconds(times):
+        start = time.perf_counter()
+        render(part * times)
+        return time.perf_counter() - start
+
+    seconds(100)
+    assert seconds(40_000) < 15 * max(0.02, seconds(8_000))
