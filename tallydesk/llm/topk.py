@@ -179,13 +179,16 @@ def top_products(
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): the k largest products with all others, for every ``query_every``-th id.
 
-    Ids are whole numbers that tell vectors apart; rows without one take no part, and of rows that
-    share an id and a vector one counts. A query's own id is no candidate. Only vectors of a
-    query's dimension are candidates. Ties go to the smaller id; with fewer candidates than k all
-    are given. Products must fit 64 bits.
+    Ids are whole numbers; rows without one take no part. Every row is a candidate, also one that
+    repeats another, but not those with the query's own id; queries that are equal are asked once.
+    Only vectors of a query's dimension are candidates; those without components have products of 0.
+    Ties go to the smaller id; with fewer candidates than k all are given. Products must fit 64 bits.
     """
-    whole = whole_numbers(vectors, scale, id_column, vector).filter("id IS NOT NULL AND dim > 0")
-    whole = staged(whole.dropDuplicates(["id", "x"]), "vectors")
+    given = whole_numbers(vectors, scale, id_column, vector).filter("id IS NOT NULL")
+    # Of rows that repeat no more than k can be among the best, so that a hot one is no hot block.
+    distinct = given.groupBy("id", "x").agg(F.first("dim").alias("dim"), F.first("norm2").alias("norm2"), F.count(F.lit(1)).alias("copies"))
+    distinct = staged(distinct, "vectors")
+    whole = distinct.select("id", "x", "dim", "norm2", F.explode(F.array_repeat(F.lit(0), F.least("copies", F.lit(k)).cast("int")))).drop("col")
     # Lengths fall into steps of one part in 64, from which blocks of bounded size are cut in order.
     cut = blocks.vectors
     step = F.floor(F.log2(F.greatest(F.col("norm2"), F.lit(0.5))) * 32)
@@ -199,7 +202,7 @@ def top_products(
         whole.withColumn("step", step).join(placed.drop("rows"), ["dim", "step"]).select("id", "x", "dim", "norm2", spread.cast("long").alias("vector_block")),
         "blocks",
     )
-    asked = whole.filter(F.col("id") % query_every == 0).select("id", "x", "dim", "norm2")
+    asked = distinct.filter(F.col("id") % query_every == 0).select("id", "x", "dim", "norm2")
     n_blocks = max(1, -(-asked.count() // blocks.queries))
     asked = asked.withColumn("query_block", F.pmod(F.xxhash64("id"), F.lit(n_blocks)))
 
@@ -220,7 +223,9 @@ def top_products(
         .filter("reach IS NULL OR reach <= sqrt(norm2 * longest2) * (1 + 1e-9)")
         .select(*columns, "reach")
     )
-    rest = blocked.join(top, ["dim", "vector_block"], "left_anti").withColumn("query_block", _each(n_blocks))
+    # A block of vectors goes to the blocks of queries that have one to put to it.
+    cells = staged(sent.select("dim", "vector_block", "query_block").distinct(), "cells")
+    rest = blocked.join(cells, ["dim", "vector_block"])
     second = _ranked(_searched(sent, rest, k, blocks), k)
     return _ranked(first.drop("rank").unionByName(second.drop("rank")), k).select("query_id", "rank", "vec_id", "score")
 

@@ -10,13 +10,13 @@ from tallydesk.llm import topk
 
 def brute(rows, k):
     def whole(vector):
-        if vector is None or not vector or any(x is None or not math.isfinite(x) for x in vector):
+        if vector is None or any(x is None or not math.isfinite(x) for x in vector):
             return None
         return [math.floor(256 * x) for x in vector]
 
-    vectors = {(n, tuple(x)) for n, v in rows if n is not None and (x := whole(v)) is not None}
+    vectors = [(n, tuple(x)) for n, v in rows if n is not None and (x := whole(v)) is not None]
     found = []
-    for q, x in vectors:
+    for q, x in set(vectors):
         if q % 50:
             continue
         scored = [(sum(a * b for a, b in zip(x, y, strict=True)), n) for n, y in vectors if n != q and len(x) == len(y)]
@@ -85,3 +85,23 @@ def test_products_beyond_64_bits_are_an_error(spark):
         search(spark, [(0, [1e12]), (1, [1e12])])
     with pytest.raises(Exception, match="64 bits"):
         search(spark, [(0, [1.0]), (1, [1e30])])
+
+
+def test_repeated_rows_are_candidates_as_often_as_they_stand_there(spark):
+    rows = [(0, [1.0, 0.0])] * 3 + [(1, [2.0, 0.0])] * 3 + [(2, [1.5, 0.0])] * 400 + [(3, [1.0, 1.0]), (100, [0.5, 0.5])]
+    assert search(spark, rows) == brute(rows, 5)
+    assert [row[2] for row in search(spark, rows) if row[0] == 0] == [1, 1, 1, 2, 2]
+
+
+def test_vectors_without_components(spark):
+    rows = [(0, []), (50, []), (1, []), (2, [1.0]), (100, [2.0])]
+    assert search(spark, rows) == brute(rows, 5)
+    assert (0, 1, 1, 0) in search(spark, rows)
+
+
+def test_blocks_go_only_where_a_query_needs_them(spark):
+    """Short vectors cannot reach what the long ones give: no cell of theirs is formed."""
+    draw = np.random.default_rng(5)
+    rows = [(n, [float(x) for x in np.float32(draw.standard_normal(8) * (100 if n < 64 else 0.01))]) for n in range(600)]
+    rows = [(n, [abs(x) for x in v]) for n, v in rows]
+    assert search(spark, rows, vectors=64, queries=3) == brute(rows, 5)
