@@ -108,8 +108,8 @@ requests = st.lists(
 
 
 @few
-@given(requests, st.lists(ACCOUNT, max_size=6), st.sampled_from([0, 100]))
-def test_lookups_answer_every_request_with_own_records(spark, asked, owners, batch):
+@given(requests, st.lists(ACCOUNT, max_size=6), st.sampled_from([2, 100]))
+def test_lookups_answer_every_request_with_own_records(spark, asked, owners, rows_per_slot):
     wanted = spark.createDataFrame(
         [(f"r{n}", *row) for n, row in enumerate(asked)],
         "request_id string, account_id string, table_name string, record_id string",
@@ -119,7 +119,7 @@ def test_lookups_answer_every_request_with_own_records(spark, asked, owners, bat
     )
     accounts = spark.createDataFrame([("A", "Acme", "Growth")], schemas.ACCOUNTS)
     none = spark.createDataFrame([], schemas.TICKETS)
-    limits = lookup.LookupLimits(broadcast_requests=batch, spread=Spread(rows_per_slot=2))
+    limits = lookup.LookupLimits(spread=Spread(rows_per_slot))
     answers = lookup.lookup(wanted, accounts, orders, none, NOW, limits=limits).collect()
     assert {row["request_id"] for row in answers} == {f"r{n}" for n in range(len(asked))}
     for n, (account, table, record) in enumerate(asked):
