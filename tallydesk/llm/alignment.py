@@ -21,6 +21,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -33,8 +34,8 @@ SLICE_PAIRS = 1_000_000
 # A pair is one number: the id of A above this bit, that of B below it.
 _B_BITS = 24
 
-_CACHED_WORDS = 120_000
-_CACHED_LETTERS = 64
+_CACHED_WORDS = 400_000
+_CACHED_LETTERS = 4_096
 _PAIRS_AT_ONCE = 2_000_000
 
 MEASURES = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
@@ -69,56 +70,97 @@ class Aligner:
         self.b = sentencepiece.SentencePieceProcessor(model_proto=model)
         letters = byte_letters()
         vocabulary = json.loads(definition)["model"]["vocab"]
-        self.a_bytes = {number: bytes(letters[c] for c in piece) for piece, number in vocabulary.items() if all(c in letters for c in piece)}
+        a_bytes = {number: bytes(letters[c] for c in piece) for piece, number in vocabulary.items() if all(c in letters for c in piece)}
+        self.a_bytes = [a_bytes.get(number, b"") for number in range(max(vocabulary.values(), default=-1) + 1)]
         self.b_bytes = [self._piece(number) for number in range(self.b.get_piece_size())]
-        self.known: dict[str, tuple | None] = {}
+        self.a_sizes, self.b_sizes = (np.array([len(x) for x in own] or [0], np.int64) for own in (self.a_bytes, self.b_bytes))
+        # What is written for a token: its id, then what parts it from the next one.
+        self.first_b = 2 * len(self.a_bytes)
+        written = [f"{n}{mark}" for n in range(len(self.a_bytes)) for mark in ",|"]
+        self.written = pa.array(written + [f"{n}{mark}" for n in range(len(self.b_bytes)) for mark in ",;"])
+        self.forget()
 
     def _piece(self, number: int) -> bytes:
         piece = self.b.id_to_piece(number)
         return bytes([int(piece[1:-1], 16)]) if self.b.is_byte(number) else piece.replace("▁", " ").encode()
 
+    def forget(self) -> None:
+        """What is known of words: their numbers, and by number where their tokens and links begin."""
+        self.place: dict[str, int] = {}
+        self.parts: list[tuple[np.ndarray, ...]] = []
+
     def words(self, text: str) -> list[str]:
         return self._SPACE.split(text)
 
-    def _aligned(self, word: str, a: list[int], b: list[int]) -> tuple | None:
-        """(n_a, n_b, number of groups, the groups as text, linked pairs); None where bytes differ."""
-        a_bytes, b_bytes = [self.a_bytes.get(x, b"") for x in a], [self.b_bytes[x] for x in b]
-        whole = b" " + word.encode()
-        if b"".join(a_bytes) != whole or b"".join(b_bytes) != whole:
-            return None
-        a_sizes, b_sizes = map(len, a_bytes), map(len, b_bytes)
-        groups, pairs, a_own, b_own = [], [], [], []
-        a_end = b_end = 0
-        a_next, b_next = iter(zip(a, a_sizes, strict=True)), iter(zip(b, b_sizes, strict=True))
-        while a_end < len(whole) or b_end < len(whole):
-            if a_end <= b_end:
-                number, size = next(a_next)
-                a_own.append(number)
-                a_end += size
-            else:
-                number, size = next(b_next)
-                b_own.append(number)
-                b_end += size
-            if a_end == b_end:
-                groups.append(f"{','.join(map(str, a_own))}|{','.join(map(str, b_own))}")
-                pairs.append(a_own[-1] << _B_BITS | b_own[-1])
-                a_own, b_own = [], []
-        return len(a), len(b), len(groups), ";".join(groups), tuple(pairs)
-
-    def learn(self, texts: list[list[str]]) -> dict[str, tuple | None]:
-        """The alignment of every word of some texts. Long words are not remembered."""
-        if len(self.known) > _CACHED_WORDS:
-            self.known = {}
-        distinct = {word for words in texts for word in words}
-        found = {word: self.known[word] for word in distinct if word in self.known}
-        new = [word for word in distinct if word not in found]
-        for start in range(0, len(new), 1024):
-            part = new[start : start + 1024]
-            a = self.a.encode_batch([" " + word for word in part], add_special_tokens=False)
-            for word, own, b in zip(part, a, self.b.encode(part, num_threads=1), strict=True):
-                found[word] = self._aligned(word, own.ids, b)
-        self.known.update((word, found[word]) for word in new if len(word) <= _CACHED_LETTERS)
-        return found
+    def _tokens(self, words: list[str]) -> tuple[list[list[int]], list[list[int]], list[bool]]:
+        """Ids of both and, for every word, whether both give its bytes back."""
+        a = [own.ids for own in self.a.encode_batch([" " + word for word in words], add_special_tokens=False)]
+        b = self.b.encode(words, num_threads=1)
+        whole = [b" " + word.encode() for word in words]
+        same = [
+            b"".join(map(self.a_bytes.__getitem__, x)) == text and b"".join(map(self.b_bytes.__getitem__, y)) == text
+            for x, y, text in zip(a, b, whole, strict=True)
+        ]
+        return a, b, same
+
+    def _align(self, words: list[str]) -> tuple[np.ndarray, ...]:
+        """Of words, one after the other: whether bytes agree, n_a, n_b, links, written tokens; the codes of what is written, and the linked pairs."""
+        a, b, same = self._tokens(words)
+        a, b = ([own if good else [] for own, good in zip(x, same, strict=True)] for x in (a, b))
+        n_a, n_b = (np.fromiter(map(len, x), np.int64, len(x)) for x in (a, b))
+        a_ids, b_ids = (np.fromiter(chain.from_iterable(x), np.int64, int(n.sum())) for x, n in ((a, n_a), (b, n_b)))
+        # Words have as many bytes on either side, so ends can be counted on from word to word.
+        a_ends, b_ends = np.cumsum(self.a_sizes[a_ids]), np.cumsum(self.b_sizes[b_ids])
+        a_last, b_last = (_among(x, y) for x, y in ((a_ends, b_ends), (b_ends, a_ends)))
+        a_group, b_group = (np.cumsum(x) - x for x in (a_last, b_last))
+        codes = np.concatenate((2 * a_ids + a_last, self.first_b + 2 * b_ids + b_last))
+        codes = codes[np.argsort(np.concatenate((2 * a_group, 2 * b_group + 1)), kind="stable")]
+        pairs = a_ids[a_last] << _B_BITS | b_ids[b_last]
+        owner = np.repeat(np.arange(len(words)), n_a)
+        links = np.bincount(owner[a_last], minlength=len(words))
+        return np.array(same, bool), n_a, n_b, links, n_a + n_b, codes.astype(np.int32), pairs
+
+    def measure(self, texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str], np.ndarray, np.ndarray]:
+        """Of every text n_a, n_b, n_groups and the digest of its groups; its linked pairs, and where those of each text end."""
+        if len(self.place) > _CACHED_WORDS:
+            self.forget()
+        new = list(dict.fromkeys(word for words in texts for word in words if word not in self.place))
+        for start in range(0, len(new), 4096):
+            part = new[start : start + 4096]
+            self.parts.append(self._align(part))
+            known = len(self.place)
+            self.place.update((word, known + n) for n, word in enumerate(part))
+        if len(self.parts) > 1:
+            self.parts = [tuple(np.concatenate(x) for x in zip(*self.parts, strict=True))]
+        same, n_a, n_b, links, written, codes, pairs = self.parts[0]
+        sizes = np.array([len(words) for words in texts], np.int64)
+        at = np.fromiter((self.place[word] for words in texts for word in words), np.int64, int(sizes.sum()))
+        of = np.repeat(np.arange(len(texts)), sizes)
+        good = np.bincount(of[~same[at]], minlength=len(texts)) == 0
+        at, of = at[good[of]], of[good[of]]
+        n_text = len(texts)
+        sums = [np.bincount(of, weights=own[at], minlength=n_text).astype(np.int64) for own in (n_a, n_b, links, written)]
+        lines = self.written.take(pa.array(codes[_spans(written, at)]))
+        joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sums[3]))), pa.int32()), lines), "")
+        digests = [hashlib.sha256(line[:-1].encode()).hexdigest() if line else "" for line in joined.to_pylist()]
+        linked = pairs[_spans(links, at)]
+        if len(self.place) > _CACHED_WORDS or any(len(word) > _CACHED_LETTERS for word in new):
+            self.forget()  # so that no task keeps what very long words come to
+        return sums[0], sums[1], sums[2], digests, linked, np.cumsum(sums[2])
+
+
+def _among(values: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """Which values of a sorted array another sorted one has."""
+    if not len(others):
+        return np.zeros(len(values), bool)
+    return others[np.minimum(others.searchsorted(values), len(others) - 1)] == values
+
+
+def _spans(sizes: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Places of what some rows have, row after row, where all rows' values stand one after the other."""
+    starts, own = (np.cumsum(sizes) - sizes)[rows], sizes[rows]
+    ends = np.cumsum(own)
+    return np.repeat(starts - (ends - own), own) + np.arange(ends[-1] if len(ends) else 0)
 
 
 def _runs(values: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -164,20 +206,10 @@ def _align_texts(texts: DataFrame, definition: str, model: bytes) -> DataFrame:
         for whole in batches:
             for start in range(0, whole.num_rows, 128):
                 batch = whole.slice(start, 128)
-                texts = [aligner.words(text) for text in batch.column("text").to_pylist()]
-                known = aligner.learn(texts)
-                numbers, digests, pairs, times = [], [], [], []
-                for words in texts:
-                    found = [known[word] for word in words]
-                    if None in found:
-                        found = []
-                    numbers.append(tuple(sum(x[n] for x in found) for n in range(3)))
-                    digests.append(hashlib.sha256(";".join(x[3] for x in found).encode()).hexdigest() if found else "")
-                    linked = np.fromiter(chain.from_iterable(x[4] for x in found), np.int64)
-                    own, count = _runs(linked, np.ones(len(linked), np.int64))
-                    pairs.append(own)
-                    times.append(count)
-                yield _part(batch.column("key").to_pylist(), numbers, digests, pairs, times)
+                n_a, n_b, n_groups, digests, linked, ends = aligner.measure([aligner.words(text) for text in batch.column("text").to_pylist()])
+                found = [_runs(own, np.ones(len(own), np.int64)) for own in np.split(linked, ends[:-1])]
+                pairs, times = [own for own, _ in found], [count for _, count in found]
+                yield _part(batch.column("key").to_pylist(), list(zip(n_a, n_b, n_groups, strict=True)), digests, pairs, times)
                 copies = np.repeat(batch.column("copies").to_numpy(), [len(x) for x in pairs])
                 seen.append(np.concatenate(pairs))
                 sums.append(np.concatenate(times) * copies)

@@ -112,10 +112,12 @@ def test_the_query_on_the_smallest_tables(spark):
     assert [tuple(got[d["doc_id"]])[1:] for d in docs] == brute([d["text"] for d in docs])
 
 
-def test_words_are_aligned_once_and_long_ones_are_not_kept():
+def test_words_are_aligned_once_and_very_long_ones_are_not_kept():
     aligner = alignment.Aligner(DEFINITION, MODEL)
-    aligner.learn([["one", "two", "x" * 5000]])
-    assert set(aligner.known) == {"one", "two"}
+    aligner.measure([["one", "two"], ["two"]])
+    assert list(aligner.place) == ["one", "two"]
+    aligner.measure([["two", "x" * 5000]])
+    assert not aligner.place
 
 
 def test_very_long_texts(spark):
