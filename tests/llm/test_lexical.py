@@ -59,8 +59,7 @@ def corpus(seed, documents=400):
     return [(n * 7 % 1009, text) for n, text in enumerate(texts)]
 
 
-@pytest.mark.parametrize("sizes", [Trees(), SMALL_TREES, Trees(documents=40, leaf=1, batch_bytes=300)])
-@pytest.mark.parametrize("k", [1, 10])
+@pytest.mark.parametrize("sizes, k", [(Trees(), 10), (SMALL_TREES, 1), (SMALL_TREES, 10), (Trees(documents=40, leaf=1, batch_bytes=300), 10)])
 def test_same_as_scoring_every_document(spark, sizes, k):
     docs = corpus(4)
     queries = [(n, text) for n, text in enumerate(t for _, t in docs[::19])] + [(900, "wo1 É2 wo1"), (901, "none such"), (902, ""), (903, None)]

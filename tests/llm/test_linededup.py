@@ -58,8 +58,19 @@ def corpus(seed, documents=300):
     return rows
 
 
-@pytest.mark.parametrize("rule", [LineRule(), LineRule(2, 4), LineRule(2, keep_first=True), LineRule(1, keep_first=True), LineRule(1), LineRule(400)])
-@pytest.mark.parametrize("batch", ["7", "10000"])
+@pytest.mark.parametrize(
+    "rule, batch",
+    [
+        (LineRule(), "7"),
+        (LineRule(), "10000"),
+        (LineRule(2, 4), "7"),
+        (LineRule(2, keep_first=True), "7"),
+        (LineRule(2, keep_first=True), "10000"),
+        (LineRule(1, keep_first=True), "7"),
+        (LineRule(1), "10000"),
+        (LineRule(400), "7"),
+    ],
+)
 def test_same_as_a_plain_count(spark, settings, rule, batch):
     settings(spark__sql__execution__arrow__maxRecordsPerBatch=batch)
     agrees(spark, corpus(1), rule)
