@@ -2,6 +2,7 @@
 
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from tallydesk.llm import licenses
@@ -12,13 +13,15 @@ def words(text):
     return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lowered)
 
 
-def brute(text):
+def brute(text, templates=licenses.TEMPLATES):
     found, places = words(text), []
-    for template in licenses.TEMPLATES:
+    for template in templates:
+        phrases = template.mandatory()
         for start in range(len(found)):
-            stands = all(found[start + at : start + at + len(p)] == p for at, p in template.mandatory())
+            if not all(found[start + at : start + at + len(p)] == p for at, p in phrases):
+                continue
             same = sum(found[start + n : start + n + 1] == [word] for n, word in enumerate(template.words))
-            if stands and same * 100 >= template.percent * len(template.words):
+            if same * 100 >= template.percent * len(template.words):
                 places.append((template.label, template.base, start, same / len(template.words)))
     return len(found), sorted(places)
 
@@ -39,6 +42,7 @@ TEXTS = [
     "cc " * 3000 + "by",
     "reserved",
     "İ all rights reservedİ all RIGHTS reserved",
+    *("x " * n + template.text for n, template in enumerate(licenses.KNOWN)),
 ]
 
 
@@ -64,3 +68,48 @@ def test_no_python_runs_and_no_text_is_shuffled(spark):
     docs = spark.createDataFrame([(1, "cc by")], "doc_id long, text string")
     plan = licenses.scan(docs)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan
+
+
+def long_templates(number):
+    """Whole texts of 400 words, of a vocabulary that they share, with two key phrases each."""
+    made = []
+    for n in range(number):
+        text = [f"w{(n * 7919 + k * k * 31) % 997}" for k in range(400)]
+        text[50:53], text[300:302] = ["grant", f"own{n}", "rights"], ["no", f"warranty{n % 5}"]
+        made.append(licenses.Template(f"long-{n % 40}", " ".join(text), (" ".join(text[48:56]), " ".join(text[299:303]))))
+    return tuple(made)
+
+
+def test_whole_licence_texts_as_templates(spark):
+    templates = long_templates(60)
+    words_of = [template.words for template in templates]
+    changed = words_of[7][:100] + ["other"] * 50 + words_of[7][150:]
+    broken = words_of[8][:301] + ["other"] + words_of[8][302:]
+    few = words_of[9][:100] + ["other"] * 90 + words_of[9][190:]
+    texts = [
+        " ".join(["before"] * 3 + words_of[3] + ["between"] + words_of[3] + words_of[59]),
+        *(" ".join(text) for text in (changed, broken, few, words_of[11][1:])),
+        " ".join(word for text in words_of for word in text),
+    ]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for row in licenses.scan(docs, templates).collect():
+        n, places = brute(row["text"], templates)
+        assert (row["n_words"], sorted((p["label"], p["is_base"], p["start"], p["coverage"]) for p in row["places"])) == (n, places)
+        assert len(places) == [3, 1, 0, 0, 0, 60][row["doc_id"]]
+
+
+def test_the_plan_does_not_grow_with_templates(spark):
+    docs = spark.createDataFrame([(1, "cc by")], "doc_id long, text string")
+
+    def expressions(number):
+        plan = licenses.scan(docs, long_templates(number))._jdf.queryExecution().analyzed().toString()
+        return sum(plan.count(name) for name in ("lambdafunction", "transform(", "filter(", "slice(", "array_intersect("))
+
+    assert expressions(2) == expressions(60)
+
+
+def test_templates_that_can_not_be_looked_up_are_refused(spark):
+    docs = spark.createDataFrame([(1, "cc by")], "doc_id long, text string")
+    with pytest.raises(ValueError, match="no part"):
+        licenses.scan(docs, [licenses.Template("none", "")])
+    assert licenses.scan(docs, []).first()["labels"] == []
