@@ -50,3 +50,35 @@ def test_written_shards_keep_slots_in_order(spark, tmp_path):
     for name in {row[0] for row in back.select(F.input_file_name()).distinct().collect()}:
         slots = [row["slot"] for row in spark.read.parquet(name).collect()]
         assert slots == sorted(slots) and len(slots) <= 10
+
+
+def test_repeated_rows_spread_over_buckets(spark):
+    once = spark.range(300).select(F.col("id").alias("doc_id"), F.lit("once").alias("text"), F.array(F.lit(1.5), F.lit(None)).alias("x"))
+    same = spark.range(20_000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("same").alias("text"), F.array(F.lit(2.5)).alias("x"))
+    docs = once.union(same)
+    key, size = F.xxhash64("doc_id", "text", "x"), F.lit(64)
+    numbered = sharding._numbered_copies(docs, "copy", key, size, 2048)
+    assert sorted(r["copy"] for r in numbered.filter("doc_id IS NULL").collect()) == list(range(20_000))
+    buckets = numbered.groupBy(F.pmod(F.xxhash64("doc_id", "text", "x", "copy"), F.lit(64))).count().collect()
+    assert len(buckets) == 64 and max(r["count"] for r in buckets) < 450  # 317 on average
+    got = sharding.shard(docs, 8, bucket_bytes=21 << 10)
+    assert sorted((str(r["doc_id"]), r["text"], str(r["x"])) for r in got.collect()) == sorted((str(r["doc_id"]), r["text"], str(r["x"])) for r in docs.collect())
+    sizes = [sum(shard == n for shard, _ in places(got)) for n in range(8)]
+    assert set(sizes) == {2537, 2538} and places(got) == [(n, slot) for n in range(8) for slot in range(sizes[n])]
+    again = sharding.shard(docs.repartition(5), 8, bucket_bytes=21 << 10)
+    where = [sorted((r["shard"], r["slot"], str(r["doc_id"])) for r in df.collect()) for df in (got, again)]
+    assert where[0] == where[1]
+
+
+def test_repeated_rows_with_maps_are_kept(spark):
+    docs = spark.range(500).select(F.lit(1).alias("doc_id"), F.lit("same").alias("text"), F.create_map(F.lit("a"), F.col("id")).alias("m"))
+    got = sharding.shard(docs, 4, bucket_bytes=4096)
+    assert sorted(row["m"]["a"] for row in got.collect()) == list(range(500))
+    assert len(set(places(got))) == 500
+
+
+def test_sums_over_groups_of_buckets(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "_BUCKETS", 3)
+    counts = spark.range(20).filter("id % 4 <> 1").select(F.col("id").alias("b"), (F.col("id") * 7 % 5 + 1).alias("rows"))
+    got = sorted((r["b"], r["rows"], r["before"]) for r in sharding._rows_before(counts, "b", "rows", "before").collect())
+    assert [before for _, _, before in got] == [sum(rows for _, rows, _ in got[:n]) for n in range(len(got))]
