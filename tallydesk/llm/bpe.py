@@ -19,6 +19,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -48,6 +49,23 @@ def _tokenizer(definition: str):
     return _tokenizers[key]
 
 
+def _part(definition: str, name: str):
+    """One part of a tokenizer file, without reading its vocabulary."""
+    found = re.search(rf'"{name}"\s*:\s*', definition)
+    return json.JSONDecoder().raw_decode(definition, found.end())[0] if found else None
+
+
+def _parts_words(splitter: dict | None) -> bool:
+    """Whether a pre-tokenizer drops white space, and parts stops and commas from the words before them."""
+    if splitter is None:
+        return False
+    if splitter["type"] == "Sequence":
+        return bool(splitter["pretokenizers"]) and _parts_words(splitter["pretokenizers"][0])
+    if splitter["type"] == "Split" and splitter["behavior"] == "Removed" and splitter["invert"] and "Regex" in splitter["pattern"]:
+        return regex.findall(splitter["pattern"]["Regex"], " ab cd.  ef,\tgh\n.\r\n") == ["ab", "cd", ".", "ef", ",", "gh", "."]
+    return splitter["type"] in ("Whitespace", "BertPreTokenizer")
+
+
 # A full stop or comma after an ASCII letter and before white space: there every word pattern parts them.
 _TRAILING = re.compile(rb"[.,](?<=[A-Za-z][.,])(?=[ \t\n\r\f\v]|\Z)")
 
@@ -93,9 +111,11 @@ def _unpacked(data: bytes, count: int) -> np.ndarray:
 def encode(docs: DataFrame, definition: str, text: str = "text", ids: str = "ids", block_bytes: int = BLOCK_BYTES, keep: Sequence[str] | None = None) -> DataFrame:
     """The rows (of the columns ``keep``, else all) with their token ids as one more column.
 
-    ``definition`` is the text of a tokenizer file. A null or empty text has no ids. Rows that
-    repeat are all kept. Other columns pass through; one that is called ``ids`` already is replaced.
+    ``definition`` is the text of a tokenizer file; one whose tokens may hold white space is refused.
+    A null or empty text has no ids. Rows that repeat are all kept. Other columns pass through; one that is called ``ids`` already is replaced.
     """
+    if not _parts_words(_part(definition, "pre_tokenizer")):
+        raise ValueError("the tokenizer does not part texts at white space")
     docs = docs.drop(ids)
     spark = docs.sparkSession
     n_blocks = blocks_for(docs, F.octet_length(col(text)), block_bytes)
@@ -178,10 +198,13 @@ def pieces_of(definition: str) -> list[str | None]:
 def decode(encoded: DataFrame, definition: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
     """The rows with the text of their ids as one more column: the pieces, joined by spaces.
 
-    Ids meet their pieces in a join by position: the build side is the vocabulary, which a tokenizer
-    file bounds, as one constant array that every task holds. Unknown ids are left out; null ids
-    give an empty text. A column that is called ``text`` already is replaced.
+    Ids are looked up by position in the vocabulary, which a tokenizer file bounds, as one constant
+    array that every task holds; no rows meet in a join. Unknown ids are left out; null ids give an
+    empty text. Files with a decoder of their own are refused. A column that is called ``text``
+    already is replaced.
     """
+    if _part(definition, "decoder") is not None:
+        raise ValueError("pieces are joined by spaces, which is not what the tokenizer's decoder does")
     pieces = F.from_json(F.lit(json.dumps(pieces_of(definition))), "array<string>")
     found = F.transform(col(ids), lambda number: F.get(pieces, number))
     return encoded.drop(text).withColumn(text, F.coalesce(F.array_join(found, " "), F.lit("")))

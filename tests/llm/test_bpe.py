@@ -66,3 +66,30 @@ def test_unknown_and_missing_ids_decode_to_nothing(spark, definition):
     rows = [(1, [-1, 267, 10**8, 267]), (2, None), (3, []), (4, [10**8])]
     got = bpe.decode(spark.createDataFrame(rows, "n int, ids array<int>"), definition)
     assert {row["n"]: row["decoded"] for row in got.collect()} == {1: ",</w> ,</w>", 2: "", 3: "", 4: ""}
+
+
+def test_tokenizers_that_keep_white_space_are_refused(spark):
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as file:
+        other = file.read()
+    docs = spark.createDataFrame([(1, "a b", [1])], "doc_id long, text string, ids array<int>")
+    with pytest.raises(ValueError, match="white space"):
+        bpe.encode(docs.drop("ids"), other)
+    with pytest.raises(ValueError, match="decoder"):
+        bpe.decode(docs, other)
+
+
+@pytest.mark.parametrize(
+    "splitter, parts",
+    [
+        (None, False),
+        ({"type": "Whitespace"}, True),
+        ({"type": "WhitespaceSplit"}, False),
+        ({"type": "Sequence", "pretokenizers": []}, False),
+        ({"type": "Split", "pattern": {"Regex": r" ?\p{L}+|."}, "behavior": "Removed", "invert": True}, False),
+        ({"type": "Split", "pattern": {"Regex": r"\S+"}, "behavior": "Removed", "invert": True}, False),
+        ({"type": "Split", "pattern": {"Regex": r"\p{L}+|[.,]"}, "behavior": "Isolated", "invert": True}, False),
+        ({"type": "Split", "pattern": {"Regex": r"\p{L}+|[.,]"}, "behavior": "Removed", "invert": True}, True),
+    ],
+)
+def test_which_splitters_part_words(splitter, parts):
+    assert bpe._parts_words(splitter) == parts
