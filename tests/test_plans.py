@@ -4,7 +4,7 @@ import pytest
 
 import __spark_entry__ as entry_points
 from conftest import SMALL, plan_of
-from tallydesk.operators import insights, lookup
+from tallydesk.operators import insights, lookup, search
 from workload import catalog
 from workload.catalog import SNAPSHOT
 from workload.views import Tables
@@ -58,3 +58,16 @@ def test_only_marked_sides_are_broadcast(spark, settings):
 def test_ledger_ids_need_no_random_numbers(spark):
     plan = plan_of(entry_points.queries()["action_ledger"](spark, SMALL))
     assert "uuid" not in plan and "rand(" not in plan
+
+
+def test_norms_split_texts_into_words_once(spark):
+    """The counts are written before document frequencies, their total, frequent and rare words are read from them."""
+    assert "regexp_extract_all" not in plan_of(catalog.QUERIES["index_norms"](spark, SMALL))
+
+
+def test_words_are_counted_outside_of_lambdas(spark):
+    chunks = spark.createDataFrame([(1, "the refund of the refund", "sop", None)], "chunk_ord long, text string, doc_type string, account_id string")
+    vectors = search.term_vectors(chunks, ["the", "of"])
+    plan = plan_of(vectors)
+    assert "arrays_zip" in plan and "array_sort(" not in plan and "named_struct" not in plan
+    assert [tuple(word) for word in vectors.first()["words"]] == [("refund", 2)]
