@@ -38,9 +38,10 @@ SLOT = "_slot"
 
 @dataclass(frozen=True)
 class LookupLimits:
-    """How hot accounts are spread."""
+    """How hot accounts are spread, and how many rows a task makes that puts lists together."""
 
     spread: Spread = DEFAULT_SPREAD
+    rows_per_task: int = 500_000
 
 
 @dataclass(frozen=True)
@@ -212,8 +213,16 @@ def _put_together(answers: Answers, enrich: Callable[[DataFrame], DataFrame], id
     single = one.join(found, ["account_id", "_id"], "left")
     lists = asked.filter("is_list")
     listed = found.join(answers.records.filter("_all").select("account_id").distinct(), "account_id", "left_semi")
+    # The result is many times what is shuffled for it, so bytes of the shuffle don't tell how many tasks it needs.
+    rows = lists.agg(F.sum("n_records")).first()[0] or 0
     many = join_many(
-        lists.filter("n_records > 0"), listed.drop("_id"), ["account_id"], ["request_id"], [id_column], limits.spread
+        lists.filter("n_records > 0"),
+        listed.drop("_id"),
+        ["account_id"],
+        ["request_id"],
+        [id_column],
+        limits.spread,
+        tasks=max(1, -(-rows // limits.rows_per_task)),
     )
     empty = lists.filter("n_records = 0")
     whole = single.drop("_id").unionByName(many).unionByName(empty, allowMissingColumns=True)
@@ -221,6 +230,13 @@ def _put_together(answers: Answers, enrich: Callable[[DataFrame], DataFrame], id
     return whole.select(*[c for c in whole.columns if c not in ("error", "is_list", "n_records")], error)
 
 
+def _with_account(answers: Answers, limits: LookupLimits) -> DataFrame:
+    """One row per request with the columns of its account."""
+    asked = answers.requests.drop("table_name", "is_list", "n_records")
+    joined = join_to_one(asked, answers.records, ["account_id"], ["request_id"], limits.spread)
+    return joined.select(*[c for c in joined.columns if c != "error"], "error")
+
+
 def lookup_account(
     requests: DataFrame,
     accounts: DataFrame,
@@ -228,10 +244,7 @@ def lookup_account(
     limits: LookupLimits = DEFAULT_LIMITS,
 ) -> DataFrame:
     """The caller's own account row, whatever record was asked for."""
-    answers = account_answers(requests, accounts, order_by)
-    asked = answers.requests.drop("table_name", "is_list", "n_records")
-    joined = join_to_one(asked, answers.records, ["account_id"], ["request_id"], limits.spread)
-    return joined.select(*[c for c in joined.columns if c != "error"], "error")
+    return _with_account(account_answers(requests, accounts, order_by), limits)
 
 
 def lookup_orders(
@@ -272,26 +285,36 @@ def lookup(
     account_order_by: str | None = None,
     limits: LookupLimits = DEFAULT_LIMITS,
 ) -> DataFrame:
-    """All requests answered in one frame: (request, result as JSON, error), a row per record."""
-
-    def uniform(answers: DataFrame, table: str, id_column: str, record: DataFrame) -> DataFrame:
-        found = F.col(id_column).isNotNull() & F.col("error").isNull()
-        return answers.select(
-            "request_id",
-            "account_id",
-            F.lit(table).alias("table_name"),
-            "record_id",
-            F.when(found, json_object(*record.columns)).alias("result"),
-            "error",
-        )
-
-    by_account = lookup_account(requests, accounts, account_order_by, limits)
-    by_order = lookup_orders(requests, orders, snapshot, limits)
-    by_ticket = lookup_tickets(requests, tickets, snapshot, limits)
+    """All requests answered in one frame: (request, result as JSON, error), a row per record.
+
+    A record's JSON is made once, before it meets the requests that ask for it.
+    """
+
+    def as_json(rows: DataFrame, id_column: str, *keys: str) -> DataFrame:
+        # A result names the account as its request does.
+        named = rows.withColumn("account_id", F.col("account_id").cast(requests.schema["account_id"].dataType))
+        text = json_object(*[c for c in named.columns if c not in keys])
+        return named.select("account_id", *keys, id_column, F.when(F.col(id_column).isNotNull(), text).alias("result"))
+
+    def uniform(answered: DataFrame, table: str) -> DataFrame:
+        return answered.select("request_id", "account_id", F.lit(table).alias("table_name"), "record_id", "result", "error")
+
+    def orders_as_json(rows: DataFrame) -> DataFrame:
+        return as_json(enrich_orders(rows.select(*orders.columns, "_id"), snapshot), "order_id", "_id")
+
+    def tickets_as_json(rows: DataFrame) -> DataFrame:
+        return as_json(enrich_tickets(rows.select(*tickets.columns, "_id"), snapshot), "ticket_id", "_id")
+
+    by_account = account_answers(requests, accounts, account_order_by)
+    found = by_account.records
+    texts = found.select("account_id", json_object(*accounts.columns).alias("result"))
+    by_account = _with_account(Answers(by_account.requests, texts), limits)
+    by_order = record_answers(requests, "orders", orders, "order_id", rules.ORDER_NOT_FOUND)
+    by_ticket = record_answers(requests, "tickets", tickets, "ticket_id", rules.TICKET_NOT_FOUND)
     return (
-        uniform(by_account, "account", "account_id", accounts)
-        .unionByName(uniform(by_order, "orders", "order_id", enrich_orders(orders, snapshot)))
-        .unionByName(uniform(by_ticket, "tickets", "ticket_id", enrich_tickets(tickets, snapshot)))
+        uniform(by_account, "account")
+        .unionByName(uniform(_put_together(by_order, orders_as_json, "order_id", limits), "orders"))
+        .unionByName(uniform(_put_together(by_ticket, tickets_as_json, "ticket_id", limits), "tickets"))
         .unionByName(_unknown_tables(requests))
     )
 

@@ -206,6 +206,47 @@ def test_all_tables_in_one_frame(requests, accounts, orders, tickets):
     }
 
 
+def test_tasks_follow_the_rows_of_the_lists(spark, orders):
+    rows = [(n, "A", "orders", "") for n in range(40)] + [(99, "B", "orders", "O-4")]
+    asked = spark.createDataFrame(rows, "request_id long, account_id string, table_name string, record_id string")
+    few, many = (lookup.LookupLimits(rows_per_task=n) for n in (1000, 10))
+
+    def answered(limits):
+        found = lookup.lookup_orders(asked, orders, NOW, limits)
+        return sorted(tuples(found.select("request_id", "order_id"))), found._jdf.queryExecution().executedPlan().toString()
+
+    rows, plan = answered(many)
+    assert len(rows) == 40 * 3 + 1 and rows == answered(few)[0]
+    # 120 rows of lists: both sides in twelve parts that are not put together again.
+    dealt = [line for line in plan.splitlines() if "REPARTITION_BY_NUM" in line]
+    assert any("_row" in line and "12)" in line for line in dealt)
+    assert not any("12)" in line for line in answered(few)[1].splitlines() if "REPARTITION_BY_NUM" in line)
+
+
+def test_json_is_made_once_a_record(spark, accounts, orders, tickets):
+    asked = spark.createDataFrame([(1, "A", "orders", "")], "request_id long, account_id string, table_name string, record_id string")
+    plan = lookup.lookup(asked, accounts, orders, tickets, NOW)._jdf.queryExecution().optimizedPlan().toString()
+    depth = [len(line) - len(line.lstrip(" :+-")) for line in plan.splitlines()]
+    joins = [n for n, line in enumerate(plan.splitlines()) if " Join " in line]
+    written = [n for n, line in enumerate(plan.splitlines()) if "StructsToJson" in line]
+
+    def above(n):
+        return [m for m in range(n) if depth[m] < min(depth[m + 1 : n + 1])]
+
+    # Accounts, and orders and tickets twice each: for requests of one and for lists.
+    assert len(written) == 5 and all(set(above(n)) & set(joins) for n in written)
+
+
+def test_results_name_the_account_as_requests_do(spark, orders, accounts, tickets):
+    odd = orders.withColumn("account_id", F.lit(7)).withColumn("order_id", F.when(F.col("order_id") != "O-2", F.col("order_id")))
+    asked = spark.createDataFrame([(1, "7", "orders", "")], "request_id long, account_id string, table_name string, record_id string")
+    got = tuples(lookup.lookup(asked, accounts, odd, tickets, NOW).select("result"))
+    # A record without an id is found but has no result.
+    texts = [text for (text,) in got if text is not None]
+    assert len(got) == 5 and len(texts) == 4
+    assert all(json.loads(text)["account_id"] == "7" for text in texts)
+
+
 def test_requests_must_name_their_account(spark, orders):
     bare = spark.createDataFrame([("r", "orders", "O-1")], "request_id string, table_name string, record_id string")
     with pytest.raises(ValueError, match="account_id"):
