@@ -26,8 +26,9 @@ def _large_star(links: DataFrame) -> DataFrame:
 
 def _small_star(links: DataFrame) -> DataFrame:
     near = _with_least(links, both_ways=False)
-    moved = near.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return moved.unionByName(near.select("u", F.col("m").alias("v")))
+    # Either end of a link goes to the least; both in one pass, so that the plan holds the joins once.
+    ends = F.array(*[F.struct(F.col(end).alias("u"), F.col("m").alias("v")) for end in ("v", "u")])
+    return near.select(F.explode(ends).alias("end")).select("end.u", "end.v")
 
 
 def _state(links: DataFrame) -> tuple:
@@ -38,14 +39,21 @@ def components(links: DataFrame) -> DataFrame:
     """(node, component) of every node that has a link in (u, v); a component is its least node.
 
     Links come in any order and may repeat. Nulls and links of a node with itself are left out.
-    Every round is written to the shared folder.
+    Both steps of every round are written to the shared folder.
     """
     current, before = links.filter("u <> v").select("u", "v"), None
     while before is None or before[0]:
-        current = staged(_small_star(_large_star(current)).filter("u <> v").distinct(), "links")
+        # Each star by itself: the second reads the first three times, and the driver holds the plan.
+        large = staged(_large_star(current), "stars")
+        current = staged(_small_star(large).filter("u <> v").distinct(), "links")
         after = _state(current)
         if after == before:
             break
         before = after
     stars = current.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return stars.unionByName(stars.select(F.col("component").alias("node"), "component").distinct())
+
+
+def with_links(found: DataFrame, links: DataFrame) -> DataFrame:
+    """What ``components`` gives for the links that ``found`` comes from and these too."""
+    return components(found.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(links))

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallydesk.llm.common import col, fresh, row_key, staged
-from tallydesk.llm.components import components
+from tallydesk.llm.components import components, with_links
 from tallydesk.llm.shingles import WordHashes, shingle_set
 
 
@@ -191,6 +191,29 @@ def _same_ids(signed: DataFrame, classes: DataFrame) -> DataFrame:
     return members.join(least, "id").filter("node <> least").select(*_ordered("node", "least"))
 
 
+def _drawn_links(apart: DataFrame, marks: DataFrame, texts: DataFrame, how: MinMax) -> DataFrame:
+    """Links of members that are apart with one member drawn for their bucket."""
+    drawn = apart.groupBy("key").agg(F.max_by(F.struct("node", "component"), F.xxhash64("key", "node")).alias("other"))
+    pairs = (
+        apart.join(drawn, "key")
+        .filter("component <> other.component")
+        .select(*_ordered(F.col("node"), F.col("other.node")))
+        .distinct()
+    )
+    return staged(_confirmed(_likely(pairs, marks, how), texts, how), "links")
+
+
+def _rest_of_links(apart: DataFrame, marks: DataFrame, texts: DataFrame, how: MinMax) -> DataFrame:
+    """Links of members that are still apart: only pairs that may link leave the join."""
+    marked = apart.join(marks, "node")
+    same_bucket = (F.col("l.key") == F.col("r.key")) & (F.col("l.node") > F.col("r.node"))
+    rest = marked.alias("l").join(
+        marked.alias("r"), same_bucket & (F.col("l.component") != F.col("r.component")) & _may_link(how, "l", "r")
+    )
+    rest = rest.select(F.col("l.node").alias("u"), F.col("r.node").alias("v")).distinct()
+    return staged(_confirmed(rest, texts, how), "links")
+
+
 def near_duplicates(
     docs: DataFrame, how: MinMax = MinMax(), id_column: str = "doc_id", text: str = "text"
 ) -> DataFrame:
@@ -228,25 +251,17 @@ def near_duplicates(
     links = _confirmed(_likely(pairs, marks, how), texts, how).unionByName(_same_ids(signed, classes))
     links = staged(links, "links")
 
-    apart = _apart(buckets, components(links))
-    drawn = apart.groupBy("key").agg(F.max_by(F.struct("node", "component"), F.xxhash64("key", "node")).alias("other"))
-    pairs = (
-        apart.join(drawn, "key")
-        .filter("component <> other.component")
-        .select(*_ordered(F.col("node"), F.col("other.node")))
-        .distinct()
-    )
-    links = links.unionByName(staged(_confirmed(_likely(pairs, marks, how), texts, how), "links"))
-
-    # Members that are still apart: only pairs that may link leave the join.
-    apart = _apart(apart.drop("component"), components(links)).join(marks, "node")
-    same_bucket = (F.col("l.key") == F.col("r.key")) & (F.col("l.node") > F.col("r.node"))
-    rest = apart.alias("l").join(
-        apart.alias("r"), same_bucket & (F.col("l.component") != F.col("r.component")) & _may_link(how, "l", "r")
-    )
-    rest = rest.select(F.col("l.node").alias("u"), F.col("r.node").alias("v")).distinct()
-    links = links.unionByName(staged(_confirmed(rest, texts, how), "links"))
+    # Later steps only run on what earlier ones leave: the driver holds the plan of every one.
     found = components(links)
+    apart = _apart(buckets, found)
+    if not apart.isEmpty():
+        more = _drawn_links(apart, marks, texts, how)
+        if not more.isEmpty():
+            found = with_links(found, more)
+            apart = _apart(apart.drop("component"), found)
+        last = _rest_of_links(apart, marks, texts, how)
+        if not last.isEmpty():
+            found = with_links(found, last)
 
     groups = found.join(classes, "node").groupBy("component")
     groups = groups.agg(F.min("least_id").alias("group_id"), F.min_by("first_text", "node").alias("group_text"))

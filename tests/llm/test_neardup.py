@@ -5,8 +5,9 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from tallydesk.llm import components as stars
 from tallydesk.llm import neardup
-from tallydesk.llm.components import components
+from tallydesk.llm.components import components, with_links
 
 
 def shingles(text, width):
@@ -128,3 +129,41 @@ def test_components_of_random_links(spark):
     got = {row["node"]: row["component"] for row in components(spark.createDataFrame(links, "u long, v long")).collect()}
     assert got == {n: root(n) for n in {x for a, b in links if a != b for x in (a, b)}}
     assert components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+def test_each_table_of_a_round_has_one_join(spark, monkeypatch):
+    joins = []
+
+    def counted(df, name):
+        joins.append(df._jdf.queryExecution().optimizedPlan().toString().count("Join "))
+        return staged(df, name)
+
+    staged = stars.staged
+    monkeypatch.setattr(stars, "staged", counted)
+    found = components(spark.createDataFrame([(2, 1), (3, 2), (9, 8)], "u long, v long"))
+    assert {tuple(row) for row in found.collect()} == {(1, 1), (2, 1), (3, 1), (8, 8), (9, 8)}
+    assert max(joins) == 1
+
+
+def test_more_links_join_components(spark):
+    first, more = ([(5, 4), (4, 3), (9, 8), (20, 21)], [(8, 5), (30, 31), (9, 9)])
+    kind = "u long, v long"
+    both = with_links(components(spark.createDataFrame(first, kind)), spark.createDataFrame(more, kind))
+    at_once = components(spark.createDataFrame(first + more, kind))
+    assert sorted(map(tuple, both.collect())) == sorted(map(tuple, at_once.collect()))
+
+
+def test_steps_that_have_nothing_to_do_are_left_out(spark, monkeypatch):
+    asked = []
+
+    def counted(how, one, other):
+        asked.append((one, other))
+        return may_link(how, one, other)
+
+    may_link = neardup._may_link
+    monkeypatch.setattr(neardup, "_may_link", counted)
+    words = [f"w{n}" for n in range(100)]
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join([*words, "x"])), (3, "other")], "doc_id long, text string")
+    got = {row["doc_id"]: row["component_id"] for row in neardup.near_duplicates(docs).collect()}
+    assert got == {1: 1, 2: 1, 3: 3}
+    assert len(asked) == 1
