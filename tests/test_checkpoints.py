@@ -44,3 +44,16 @@ def test_tables_on_the_way_go_and_the_result_stays(spark, tmp_path):
     with pytest.raises(ZeroDivisionError), checkpoints.passing_stages(spark):
         1 / 0
     assert checkpoints.parquet_checkpoint(spark.range(2), "after").count() == 2
+
+
+def test_releasing_shuffles_leaves_the_setting_as_it_was(spark, settings):
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name)
+    with pytest.raises(RuntimeError), checkpoints.releasing_shuffles(spark):
+        assert spark.conf.get(name) == "true"
+        raise RuntimeError
+    assert spark.conf.get(name) == before
+    settings(**{name.replace(".", "__"): "false"})
+    with checkpoints.releasing_shuffles(spark):
+        pass
+    assert spark.conf.get(name) == "false"
